@@ -1,4 +1,5 @@
 """All registered queries."""
 
-from fleetlens.catalog import comparing, timing  # noqa: F401
+from fleetlens.catalog import (alerting, comparing, ingest, linking, live, ruling,  # noqa: F401
+                               timing, writing)
 from fleetlens.catalog.registry import ORACLES, QUERIES  # noqa: F401

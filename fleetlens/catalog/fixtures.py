@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.functions.numbers import div
 from fleetlens.params import Topology
 
 TOPOLOGY = Topology(tp=2, pp=2, world_size=8)
@@ -13,12 +14,16 @@ FIRST_TICK = 118_338
 AS_OF = "2024-01-31 00:00:00"
 
 
-def _events(spark: SparkSession, sf: str) -> DataFrame:
+def events_of(raw: DataFrame) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return spark.read.parquet(f"{sf}/events.parquet").select(
+    return raw.select(
         "event_id", "ts", "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"), us.alias("us"),
-        (F.floor(us / F.lit(TICK_US)).cast("bigint") - FIRST_TICK).alias("tick"))
+        (div(us, TICK_US) - FIRST_TICK).alias("tick"))
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return events_of(spark.read.parquet(f"{sf}/events.parquet"))
 
 
 EVENTS_SQL = f"""e AS (
@@ -27,7 +32,7 @@ EVENTS_SQL = f"""e AS (
   CAST(epoch_us(ts) // {TICK_US} AS BIGINT) - {FIRST_TICK} AS tick FROM events)"""
 
 
-def _calls(events: DataFrame, *extra: str) -> DataFrame:
+def calls_of(events: DataFrame, *extra: str) -> DataFrame:
     k = F.col("k")
     return events.select(
         (1 + F.floor((F.dayofmonth("ts") - 1) / 10)).cast("int").alias("save_count"),
@@ -47,7 +52,7 @@ def _calls(events: DataFrame, *extra: str) -> DataFrame:
 
 
 def comm_ops(spark: SparkSession, sf: str) -> DataFrame:
-    return _calls(_events(spark, sf))
+    return calls_of(_events(spark, sf))
 
 
 COMM_SQL = EVENTS_SQL + """, comm_ops AS (
@@ -64,8 +69,8 @@ COMM_SQL = EVENTS_SQL + """, comm_ops AS (
 
 def call_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Call log text; damaged where k >= 93, without a hash where k < 6."""
-    c = _calls(_events(spark, sf), "k")
-    stamp = F.format_string("%d.%09d", F.floor(F.col("ts_ns") / 1_000_000_000),
+    c = calls_of(_events(spark, sf), "k")
+    stamp = F.format_string("%d.%09d", div(F.col("ts_ns"), 1_000_000_000),
                             F.col("ts_ns") % 1_000_000_000)
     line = F.format_string(
         "[save_count %d] [%s] [Rank %d] Fun %s Data %d stream %s opCount %d",
@@ -93,7 +98,7 @@ parsed AS (SELECT c.save_count, c.ts_ns, c.rank, c.function, c.data_size, c.stre
 def call_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """comm_ops with per-stream numbering that drops a number wherever k < 3."""
     from fleetlens.plans.ordered import OrderedGroups
-    groups = OrderedGroups(_calls(_events(spark, sf), "k"), ["rank", "stream"],
+    groups = OrderedGroups(calls_of(_events(spark, sf), "k"), ["rank", "stream"],
                            ["ts_ns", "event_id"])
     step = F.lit(1) + F.when(F.col("k") < 3, 1).otherwise(0)
     out = groups.finish(groups.running(groups.rows(), step, "op_number", "sum"))
@@ -156,7 +161,7 @@ def link_telemetry(spark: SparkSession, sf: str) -> DataFrame:
     groups = OrderedGroups(rows, ["nic", "dev"], ["_d", "l_orderkey", "l_linenumber", "size"])
     rn = F.col("_pos") + 1
     return groups.numbered("_pos", None).select(
-        "nic", "dev", "size", F.floor(rn / 200).cast("bigint").alias("func_times"),
+        "nic", "dev", "size", div(rn, 200).alias("func_times"),
         (rn * 5000 + F.col("size")).cast("bigint").alias("t_ns"), rn.cast("bigint").alias("rn"))
 
 
@@ -311,18 +316,22 @@ def _label_set(metric: str) -> dict[str, str]:
     return {"instance": "concat('i', user_id % 8)", **METRICS[metric][1]}
 
 
-def rule_samples(spark: SparkSession, sf: str, *metrics: str) -> DataFrame:
+def samples_of(events: DataFrame, *metrics: str) -> DataFrame:
     """(metric, labels, us, ts, value): every event is a sample of each asked metric."""
     def sample(m):
         pairs = [c for k, v in _label_set(m).items() for c in (F.lit(k), F.expr(v))]
         return F.struct(F.lit(m).alias("metric"), F.create_map(*pairs).alias("labels"),
                         F.expr(METRICS[m][0]).cast("double").alias("value"))
-    us = F.floor(F.col("us") / SQUEEZE).cast("bigint")
-    rows = _events(spark, sf).withColumn("_m", F.explode(F.array(*[sample(m) for m in metrics])))
+    us = div(F.col("us"), SQUEEZE)
+    rows = events.withColumn("_m", F.explode(F.array(*[sample(m) for m in metrics])))
     return rows.select("_m.metric", "_m.labels", us.alias("us"),
                        F.timestamp_micros(us).alias("ts"), "_m.value")
 
 
+def rule_samples(spark: SparkSession, sf: str, *metrics: str) -> DataFrame:
+    return samples_of(_events(spark, sf), *metrics)
+
+
 def samples_sql(*metrics: str) -> str:
     """CTE ``samples`` (metric, series, instance, us, tick, value + label columns as text)."""
     parts = []

@@ -26,7 +26,7 @@ def severity_level(severity: Column) -> Column:
 def state_of(status_json: Column) -> Column:
     """State from ``{"state": s}`` or from a plain string."""
     nested = F.get_json_object(status_json, "$.state")
-    return F.coalesce(nested, F.when(~status_json.startswith("{"), F.trim(F.lit('"'), status_json)),
+    return F.coalesce(nested, F.when(~status_json.startswith("{"), F.trim(status_json, F.lit('"'))),
                       F.lit(""))
 
 

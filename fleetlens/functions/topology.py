@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.numbers import div
 from fleetlens.params import Topology
 
 
 def whole(a, b) -> Column:
-    """Integer quotient of non-negative values."""
-    a = a if isinstance(a, Column) else F.lit(a)
-    b = b if isinstance(b, Column) else F.lit(b)
-    return F.floor(a / b).cast("int")
+    return div(a, b).cast("int")
 
 
 def tp_group(rank: Column, t: Topology) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import topology as tg
 from fleetlens.functions.calls import lookup
+from fleetlens.functions.numbers import div
 from fleetlens.params import GRUBBS_CRITICAL, Topology
 from fleetlens.plans.ordered import OrderedGroups, attach
 from fleetlens.plans.quantiles import at_index
@@ -44,8 +45,8 @@ def _summary(calls: DataFrame, t: Topology, row_floor: int | None):
     stats = (groups.numbered().groupBy(*GROUP).agg(
         F.max("_n").alias("n"), F.avg("_x").alias("mean_s"), F.stddev_samp("_x").alias("std_s"),
         F.max("_x").alias("max_s"), slow.alias("_slow"),
-        at_index("_x", lambda n: F.floor(n / 4)).alias("q1_s"),
-        at_index("_x", lambda n: F.floor(3 * n / 4)).alias("q3_s"))
+        at_index("_x", lambda n: div(n, 4)).alias("q1_s"),
+        at_index("_x", lambda n: div(3 * n, 4)).alias("q3_s"))
         .where(F.col("n") >= 2)
         .withColumn("slowest_rank", -F.col("_slow._r")).drop("_slow"))
     return rows, groups, stats

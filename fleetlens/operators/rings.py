@@ -166,7 +166,6 @@ def _component_of(us, vs) -> list[tuple[int, int, int]]:
     return out
 
 
-@F.pandas_udf("array<struct<x:int,scc:int,size:bigint>>")
 def _small_components(us: pd.Series, vs: pd.Series) -> pd.Series:
     return pd.Series([_component_of(a.tolist(), b.tolist()) for a, b in zip(us, vs)])
 
@@ -188,7 +187,8 @@ def components(transfers: DataFrame, edge_limit: int = SMALL_GRAPH_EDGES) -> Dat
         large = cut_lineage(large)
         small = edges.join(large, g, "left_anti")
     packed = small.groupBy(*g).agg(F.collect_list(F.struct("u", "v")).alias("_e"))
-    found = (packed.select(*g, F.explode(_small_components("_e.u", "_e.v")).alias("_c"))
+    solve = F.pandas_udf(_small_components, "array<struct<x:int,scc:int,size:bigint>>")
+    found = (packed.select(*g, F.explode(solve("_e.u", "_e.v")).alias("_c"))
              .select(*g, "_c.x", "_c.scc", "_c.size"))
     if some_large:
         found = found.unionByName(_large_components(edges.join(large, g, "left_semi")))

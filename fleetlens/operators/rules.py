@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.numbers import div
 from fleetlens.plans.ordered import OrderedGroups
 
 
@@ -45,7 +46,7 @@ def select_samples(samples: DataFrame, clock: Clock, metric: str, equal: dict |
         out = out.where(F.coalesce(F.col("labels")[key], F.lit("")) != value)
     return out.select(series_key(F.col("labels")).alias("series"),
                       F.col("labels")["instance"].alias("instance"), "us", "value",
-                      F.floor(F.col("us") / F.lit(clock.step_s * 1_000_000)).cast("bigint")
+                      div(F.col("us"), clock.step_s * 1_000_000)
                       .alias("tick"))
 
 
@@ -77,7 +78,7 @@ def instant_pair(samples: DataFrame, clock: Clock, left: str, right: str) -> Dat
     rows = both.select(
         series_key(F.col("labels")).alias("series"), F.col("labels")["instance"].alias("instance"),
         "metric", "us", "value",
-        F.floor(F.col("us") / F.lit(clock.step_s * 1_000_000)).cast("bigint").alias("tick"))
+        div(F.col("us"), clock.step_s * 1_000_000).alias("tick"))
 
     def newest(metric):
         mine = F.col("metric") == metric

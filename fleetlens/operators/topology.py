@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.numbers import div
 from fleetlens.functions.topology import whole, with_coordinates
 from fleetlens.params import Topology
 
@@ -51,14 +52,14 @@ def placement(configs: DataFrame) -> DataFrame:
     last = r == n - 1
 
     def share(total):
-        each = F.floor(F.col(total) / n)
+        each = div(F.col(total), n)
         return each * r, F.when(last, F.col(total)).otherwise(each * (r + 1))
     l0, l1 = share("num_layers")
     p0, p1 = share("model_size")
     square = F.col("hidden_size") * F.col("hidden_size") * 4
-    attention = F.floor(square / n)
-    ffn = F.floor(square * 4 / n)
-    embedding = F.when(r == 0, F.floor(F.col("vocab_size") * F.col("hidden_size") * 4 / n)
+    attention = div(square, n)
+    ffn = div(square * 4, n)
+    embedding = F.when(r == 0, div(F.col("vocab_size") * F.col("hidden_size") * 4, n)
                        ).otherwise(0)
     mib = F.lit(1024.0 * 1024.0)
     return rows.select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.numbers import div
 from fleetlens.operators import rules as R
 
 
@@ -76,5 +77,4 @@ def firing_ticks(samples: DataFrame, rule: R.Rule, clock: R.Clock, equal: dict |
                                              step).alias("_h"))
             .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == hold))
     end = F.unix_micros("_h.end")
-    return held.select("series", (F.floor(end / (clock.step_s * 1_000_000)) - 1).cast("bigint")
-                       .alias("tick"))
+    return held.select("series", (div(end, clock.step_s * 1_000_000) - 1).alias("tick"))

@@ -44,7 +44,7 @@ class LifecycleProcessor(StatefulProcessor):
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if is_open:
-            self.handle.registerTimer((live + 1) * self.poll_ms - 1)
+            self.handle.registerTimer((live + 2) * self.poll_ms - 1)
         yield pd.DataFrame(out, columns=["fingerprint", "poll", "state"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -59,11 +59,12 @@ class LifecycleProcessor(StatefulProcessor):
 
 
 def live_states(polls: DataFrame, hold: int = 3, poll_s: int = 60) -> DataFrame:
-    """``polls`` has fingerprint and poll; poll ``p`` happened ``p * poll_s`` after the epoch.
+    """``polls`` has fingerprint and poll, ``poll_s`` apart; event time is ``(poll + 1) * poll_s``,
+    since a row at the epoch itself would count as late.
 
     Gives the rows of the batch ``lifecycle``: a state per sighting, and each recovery.
     """
-    timed = polls.select("fingerprint", "poll", F.timestamp_seconds(F.col("poll") * poll_s)
+    timed = polls.select("fingerprint", "poll", F.timestamp_seconds((F.col("poll") + 1) * poll_s)
                          .alias("at")).withWatermark("at", "0 seconds")
     return timed.groupBy("fingerprint").transformWithStateInPandas(
         LifecycleProcessor(hold, poll_s * 1000), OUT, "Append", "EventTime")

@@ -11,10 +11,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None
                    ) -> DataFrame:
+    """A table as a stream; the pattern lets ``path`` be one file or a folder of part files."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(path.rstrip("/") + "*")
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:

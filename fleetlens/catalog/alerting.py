@@ -182,7 +182,7 @@ ps AS (SELECT s.fingerprint, max(CASE WHEN kind IN ('group', 'repeat') THEN p.us
  FROM (SELECT DISTINCT fingerprint FROM alert_store) s LEFT JOIN pushes p USING (fingerprint) GROUP BY 1)"""
 
 add("l4_repeat_due", lambda s, d: A.repeat_due(X.alert_store(s, d), _pushes(s, d), AS_OF_US), PUSH_SQL + f"""
-SELECT fingerprint, repeat_count + 1 AS next_repeat, round(({AS_OF_US} - group_push_us) / 1e6, 6)
+SELECT fingerprint, repeat_count + 1 AS next_repeat, round(({AS_OF_US} - group_push_us) / 1e6 + 1e-9, 6)
  AS since_push_s FROM ps JOIN latest USING (fingerprint) WHERE status IN ('active', 'firing')
  AND (group_push_us IS NULL OR ({AS_OF_US} - group_push_us) / 1e6 >= 86400)""")
 
@@ -275,7 +275,7 @@ add("s11_metric_feed", lambda s, d: FD.parse_samples(X.metric_samples(s, d).sele
         F.count(F.lit(1)).alias("samples"), F.max("us").alias("last_us"), F.max("value").alias("peak")),
     X.METRIC_SQL + """
 SELECT metric, concat('i', instance) AS instance, count(*) AS samples, max(us) AS last_us,
- round(max(value), 6) AS peak FROM metric_samples GROUP BY 1, 2""")
+ round(max(value) + 1e-9, 6) AS peak FROM metric_samples GROUP BY 1, 2""")
 
 add("s12_heartbeat_feed", lambda s, d: FD.parse_heartbeats(X.heartbeats(s, d).select(F.to_json(F.struct(
     F.concat(F.lit("c"), "client_id").alias("client_id"), F.lit("alive").alias("status"),
@@ -289,7 +289,7 @@ SILENT_SQL = HEART_SQL + """, g AS (SELECT client_id, us, lag(us) OVER (PARTITIO
 silent AS (SELECT client_id, last_us, us FROM g WHERE us - last_us > 1200000000)"""
 add("x3_heartbeat_silences", lambda s, d: HB.silences(X.heartbeats(s, d)), SILENT_SQL + """
 SELECT client_id, last_us, last_us + 1200000000 AS offline_us, us AS back_us,
- round((us - last_us) / 1e6, 6) AS silent_s FROM silent""")
+ round((us - last_us) / 1e6 + 1e-9, 6) AS silent_s FROM silent""")
 add("x3_connection_events", lambda s, d: HB.connection_events(X.heartbeats(s, d)), SILENT_SQL + """
 SELECT client_id, min(us) AS us, 'recovered' AS event FROM heartbeats GROUP BY 1
 UNION ALL SELECT client_id, last_us + 1200000000, 'offline' FROM silent

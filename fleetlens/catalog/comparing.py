@@ -40,7 +40,7 @@ add("a1_latest_per_rank", lambda s, d: C.latest_per_rank(comm_ops(s, d)),
 
 add("a5_slow_picks", lambda s, d: C.slow_picks(comm_ops(s, d), T), MEMBER_SQL + """
 SELECT group_type, CAST(gid AS INT) AS gid, op_count, group_hash, rank AS slowest_rank, members,
- round(greatest(ts_ns - next_ns, 0) / 1e9, 6) AS lag_s FROM judged WHERE place = 1""")
+ round(greatest(ts_ns - next_ns, 0) / 1e9 + 1e-9, 6) AS lag_s FROM judged WHERE place = 1""")
 
 add("a5_comparison_totals", lambda s, d: C.comparison_totals(comm_ops(s, d), T), MEMBER_SQL + f"""
 , g AS (SELECT {_KEY}, count(*) AS members FROM mem GROUP BY ALL)
@@ -63,8 +63,8 @@ FROM net GROUP BY 1, 2""")
 add("a7_pick_rates", lambda s, d: C.pick_rates(comm_ops(s, d), T), MEMBER_SQL + """
 SELECT rank, group_type, CAST(sum(picks) AS BIGINT) AS picks,
  CAST(sum(participations) AS BIGINT) AS participations,
- round(100.0 * sum(picks) / sum(participations), 6) AS rate_pct,
- round(CAST(sum(lag_ns) AS DOUBLE) / 1e9, 6) AS lag_s FROM stats GROUP BY 1, 2""")
+ round(100.0 * sum(picks) / sum(participations) + 1e-9, 6) AS rate_pct,
+ round(CAST(sum(lag_ns) AS DOUBLE) / 1e9 + 1e-9, 6) AS lag_s FROM stats GROUP BY 1, 2""")
 
 add("p2_hashed_calls", lambda s, d: C.hashed(comm_ops(s, d)).groupBy("function", "group_hash").agg(
     F.count(F.lit(1)).alias("calls")),
@@ -140,7 +140,7 @@ lead AS (SELECT slowest_rank AS rank, count(*) AS slow_count,
 add("a16_group_hash_totals", lambda s, d: C.hash_rank_totals(comm_ops(s, d)).withColumn(
     "slow_time_s", F.round("slow_time_s", 4)), HASH_SQL + _TOTALS + """
 SELECT rank, coalesce(slow_count, 0) AS slow_count, participations,
- round(100.0 * coalesce(slow_count, 0) / participations, 6) AS rate_pct,
+ round(100.0 * coalesce(slow_count, 0) / participations + 1e-9, 6) AS rate_pct,
  round(coalesce(slow_time_s, 0), 4) AS slow_time_s FROM parts LEFT JOIN lead USING (rank)""")
 
 add("a16_group_hash_totals_compat", lambda s, d: C.hash_rank_totals(comm_ops(s, d), compat=True)
@@ -208,12 +208,12 @@ SELECT group_type, CASE WHEN n = 1 THEN 'single' WHEN n < 4 THEN 'tiny' WHEN n <
 FROM z GROUP BY 1, 2""")
 
 add("a9_grubbs", lambda s, d: U.grubbs(comm_ops(s, d), T), STREAM_SQL + f"""
-SELECT {_GS}, n, slowest_rank, round(g, 6) AS g, critical, hit AS is_outlier FROM g
+SELECT {_GS}, n, slowest_rank, round(g + 1e-9, 6) AS g, critical, hit AS is_outlier FROM g
 WHERE n BETWEEN 4 AND 30 AND round(std_s, 9) > 0""")
 
 add("a10_judged_groups", lambda s, d: U.judged_groups(comm_ops(s, d), T), STREAM_SQL + f"""
 SELECT {_GS}, n, method, slowest_rank, is_outlier, CAST(outliers AS BIGINT) AS outliers,
- round(threshold_s, 6) AS threshold_s FROM verdict""")
+ round(threshold_s + 1e-9, 6) AS threshold_s FROM verdict""")
 
 _PIVOT = ", ".join(f"CAST(coalesce(sum(CASE WHEN group_type = '{c}' THEN score END), 0) AS BIGINT)"
                    f" AS {c.lower()}" for c in ("TP", "PP", "DP"))

@@ -217,10 +217,10 @@ place AS (SELECT config_id, rank, n, layers, hidden, (layers // n) * rank AS sta
  CASE WHEN rank = 0 THEN vocab * hidden * 4 // n ELSE 0 END AS emb FROM r)"""
 
 add("f3_model_placement", lambda s, d: TP.placement(_models(s, d)), PLACE_SQL + """
-SELECT config_id, rank, start_layer, end_layer, round(100.0 * (end_layer - start_layer) / layers, 6) AS layer_pct,
- start_param, end_param, round(att / 1048576, 6) AS attention_mb, round(ffn / 1048576, 6) AS ffn_mb,
- round(emb / 1048576, 6) AS embedding_mb, round((att + ffn + emb) / 1048576, 6) AS total_mb,
- layers AS allreduce_calls, att AS volume_per_call, round(1.0 / n, 6) AS ideal_efficiency,
+SELECT config_id, rank, start_layer, end_layer, round(100.0 * (end_layer - start_layer) / layers + 1e-9, 6) AS layer_pct,
+ start_param, end_param, round(att / 1048576 + 1e-9, 6) AS attention_mb, round(ffn / 1048576 + 1e-9, 6) AS ffn_mb,
+ round(emb / 1048576 + 1e-9, 6) AS embedding_mb, round((att + ffn + emb) / 1048576 + 1e-9, 6) AS total_mb,
+ layers AS allreduce_calls, att AS volume_per_call, round(1.0 / n + 1e-9, 6) AS ideal_efficiency,
  n - 1 AS overhead_factor FROM place""")
 
 

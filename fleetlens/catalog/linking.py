@@ -14,25 +14,25 @@ RATE_SQL = LINK_SQL + f""", rate AS (SELECT {_F}, CAST(sum(bytes_sent) AS BIGINT
  FROM fn GROUP BY ALL)"""
 
 add("a21_flow_rates", lambda s, d: K.flow_rates(link_transfers(s, d)), RATE_SQL + f"""
-SELECT {_F}, bytes, nsec, sends, round(rate_gbps, 6) AS rate_gbps FROM rate""")
+SELECT {_F}, bytes, nsec, sends, round(rate_gbps + 1e-9, 6) AS rate_gbps FROM rate""")
 
 add("a22_group_rates", lambda s, d: K.group_rates(link_transfers(s, d)), RATE_SQL + f"""
 , low AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(rate_gbps, 9), {_F}) AS p,
  row_number() OVER (ORDER BY round(rate_gbps, 9), {_F}) AS q FROM rate)
-SELECT grp, count(*) AS flows, round(avg(rate_gbps), 6) AS avg_gbps,
- round(min(round(rate_gbps, 9)), 6) AS lowest_gbps, max(CASE WHEN p = 1 THEN flow END) AS lowest_flow,
+SELECT grp, count(*) AS flows, round(avg(rate_gbps) + 1e-9, 6) AS avg_gbps,
+ round(min(round(rate_gbps, 9)) + 1e-9, 6) AS lowest_gbps, max(CASE WHEN p = 1 THEN flow END) AS lowest_flow,
  max(CASE WHEN p = 1 THEN ip_flow END) AS lowest_ip_flow FROM low GROUP BY 1
-UNION ALL SELECT -1, count(*), round(avg(rate_gbps), 6), round(min(round(rate_gbps, 9)), 6),
+UNION ALL SELECT -1, count(*), round(avg(rate_gbps) + 1e-9, 6), round(min(round(rate_gbps, 9)) + 1e-9, 6),
  max(CASE WHEN q = 1 THEN flow END), max(CASE WHEN q = 1 THEN ip_flow END) FROM low""")
 
 add("a23_flow_details", lambda s, d: K.flow_details(link_transfers(s, d)), RATE_SQL + f"""
-SELECT {_F}, round(bytes / sends, 6) AS avg_bytes, round(nsec / sends, 6) AS avg_nsec,
- round(rate_gbps, 6) AS avg_gbps FROM rate""")
+SELECT {_F}, round(bytes / sends + 1e-9, 6) AS avg_bytes, round(nsec / sends + 1e-9, 6) AS avg_nsec,
+ round(rate_gbps + 1e-9, 6) AS avg_gbps FROM rate""")
 
 add("w15_slowest_flows", lambda s, d: K.slowest_flows(link_transfers(s, d), 3), RATE_SQL + f"""
 , p AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp ORDER BY round(rate_gbps, 9), {_F}) AS INT)
  AS place FROM rate)
-SELECT {_F}, bytes, nsec, sends, round(rate_gbps, 6) AS rate_gbps, place FROM p WHERE place <= 3""")
+SELECT {_F}, bytes, nsec, sends, round(rate_gbps + 1e-9, 6) AS rate_gbps, place FROM p WHERE place <= 3""")
 
 add("a27_compacted_sends", lambda s, d: K.compact_sends(link_telemetry(s, d), 7_500), TELE_SQL + """
 , f AS (SELECT *, CASE WHEN lag(func_times) OVER w IS DISTINCT FROM func_times THEN 1 ELSE 0 END AS nw

@@ -14,8 +14,8 @@ ORACLES: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c)
+    """Doubles rounded for comparison; the nudge settles exact halves the same way everywhere."""
+    return df.select(*[F.round(F.col(c) + 1e-9, digits).alias(c) if t == "double" else F.col(c)
                        for c, t in df.dtypes])
 
 

@@ -46,18 +46,18 @@ TEMP, IDLE, RESTARTS = "DCGM_FI_DEV_GPU_TEMP", "node_cpu_seconds_total", R.RESTA
 
 add("m1_threshold", lambda s, d: R.instant(rule_samples(s, d, TEMP), CLOCK, TEMP).where("value > 85"),
     samples_sql(TEMP) + _instant_sql(0) + """
-SELECT series, instance, tick, round(value, 6) AS value FROM v WHERE value > 85""")
+SELECT series, instance, tick, round(value + 1e-9, 6) AS value FROM v WHERE value > 85""")
 
 add("m2_rate", lambda s, d: R.rate(rule_samples(s, d, RESTARTS), CLOCK, RESTARTS),
     samples_sql(RESTARTS) + _rate_sql(0) + """
-SELECT series, instance, tick, round(value, 6) AS value FROM v""")
+SELECT series, instance, tick, round(value + 1e-9, 6) AS value FROM v""")
 
 _AVG = """, av AS (SELECT '{"instance":"' || instance || '"}' AS series, instance, tick,
  avg(value) AS value FROM v GROUP BY instance, tick)"""
 add("m3_average_by_instance", lambda s, d: R.average_by_instance(R.rate(
     rule_samples(s, d, IDLE), CLOCK, IDLE, {"mode": "idle"})),
     samples_sql(IDLE) + _rate_sql(0, "l_mode = 'idle'") + _AVG + """
-SELECT series, instance, tick, round(value, 6) AS value FROM av""")
+SELECT series, instance, tick, round(value + 1e-9, 6) AS value FROM av""")
 
 _PAIR = """, v AS (SELECT series, any_value(instance) AS instance, tick, (1 - arg_max(a, ua) / arg_max(b, ub))
  * 100 AS value FROM (SELECT series, instance, tick, value AS a, us AS ua, NULL AS b, NULL AS ub FROM s0
@@ -65,11 +65,11 @@ _PAIR = """, v AS (SELECT series, any_value(instance) AS instance, tick, (1 - ar
  HAVING count(a) > 0 AND count(b) > 0)"""
 add("m4_ratio", lambda s, d: R.RULES["NODE_0103"].vector(rule_samples(s, d, *R.DISK), CLOCK),
     samples_sql(*R.DISK) + _PAIR + """
-SELECT series, instance, tick, round(value, 6) AS value FROM v""")
+SELECT series, instance, tick, round(value + 1e-9, 6) AS value FROM v""")
 
 add("j6_vector_sum", lambda s, d: R.RULES["NODE_0104"].vector(rule_samples(s, d, *R.NET), CLOCK),
     samples_sql(*R.NET) + _rate_sql(0, name="p") + _rate_sql(1, name="q") + """
-SELECT p.series, p.instance, p.tick, round(p.value + q.value, 6) AS value FROM p JOIN q USING (series, tick)""")
+SELECT p.series, p.instance, p.tick, round(p.value + q.value + 1e-9, 6) AS value FROM p JOIN q USING (series, tick)""")
 
 
 def _tick_averages(s, d):
@@ -81,12 +81,12 @@ def _tick_averages(s, d):
 add("m5_held_breaches", lambda s, d: R.held(_tick_averages(s, d).where("value > 60"), 1), METRIC_SQL + """
 , v AS (SELECT CAST(instance AS VARCHAR) AS series, CAST(instance AS VARCHAR) AS instance, tick,
  avg(value) AS value FROM metric_samples GROUP BY 1, 2, 3)""" + _held_sql("value > 60", 1) + """
-SELECT series, start_tick, end_tick, ticks, round(peak, 6) AS peak, ip, fired_tick FROM held""")
+SELECT series, start_tick, end_tick, ticks, round(peak + 1e-9, 6) AS peak, ip, fired_tick FROM held""")
 
 VOLT = "ipmi_sensor_voltage_volts"
 add("m6_either_bound", lambda s, d: R.instant(rule_samples(s, d, VOLT), CLOCK, VOLT).where(
     (F.col("value") < 11.5) | (F.col("value") > 12.5)), samples_sql(VOLT) + _instant_sql(0) + """
-SELECT series, instance, tick, round(value, 6) AS value FROM v WHERE value < 11.5 OR value > 12.5""")
+SELECT series, instance, tick, round(value + 1e-9, 6) AS value FROM v WHERE value < 11.5 OR value > 12.5""")
 
 add("m7_labelled_alerts", lambda s, d: R.evaluate(
     R.RULES["GPU_0102"], rule_samples(s, d, "DCGM_FI_DEV_POWER_USAGE"), CLOCK).select(
@@ -135,4 +135,4 @@ for _id, _rule in R.RULES.items():
         + _held_sql(f"({_BREACH[_id]})", 1, _source) + f"""
 SELECT '{_id}' AS id, '{_rule.alert}' AS alertname, '{_rule.severity}' AS severity,
  '{_rule.alert_type}' AS alert_type, series, ip, start_tick, fired_tick, end_tick, ticks,
- round(peak, 6) AS peak FROM held""")
+ round(peak + 1e-9, 6) AS peak FROM held""")

@@ -41,11 +41,11 @@ add("w2_last_calls", lambda s, d: H.last_calls(comm_ops(s, d)), LAST_SQL + " SEL
 
 add("w3_stream_hangs", lambda s, d: H.stream_hangs(comm_ops(s, d)), LAST_SQL + """
 , idle AS (SELECT *, ((SELECT max(ts_ns) FROM comm_ops) - ts_ns) / 1e9 AS idle_s FROM last)
-SELECT rank, stream, function, op_count, round(idle_s, 6) AS idle_s,
+SELECT rank, stream, function, op_count, round(idle_s + 1e-9, 6) AS idle_s,
  CASE WHEN idle_s > 600 THEN 'high' ELSE 'medium' END AS severity FROM idle WHERE idle_s > 300""")
 
 add("w4_collective_hangs", lambda s, d: H.collective_hangs(comm_ops(s, d)), LAST_SQL + """
-SELECT rank, stream, function, op_count, round((ts_ns - before_ns) / 1e9, 6) AS gap_s,
+SELECT rank, stream, function, op_count, round((ts_ns - before_ns) / 1e9 + 1e-9, 6) AS gap_s,
  'high' AS severity FROM last WHERE function IN ('AllReduce', 'AllGather', 'Broadcast')
  AND (ts_ns - before_ns) / 1e9 > 120""")
 
@@ -76,9 +76,9 @@ pace AS (SELECT *, greatest(0, least(100, least(100, 10 * calls_per_s) * 0.7
  + CASE WHEN mean_s > 0 THEN greatest(0, 100 - cv * 100) ELSE 0 END * 0.3)) AS score FROM base)"""
 
 add("a2_rank_pace", lambda s, d: T.rank_pace(comm_ops(s, d)), PACE_SQL + """
-SELECT rank, total_calls, round(duration_s, 6) AS duration_s, round(mean_s, 6) AS mean_s,
- round(std_s, 6) AS std_s, round(max_s, 6) AS max_s, round(p95_s, 6) AS p95_s,
- round(calls_per_s, 6) AS calls_per_s, round(cv, 6) AS cv, round(score, 6) AS score FROM pace""")
+SELECT rank, total_calls, round(duration_s + 1e-9, 6) AS duration_s, round(mean_s + 1e-9, 6) AS mean_s,
+ round(std_s + 1e-9, 6) AS std_s, round(max_s + 1e-9, 6) AS max_s, round(p95_s + 1e-9, 6) AS p95_s,
+ round(calls_per_s + 1e-9, 6) AS calls_per_s, round(cv + 1e-9, 6) AS cv, round(score + 1e-9, 6) AS score FROM pace""")
 
 add("a3_robust_slow_ranks", lambda s, d: T.robust_slow_ranks(comm_ops(s, d)), PACE_SQL + """
 , p AS (SELECT rank, round(score, 9) AS s, round(calls_per_s, 9) AS f, round(cv, 9) AS v FROM pace),
@@ -128,16 +128,16 @@ allan AS (SELECT {_S}, 'interval_outlier' AS anomaly_type, severity, ts_ns FROM
 add("w5_intervals", lambda s, d: T.intervals(comm_ops(s, d), ["rank", "stream"]).select(
     "rank", "stream", "event_id", "gap_s"), COMM_SQL + """
 SELECT rank, stream, event_id, round((ts_ns - lag(ts_ns) OVER (PARTITION BY rank, stream
- ORDER BY ts_ns, op_count, event_id)) / 1e9, 6) AS gap_s FROM comm_ops""")
+ ORDER BY ts_ns, op_count, event_id)) / 1e9 + 1e-9, 6) AS gap_s FROM comm_ops""")
 
 add("a18_time_patterns", lambda s, d: T.time_patterns(comm_ops(s, d)), GAP_SQL + f"""
-SELECT {_S}, {', '.join(f'round({c}, 6) AS {c}' for c in (
+SELECT {_S}, {', '.join(f'round({c} + 1e-9, 6) AS {c}' for c in (
     'mean_s', 'std_s', 'min_s', 'max_s', 'p50_s', 'p95_s', 'p99_s', 'duration_s'))},
  gaps + 1 AS call_count, pattern_type FROM kind""")
 
 add("w6_interval_anomalies", lambda s, d: T.interval_anomalies(comm_ops(s, d)), GAP_SQL + f"""
-SELECT {_S}, ts_ns, method, severity, round(mean_s, 6) AS expected_s, round(gap_s, 6) AS actual_s,
- round(z, 6) AS z_score FROM an""")
+SELECT {_S}, ts_ns, method, severity, round(mean_s + 1e-9, 6) AS expected_s, round(gap_s + 1e-9, 6) AS actual_s,
+ round(z + 1e-9, 6) AS z_score FROM an""")
 
 add("w7_quartile_only_anomalies", lambda s, d: T.interval_anomalies(comm_ops(s, d))
     .where("method = 'iqr'").select("function", "rank", "stream", "ts_ns", "severity"), GAP_SQL + f"""
@@ -165,7 +165,7 @@ add("f7_slow_calls", lambda s, d: T.slow_calls(comm_ops(s, d)).select(
  ORDER BY ts_ns, op_count, event_id)) / 1e9 AS gap_s, CASE function WHEN 'AllReduce' THEN 5
  WHEN 'AllGather' THEN 8 WHEN 'Broadcast' THEN 3 WHEN 'Send' THEN 15 WHEN 'Recv' THEN 15 ELSE 10 END
  AS limit_s FROM comm_ops)
-SELECT event_id, function, round(gap_s, 6) AS gap_s, limit_s FROM gp WHERE gap_s > limit_s""")
+SELECT event_id, function, round(gap_s + 1e-9, 6) AS gap_s, limit_s FROM gp WHERE gap_s > limit_s""")
 
 # ---- sequences ----------------------------------------------------------------------------
 
@@ -181,9 +181,10 @@ pos AS (SELECT *, min(op_count) OVER (PARTITION BY {_ST}, island_no) AS start_op
 fc AS (SELECT {_ST}, start_op, island_no, idx - 1 AS gap_idx, ts_ns, gap / 1e9 AS actual_s,
  CAST(sum(gap) OVER t AS DOUBLE) / count(gap) OVER t / 1e9 AS predicted_s FROM pos
  WINDOW t AS (PARTITION BY {_ST}, island_no ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
-dev AS (SELECT *, round(CASE WHEN actual_s = 0 THEN abs(actual_s - predicted_s)
- ELSE abs(actual_s - predicted_s) / abs(actual_s) END, 9) AS deviation FROM fc WHERE gap_idx >= 0),
-hit AS (SELECT * FROM dev WHERE gap_idx >= 10 AND deviation > 2)"""
+raw AS (SELECT *, CASE WHEN actual_s = 0 THEN abs(actual_s - predicted_s)
+ ELSE abs(actual_s - predicted_s) / abs(actual_s) END AS deviation FROM fc WHERE gap_idx >= 0),
+dev AS (SELECT *, round(deviation, 9) AS dev9 FROM raw),
+hit AS (SELECT * FROM dev WHERE gap_idx >= 10 AND dev9 > 2)"""
 
 add("w9_sequences", lambda s, d: S.sequences(call_sequences(s, d)), ISLAND_SQL + f"""
 SELECT {_ST}, CAST(start_op AS BIGINT) AS start_op, count(*) AS length,
@@ -192,8 +193,8 @@ FROM pos GROUP BY {_ST}, start_op, island_no HAVING count(*) >= 2""")
 
 add("w10_forecast_anomalies", lambda s, d: S.forecast_anomalies(call_sequences(s, d)).drop("island_no"),
     ISLAND_SQL + f"""
-SELECT {_ST}, CAST(start_op AS BIGINT) AS start_op, gap_idx, ts_ns, round(actual_s, 6) AS actual_s,
- round(predicted_s, 6) AS predicted_s, round(deviation, 6) AS deviation FROM hit""")
+SELECT {_ST}, CAST(start_op AS BIGINT) AS start_op, gap_idx, ts_ns, round(actual_s + 1e-9, 6) AS actual_s,
+ round(predicted_s + 1e-9, 6) AS predicted_s, round(deviation + 1e-9, 6) AS deviation FROM hit""")
 
 add("w11_lag_regression", lambda s, d: S.linear_forecast(call_sequences(s, d)))
 
@@ -203,13 +204,13 @@ add("w12_sequence_rollup", lambda s, d: S.sequence_rollup(call_sequences(s, d)),
  UNION ALL SELECT 'stream', rank, stream, NULL, NULL, deviation, gap_idx FROM hit
  UNION ALL SELECT 'rank', rank, NULL, NULL, NULL, deviation, gap_idx FROM hit)
 SELECT level, rank, stream, save_count, start_op, count(*) AS anomalies,
- round(max(deviation), 6) AS max_deviation, min(gap_idx) AS first_idx, max(gap_idx) AS last_idx
+ round(max(deviation) + 1e-9, 6) AS max_deviation, min(gap_idx) AS first_idx, max(gap_idx) AS last_idx
 FROM lv GROUP BY 1, 2, 3, 4, 5""")
 
 add("w13_preset_sweep", lambda s, d: S.preset_sweep(call_sequences(s, d)), ISLAND_SQL + """
 , pre(lags, threshold) AS (VALUES (5, CAST(1.0 AS DOUBLE)), (10, 2.0), (15, 3.0), (8, 2.5))
-SELECT lags, threshold, count(*) AS anomalies, round(max(deviation), 6) AS max_deviation
-FROM dev JOIN pre ON gap_idx >= lags AND deviation > threshold GROUP BY 1, 2""")
+SELECT lags, threshold, count(*) AS anomalies, round(max(dev9) + 1e-9, 6) AS max_deviation
+FROM dev JOIN pre ON gap_idx >= lags AND dev9 > threshold GROUP BY 1, 2""")
 
 add("c1_stream_roles", lambda s, d: R.stream_roles(comm_ops(s, d)), COMM_SQL + """
 , tr AS (SELECT rank, stream, count(DISTINCT op_count) AS op_counts, max(data_size) < 1024 AS is_barrier,

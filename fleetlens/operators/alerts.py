@@ -144,7 +144,8 @@ def replay(polls: DataFrame, hold: int = 3, row_floor: int | None = None) -> Dat
     inside a segment are folded in order, as a short array of poll numbers.
     """
     rows = polls.select("fingerprint", "poll").distinct()
-    groups = OrderedGroups(rows, ["fingerprint"], ["poll"], halo=hold, row_floor=row_floor)
+    groups = OrderedGroups(rows, ["fingerprint"], ["poll"], halo=hold, row_floor=row_floor,
+                           sizes_from=polls)
     w = groups.window()
     marked = groups.rows().withColumns({"_prev": F.lag("poll").over(w),
                                         "_back": F.lag("poll", hold).over(w)})
@@ -214,7 +215,8 @@ def _renumber(polls: DataFrame, ok_polls: DataFrame | None) -> DataFrame:
 def started_at(polls: DataFrame, row_floor: int | None = None) -> DataFrame:
     """First poll of the unbroken run each sighting belongs to."""
     rows = polls.select("fingerprint", "poll").distinct()
-    groups = OrderedGroups(rows, ["fingerprint"], ["poll"], halo=1, row_floor=row_floor)
+    groups = OrderedGroups(rows, ["fingerprint"], ["poll"], halo=1, row_floor=row_floor,
+                           sizes_from=polls)
     before = F.lag("poll").over(groups.window())
     marked = groups.trim(groups.rows().withColumn(
         "_new", before.isNull() | (before != F.col("poll") - 1)), keep_piece=True)

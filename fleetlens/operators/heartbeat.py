@@ -13,7 +13,8 @@ def silences(beats: DataFrame, limits: AlertLimits = AlertLimits(), row_floor: i
              ) -> DataFrame:
     """Gaps above the timeout: offline once the timeout has passed, back with the next beat."""
     rows = beats.select("client_id", "us").distinct()
-    groups = OrderedGroups(rows, ["client_id"], ["us"], halo=1, row_floor=row_floor)
+    groups = OrderedGroups(rows, ["client_id"], ["us"], halo=1, row_floor=row_floor,
+                           sizes_from=beats)
     out = groups.trim(groups.rows().withColumn("last_us", F.lag("us").over(groups.window())))
     gap = F.col("us") - F.col("last_us")
     return (out.where(gap > limits.heartbeat_timeout_s * 1_000_000)

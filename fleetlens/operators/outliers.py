@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import topology as tg
@@ -121,12 +121,13 @@ def slow_scores(calls: DataFrame, t: Topology, row_floor: int | None = None) ->
 def normalised_scores(calls: DataFrame, t: Topology, compat: bool = False,
                       row_floor: int | None = None) -> DataFrame:
     """Scores minus the smallest per type, over all ranks seen (``compat``: over scoring ranks)."""
-    scores = _scores(calls, t, row_floor)
-    ranks = (scores if compat else calls).select("rank").distinct()
-    grid = ranks.select("rank", F.explode(F.array(*[F.lit(c) for c in TYPES])).alias("group_type"))
-    filled = (grid.join(scores, ["rank", "group_type"], "left")
-              .withColumn("score", F.coalesce("score", F.lit(0))))
-    low = filled.groupBy("group_type").agg(F.min("score").alias("_low"))
-    # three rows
-    return _wide(filled.join(F.broadcast(low), "group_type")
-                 .withColumn("score", F.col("score") - F.col("_low")))
+    names = [c.lower() for c in TYPES]
+    scores = _wide(_scores(calls, t, row_floor))
+    if not compat:
+        everyone = calls.select("rank").distinct()
+        scores = everyone.join(scores, "rank", "left").fillna(0, names)
+    # one row per rank and type
+    long = scores.unpivot("rank", names, "group_type", "score")
+    low = F.min("score").over(Window.partitionBy("group_type"))
+    net = long.withColumn("score", F.col("score") - low)
+    return net.groupBy("rank").pivot("group_type", names).agg(F.sum("score"))

@@ -145,9 +145,13 @@ def rate(samples: DataFrame, clock: Clock, metric: str, equal: dict | None = Non
             .select("series", "instance", "tick", value.alias("value")))
 
 
+def _instance_series(instance: Column) -> Column:
+    return F.to_json(F.create_map(F.lit("instance"), instance))
+
+
 def average_by_instance(vector: DataFrame) -> DataFrame:
     return (vector.groupBy("instance", "tick").agg(F.avg("value").alias("value"))
-            .select(F.to_json(F.create_map(F.lit("instance"), F.col("instance"))).alias("series"),
+            .select(_instance_series(F.col("instance")).alias("series"),
                     "instance", "tick", "value"))
 
 
@@ -159,9 +163,11 @@ def match_vectors(left: DataFrame, right: DataFrame, how: Callable[[Column, Colu
             .select(*keys, how(F.col("_l"), F.col("_r")).alias("value")))
 
 
-def held(breaches: DataFrame, hold_ticks: int, row_floor: int | None = None) -> DataFrame:
+def held(breaches: DataFrame, hold_ticks: int, row_floor: int | None = None,
+         sizes_from: DataFrame | None = None) -> DataFrame:
     """Unbroken runs of breaching ticks per series that outlast the hold."""
-    groups = OrderedGroups(breaches, ["series"], ["tick"], halo=1, row_floor=row_floor)
+    groups = OrderedGroups(breaches, ["series"], ["tick"], halo=1, row_floor=row_floor,
+                           sizes_from=sizes_from)
     before = F.lag("tick").over(groups.window())
     rows = groups.trim(groups.rows().withColumn(
         "_new", before.isNull() | (before != F.col("tick") - 1)), keep_piece=True)
@@ -188,6 +194,7 @@ class Rule:
     metrics: tuple[str, ...]
     vector: Vector = field(repr=False)
     breach: Test = field(repr=False)
+    by_instance: bool = False
 
     @property
     def alert_type(self) -> str:
@@ -250,7 +257,8 @@ RULES: dict[str, Rule] = {r.rule_id: r for r in (
     _simple("GPU_0102", "GPUPowerHigh", 300, "P2", "DCGM_FI_DEV_POWER_USAGE", above(300)),
     _simple("GPU_0103", "GPUECCError", 60, "P1", "DCGM_FI_DEV_ECC_DBE_VOL_TOTAL", above(0)),
     _simple("GPU_0104", "GPUDown", 60, "P1", "up", equals(0), {"job": "nvidia-gpu-exporter"}),
-    Rule("NODE_0101", "NodeCPUHigh", 300, "P2", ("node_cpu_seconds_total",), _cpu_pct, above(80)),
+    Rule("NODE_0101", "NodeCPUHigh", 300, "P2", ("node_cpu_seconds_total",), _cpu_pct, above(80),
+         by_instance=True),
     Rule("NODE_0102", "NodeMemoryHigh", 300, "P2", MEMORY, _used_pct(*MEMORY), above(85)),
     Rule("NODE_0103", "NodeDiskHigh", 300, "P2", DISK, _used_pct(*DISK), above(85)),
     Rule("NODE_0104", "NodeNetworkErrorHigh", 300, "P2", NET, _net_errors, above(0.1)),
@@ -277,7 +285,10 @@ RULES: dict[str, Rule] = {r.rule_id: r for r in (
 def evaluate(rule: Rule, samples: DataFrame, clock: Clock = Clock()) -> DataFrame:
     """Firing runs of one rule with its labels."""
     breaches = rule.vector(samples, clock).where(rule.breach(F.col("value")))
-    return held(breaches, clock.ticks(rule.hold_s)).select(
+    mine = samples.where(F.col("metric").isin(*rule.metrics))
+    key = (_instance_series(F.col("labels")["instance"]) if rule.by_instance
+           else series_key(F.col("labels")))
+    return held(breaches, clock.ticks(rule.hold_s), sizes_from=mine.select(key.alias("series"))).select(
         F.lit(rule.rule_id).alias("id"), F.lit(rule.alert).alias("alertname"),
         F.lit(rule.severity).alias("severity"), F.lit(rule.alert_type).alias("alert_type"),
         "series", "ip", "start_tick", "fired_tick", "end_tick", "ticks", "peak",

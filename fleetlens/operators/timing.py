@@ -13,10 +13,17 @@ from fleetlens.plans.quantiles import quantile, ranked
 SERIES = ["function", "rank", "stream"]
 
 
+def _by_time(calls: DataFrame, keys: list[str], row_floor: int | None) -> OrderedGroups:
+    order = [c for c in ("ts_ns", "op_count", "event_id") if c in calls.columns]
+    return OrderedGroups(calls, keys, order, halo=1, row_floor=row_floor)
+
+
 def intervals(calls: DataFrame, keys: list[str], row_floor: int | None = None) -> DataFrame:
     """Seconds since the previous call of the same key (null for its first call)."""
-    order = [c for c in ("ts_ns", "op_count", "event_id") if c in calls.columns]
-    groups = OrderedGroups(calls, keys, order, halo=1, row_floor=row_floor)
+    return _gaps(_by_time(calls, keys, row_floor))
+
+
+def _gaps(groups: OrderedGroups) -> DataFrame:
     out = groups.rows().withColumn(
         "gap_s", (F.col("ts_ns") - F.lag("ts_ns").over(groups.window())) / 1e9)
     return groups.trim(out)
@@ -27,12 +34,13 @@ def intervals(calls: DataFrame, keys: list[str], row_floor: int | None = None) -
 def rank_pace(calls: DataFrame, row_floor: int | None = None) -> DataFrame:
     """Pace metrics of each rank on its last batch; score = 70 % frequency + 30 % consistency."""
     batch = last_batch(calls)
-    gaps = intervals(batch, ["rank"], row_floor)
+    calls_of = _by_time(batch, ["rank"], row_floor)
+    gaps = _gaps(calls_of)
     span = batch.groupBy("rank").agg(
         F.count(F.lit(1)).alias("total_calls"),
         ((F.max("ts_ns") - F.min("ts_ns")) / 1e9).alias("duration_s"))
     stats = (ranked(gaps.where(F.col("gap_s").isNotNull()), ["rank"], "gap_s", row_floor,
-                    sizes_from=batch)
+                    like=calls_of)
              .groupBy("rank").agg(F.avg("gap_s").alias("mean_s"),
                                   F.stddev_pop("gap_s").alias("std_s"),
                                   F.max("gap_s").alias("max_s"),
@@ -54,17 +62,20 @@ def robust_slow_ranks(calls: DataFrame, row_floor: int | None = None) -> DataFra
     pace = rank_pace(calls, row_floor).select(
         "rank", *[F.round(c, 9).alias(c) for c in ("score", "calls_per_s", "cv")])
     names = ("score", "calls_per_s", "cv")
-    mid = {c: pace.agg(F.median(c)).scalar() for c in names}
-    dev = {c: pace.agg(F.median(F.abs(F.col(c) - mid[c]))).scalar() for c in names}
-    p10 = {c: pace.agg(F.percentile(c, F.lit(0.1))).scalar() for c in names[:2]}
-    p90 = pace.agg(F.percentile("cv", F.lit(0.9))).scalar()
-    few = pace.agg(F.count(F.lit(1))).scalar() < 5
+    # two one-row subqueries: middle and tails, then the deviation from the middle
+    mid = pace.agg(F.struct(
+        *[F.median(c).alias(c) for c in names], F.count(F.lit(1)).alias("n"),
+        F.percentile("score", F.lit(0.1)).alias("p_score"),
+        F.percentile("calls_per_s", F.lit(0.1)).alias("p_calls"),
+        F.percentile("cv", F.lit(0.9)).alias("p_cv"))).scalar()
+    dev = pace.agg(F.struct(*[F.median(F.abs(F.col(c) - mid[c])).alias(c) for c in names])).scalar()
+    few = mid["n"] < 5
     s, f, v = (F.col(c) for c in names)
-    low_s = (s < p10["score"]) | (~few & (s < mid["score"] - F.greatest(
+    low_s = (s < mid["p_score"]) | (~few & (s < mid["score"] - F.greatest(
         3.0 * dev["score"], F.lit(5.0))))
-    low_f = (f < p10["calls_per_s"]) | (~few & (f < mid["calls_per_s"] - F.greatest(
+    low_f = (f < mid["p_calls"]) | (~few & (f < mid["calls_per_s"] - F.greatest(
         3.0 * dev["calls_per_s"], 0.1 * mid["calls_per_s"])))
-    high_v = (v > p90) | (~few & (v > mid["cv"] + F.greatest(3.0 * dev["cv"], F.lit(0.2))))
+    high_v = (v > mid["p_cv"]) | (~few & (v > mid["cv"] + F.greatest(3.0 * dev["cv"], F.lit(0.2))))
     hits = low_s.cast("int") + low_f.cast("int") + high_v.cast("int")
     return (pace.withColumn("hits", hits).withColumn("is_slow", F.col("hits") >= 2)
             .select("rank", "hits", "is_slow"))
@@ -83,9 +94,11 @@ def simple_slow_ranks(calls: DataFrame) -> DataFrame:
 # ---- interval patterns --------------------------------------------------------------------
 
 def _series_stats(calls: DataFrame, row_floor: int | None):
-    gaps = intervals(calls, SERIES, row_floor).where(F.col("gap_s").isNotNull())
+    calls_of = _by_time(calls, SERIES, row_floor)
+    gaps = _gaps(calls_of).where(F.col("gap_s").isNotNull())
     # gaps per series = calls - 1, so the calls themselves tell which series are hot
-    groups = OrderedGroups(gaps, SERIES, ["gap_s"], row_floor=row_floor, sizes_from=calls)
+    groups = OrderedGroups(gaps, SERIES, ["gap_s"], row_floor=row_floor, sizes_from=calls,
+                           like=calls_of)
     stats = groups.numbered().groupBy(*SERIES).agg(
         F.max("_n").alias("gaps"), F.avg("gap_s").alias("mean_s"),
         F.stddev_pop("gap_s").alias("std_s"), F.min("gap_s").alias("min_s"),
@@ -103,7 +116,10 @@ def pattern_of(gaps: Column, mean: Column, std: Column) -> Column:
 
 def time_patterns(calls: DataFrame, row_floor: int | None = None) -> DataFrame:
     """Interval statistics and regularity class of every (function, rank, stream)."""
-    _, stats, _ = _series_stats(calls, row_floor)
+    return _time_patterns(_series_stats(calls, row_floor)[1])
+
+
+def _time_patterns(stats: DataFrame) -> DataFrame:
     return stats.select(
         *SERIES, "mean_s", "std_s", "min_s", "max_s", "p50_s", "p95_s", "p99_s",
         (F.col("gaps") + 1).alias("call_count"), "duration_s",
@@ -116,7 +132,10 @@ def severity_of(z: Column) -> Column:
 
 def interval_anomalies(calls: DataFrame, row_floor: int | None = None) -> DataFrame:
     """Intervals beyond three sigmas, or outside the quartile fences (once per call)."""
-    gaps, stats, hot = _series_stats(calls, row_floor)
+    return _interval_anomalies(*_series_stats(calls, row_floor))
+
+
+def _interval_anomalies(gaps: DataFrame, stats: DataFrame, hot: list) -> DataFrame:
     usable = stats.where("gaps >= 3").select(*SERIES, "mean_s", "std_s", "p25_s", "p75_s")
     z = F.when(F.col("std_s") > 0, (F.col("gap_s") - F.col("mean_s")) / F.col("std_s")).otherwise(0.0)
     fence = 1.5 * (F.col("p75_s") - F.col("p25_s"))
@@ -136,7 +155,10 @@ def missing_calls(calls: DataFrame, expected: str = "median", row_floor: int | N
 
     ``expected='mean'`` compares with the mean interval, which by construction never fires.
     """
-    _, stats, _ = _series_stats(calls, row_floor)
+    return _missing_calls(_series_stats(calls, row_floor)[1], expected)
+
+
+def _missing_calls(stats: DataFrame, expected: str) -> DataFrame:
     step = F.col("p50_s") if expected == "median" else F.col("mean_s")
     want = F.when(step > 0, F.floor(F.round(F.col("duration_s") / step, 6)) + 1).otherwise(1)
     return (stats.where("gaps >= 3").withColumn("expected_calls", want.cast("bigint"))
@@ -147,23 +169,28 @@ def missing_calls(calls: DataFrame, expected: str = "median", row_floor: int | N
 
 def all_anomalies(calls: DataFrame, row_floor: int | None = None) -> DataFrame:
     """(series, anomaly type, severity, time) of interval outliers and missing calls."""
-    found = interval_anomalies(calls, row_floor).select(
+    return _all_anomalies(calls, _series_stats(calls, row_floor))
+
+
+def _all_anomalies(calls: DataFrame, series) -> DataFrame:
+    found = _interval_anomalies(*series).select(
         *SERIES, F.lit("interval_outlier").alias("anomaly_type"), "severity", "ts_ns")
     ends = calls.groupBy(*SERIES).agg(F.max("ts_ns").alias("ts_ns"))
-    gone = (missing_calls(calls, row_floor=row_floor).join(ends, SERIES)
+    gone = (_missing_calls(series[1], "median").join(ends, SERIES)
             .select(*SERIES, F.lit("missing_call").alias("anomaly_type"), "severity", "ts_ns"))
     return found.unionByName(gone)
 
 
 def timing_histogram(calls: DataFrame, row_floor: int | None = None) -> DataFrame:
     """Counts of pattern types, anomaly types and severities in one table."""
-    kinds = time_patterns(calls, row_floor).groupBy(
+    series = _series_stats(calls, row_floor)
+    kinds = _time_patterns(series[1]).groupBy(
         F.lit("pattern").alias("facet"), F.col("pattern_type").alias("name")).agg(
         F.count(F.lit(1)).alias("n"))
     # one pass: every anomaly counts once as a type and once as a severity
     both = F.array(F.struct(F.lit("anomaly").alias("facet"), F.col("anomaly_type").alias("name")),
                    F.struct(F.lit("severity").alias("facet"), F.col("severity").alias("name")))
-    marks = (all_anomalies(calls, row_floor).select(F.explode(both).alias("_b"))
+    marks = (_all_anomalies(calls, series).select(F.explode(both).alias("_b"))
              .groupBy("_b.facet", "_b.name").agg(F.count(F.lit(1)).alias("n")))
     return kinds.unionByName(marks)
 

@@ -33,15 +33,22 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 class OrderedGroups:
     """Rows of ``df`` per ``keys`` in the order of ``order`` (first column numeric, rest ties).
 
-    ``halo`` is how many preceding rows of the same key a later frame looks at.
+    ``halo`` is how many preceding rows of the same key a later frame looks at.  ``sizes_from`` is
+    a cheaper table to count keys in (its counts only decide what is cut, never the result);
+    ``like`` is an earlier grouping of at least these rows by the same keys, whose finding that
+    no key is hot is taken over.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], halo: int = 0,
-                 row_floor: int | None = None, sizes_from: DataFrame | None = None):
+                 row_floor: int | None = None, sizes_from: DataFrame | None = None,
+                 like: OrderedGroups | None = None):
         self.keys, self.order, self.halo = list(keys), list(order), halo
         self._df = df
         floor = ROW_FLOOR if row_floor is None else row_floor
-        self._hot = self._find_hot(sizes_from if sizes_from is not None else df, floor)
+        if like is not None and not like.split and like.keys == self.keys:
+            self._hot = []
+        else:
+            self._hot = self._find_hot(sizes_from if sizes_from is not None else df, floor)
         self._layout = self._cut(self._hot) if self._hot else None
 
     # ---- planning -------------------------------------------------------------------------
@@ -59,6 +66,7 @@ class OrderedGroups:
         hot_df = spark.createDataFrame([tuple(r) for r in hot],
                                        key_schema.add("_n", "bigint"))
         small = self._df.select(*self.keys, self.order[0])
+        # fewer than PIECES rows
         joined = small.join(F.broadcast(hot_df), same_keys(small, hot_df, self.keys))
         want = F.least(F.lit(GRID), F.ceil(F.col("_n") / F.lit(float(max(self._limit, 1)))))
         grid = [i / GRID for i in range(1, GRID)]
@@ -81,7 +89,7 @@ class OrderedGroups:
             sizes.setdefault(tuple(r[:-2]), {})[r[-2]] = r[-1]
         final = []
         for r in rows:
-            final.append(self._merge_thin(tuple(r[:-1]), r[-1], sizes[tuple(r[:-1])]))
+            final.append(self._merge_thin(tuple(r[:-1]), r[-1], sizes.get(tuple(r[:-1]), {})))
         schema = (self._df.select(*self.keys).schema.add("_cuts", cut_type)
                   .add("_offsets", "array<bigint>").add("_total", "bigint"))
         return spark.createDataFrame([k + (c, o, t) for k, c, o, t in final], schema)
@@ -106,6 +114,7 @@ class OrderedGroups:
     def _tag(self, df: DataFrame, layout: DataFrame) -> DataFrame:
         """Piece number = how many cuts are <= the order value, by binary search in codegen."""
         extra = [c for c in layout.columns if c not in self.keys]
+        # one row per hot key, below 2 * PIECES cut points in all
         out = df.join(F.broadcast(layout), same_keys(df, layout, self.keys), "left").select(
             *[df[c] for c in df.columns], *[layout[c] for c in extra])
         out = out.withColumn("_piece", F.lit(0))
@@ -209,6 +218,7 @@ def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], hot: list | Non
     if not hot:
         return df.join(facts, keys, how)
     spark = df.sparkSession
+    # fewer than PIECES keys, and one fact row for each
     hot_df = F.broadcast(spark.createDataFrame([tuple(r[k] for k in keys) for r in hot],
                                                df.select(*keys).schema))
     cold = df.join(hot_df, keys, "left_anti").join(facts, keys, how)

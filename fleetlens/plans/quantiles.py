@@ -16,9 +16,9 @@ from fleetlens.plans.ordered import OrderedGroups
 
 
 def ranked(df: DataFrame, keys: Sequence[str], value: str, row_floor: int | None = None,
-           sizes_from: DataFrame | None = None) -> DataFrame:
+           like: OrderedGroups | None = None) -> DataFrame:
     """``df`` plus ``_pos`` (0-based, ascending by value) and ``_n`` per key."""
-    return OrderedGroups(df, keys, [value], row_floor=row_floor, sizes_from=sizes_from).numbered()
+    return OrderedGroups(df, keys, [value], row_floor=row_floor, like=like).numbered()
 
 
 def at_index(value: str, index: Callable[[Column], Column]) -> Column:

@@ -18,16 +18,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PIECES = 4096
 GRID = 1024
 ROW_FLOOR = 4_000_000
 
-_HELPERS = ("_cuts", "_piece", "_halo", "_before", "_total")
+_HELPERS = ("_cuts", "_piece", "_halo", "_rows_before", "_key_rows")
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def _look_up(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Broadcast lookup that also matches null keys.  Callers state why ``small`` is small."""
+    theirs = small.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return df.join(F.broadcast(theirs), on, how).drop(*[f"_of_{k}" for k in keys])
 
 
 class OrderedGroups:
@@ -62,16 +66,14 @@ class OrderedGroups:
 
     def _cut(self, hot: list) -> DataFrame:
         spark = self._df.sparkSession
-        key_schema = self._df.select(*self.keys).schema
-        hot_df = spark.createDataFrame([tuple(r) for r in hot],
-                                       key_schema.add("_n", "bigint"))
+        count = T.LongType()
+        hot_df = spark.createDataFrame([tuple(r) for r in hot], self._schema(_n=count))
         small = self._df.select(*self.keys, self.order[0])
         # fewer than PIECES rows
-        joined = small.join(F.broadcast(hot_df), same_keys(small, hot_df, self.keys))
+        joined = _look_up(small, hot_df, self.keys, "inner")
         want = F.least(F.lit(GRID), F.ceil(F.col("_n") / F.lit(float(max(self._limit, 1)))))
         grid = [i / GRID for i in range(1, GRID)]
-        cuts = (joined.select(*[small[k] for k in self.keys], small[self.order[0]], "_n")
-                .groupBy(*self.keys)
+        cuts = (joined.groupBy(*self.keys)
                 .agg(F.percentile_approx(self.order[0], F.array(*[F.lit(g) for g in grid]),
                                          F.lit(10000)).alias("_grid"),
                      F.max("_n").alias("_n"))
@@ -81,7 +83,8 @@ class OrderedGroups:
                 )).alias("_cuts")))
         rows = cuts.collect()
         cut_type = cuts.schema["_cuts"].dataType
-        plan = self._layout_df([(tuple(r[:-1]), r[-1]) for r in rows], key_schema, cut_type)
+        plan = spark.createDataFrame([tuple(r) for r in rows], self._schema(_cuts=cut_type))
+        self._most_cuts = max(len(r[-1]) for r in rows)
         sizes: dict = {}
         for r in (self._tag(self._df.select(*self.keys, self.order[0]), plan)
                   .where(F.col("_cuts").isNotNull())
@@ -90,13 +93,13 @@ class OrderedGroups:
         final = []
         for r in rows:
             final.append(self._merge_thin(tuple(r[:-1]), r[-1], sizes.get(tuple(r[:-1]), {})))
-        schema = (self._df.select(*self.keys).schema.add("_cuts", cut_type)
-                  .add("_offsets", "array<bigint>").add("_total", "bigint"))
-        return spark.createDataFrame([k + (c, o, t) for k, c, o, t in final], schema)
+        return spark.createDataFrame(
+            [k + (c, o, t) for k, c, o, t in final],
+            self._schema(_cuts=cut_type, _offsets=T.ArrayType(count), _key_rows=count))
 
-    def _layout_df(self, cuts, key_schema, cut_type) -> DataFrame:
-        schema = self._df.select(*self.keys).schema.add("_cuts", cut_type)
-        return self._df.sparkSession.createDataFrame([k + (c,) for k, c in cuts], schema)
+    def _schema(self, **extra: T.DataType) -> T.StructType:
+        keys = self._df.select(*self.keys).schema.fields
+        return T.StructType(keys + [T.StructField(n, t) for n, t in extra.items()])
 
     def _merge_thin(self, key, cuts, sizes):
         """Drop cuts until every piece but the last has at least ``halo`` rows."""
@@ -113,12 +116,9 @@ class OrderedGroups:
 
     def _tag(self, df: DataFrame, layout: DataFrame) -> DataFrame:
         """Piece number = how many cuts are <= the order value, by binary search in codegen."""
-        extra = [c for c in layout.columns if c not in self.keys]
         # one row per hot key, below 2 * PIECES cut points in all
-        out = df.join(F.broadcast(layout), same_keys(df, layout, self.keys), "left").select(
-            *[df[c] for c in df.columns], *[layout[c] for c in extra])
-        out = out.withColumn("_piece", F.lit(0))
-        step = GRID
+        out = _look_up(df, layout, self.keys, "left").withColumn("_piece", F.lit(0))
+        step = 1 << max(self._most_cuts.bit_length() - 1, 0)
         while step >= 1:
             probe = F.get(F.col("_cuts"), F.col("_piece") + F.lit(step - 1))
             out = out.withColumn("_piece", F.col("_piece") + F.when(
@@ -144,12 +144,14 @@ class OrderedGroups:
         if not self.split:
             return self._df
         tagged = (self._tag(self._df, self._layout)
-                  .withColumn("_before", F.coalesce(F.get("_offsets", F.col("_piece")), F.lit(0)))
+                  .withColumn("_rows_before", F.coalesce(F.get("_offsets", F.col("_piece")), F.lit(0)))
                   .drop("_offsets").withColumn("_halo", F.lit(False)))
         if not self.halo:
             return tagged
         back = Window.partitionBy(*self.parts).orderBy(*[F.col(c).desc() for c in self.order])
-        tails = (tagged.where(F.col("_piece") < F.size("_cuts"))
+        # No filter may name _piece: pushed below the search steps it would grow exponentially.
+        # The copies made past a key's last piece stand alone there and are trimmed.
+        tails = (tagged.where(F.col("_cuts").isNotNull())
                  .withColumn("_rn", F.row_number().over(back))
                  .where(F.col("_rn") <= self.halo).drop("_rn")
                  .withColumn("_piece", F.col("_piece") + 1).withColumn("_halo", F.lit(True)))
@@ -182,10 +184,8 @@ class OrderedGroups:
                  .agg(fold("_mark").alias("_m"))
                  .withColumn("_carry", fold("_m").over(earlier))
                  .select(*self.parts, "_carry"))
-        cols = [c for c in out.columns if c != "_mark"]
         # one row per piece of a hot key: below 2 * PIECES rows
-        out = out.join(F.broadcast(carry), same_keys(out, carry, self.parts), "left").select(
-            *[out[c] for c in cols], carry["_carry"])
+        out = _look_up(out.drop("_mark"), carry, self.parts, "left")
         both = (F.greatest(F.col(name), F.col("_carry")) if kind == "max"
                 else F.coalesce(F.col(name), F.lit(0)) + F.coalesce("_carry", F.lit(0)))
         return out.withColumn(name, both).drop("_carry")
@@ -202,9 +202,9 @@ class OrderedGroups:
         here = F.count(F.lit(1)).over(Window.partitionBy(*self.parts))
         if not self.split:
             return out.withColumn(n, here) if n else out
-        out = out.withColumn(pos, F.col(pos) + F.col("_before"))
+        out = out.withColumn(pos, F.col(pos) + F.col("_rows_before"))
         if n:
-            out = out.withColumn(n, here).withColumn(n, F.coalesce("_total", n))
+            out = out.withColumn(n, here).withColumn(n, F.coalesce("_key_rows", n))
         return out.drop(*_HELPERS)
 
 

@@ -78,9 +78,9 @@ st AS (SELECT *, sum(CASE WHEN b IS NULL OR us - b >= 600000000 THEN 1 ELSE 0 EN
 SELECT rank, min(us) AS first_us, max(us) AS last_us, count(*) AS calls FROM st GROUP BY rank, run"""
 add("x6_flush_batches", lambda s, d: detectors.flush_batches(
     X.comm_ops(s, d).withColumn("ts", F.timestamp_micros(div(F.col("ts_ns"), 1000))),
-    "600 seconds", None), _FLUSH)
+    600.0, None), _FLUSH)
 add("x6_live_flush_batches", lambda s, d: drain(detectors.flush_batches(
-    _call_stream(s, d), "600 seconds"), "flush"),
+    _call_stream(s, d), 600.0), "flush"),
     _FLUSH + " HAVING max(now_us) - max(us) >= 600000000")
 
 add("x7_live_deduplication", lambda s, d: drain(detectors.deduplicated(_call_stream(s, d).withColumn(

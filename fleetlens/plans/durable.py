@@ -20,12 +20,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the next loop round starts from files, not from the whole history."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/fleetlens-{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and go on from it.
+
+    The next round of a loop starts from files, so a lost executor costs no history.  Unlike
+    ``checkpoint()`` the new plan also forgets the inferred constraints of the old one, which
+    double with every round of joins.
+    """
+    path = scratch_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,8 +14,9 @@ from fleetlens.operators import rules as R
 
 
 def _gap(seconds: float) -> str:
-    """Gap text one microsecond above the limit: only a longer silence ends the session."""
-    return f"{int(seconds)} seconds 1 microseconds"
+    """Gap text.  A session still takes in an event exactly at its end, so only a silence longer
+    than the gap ends it."""
+    return f"{round(seconds * 1_000_000)} microseconds"
 
 
 def stream_hangs(calls: DataFrame, idle_s: float = 300.0, delay: str = "0 seconds") -> DataFrame:
@@ -42,9 +43,13 @@ def offline_clients(beats: DataFrame, timeout_s: float = 1200.0, delay: str = "0
                     F.unix_micros("_b").alias("last_us")))
 
 
-def flush_batches(calls: DataFrame, idle: str = "3 seconds", delay: str | None = "0 seconds"
+def flush_batches(calls: DataFrame, idle_s: float = 3.0, delay: str | None = "0 seconds"
                   ) -> DataFrame:
-    """Flush batches per rank re-derived from idle time; works on tables (``delay=None``) too."""
+    """Flush batches per rank re-derived from idle time: a pause of ``idle_s`` or more ends one.
+
+    Works on tables (``delay=None``) too.
+    """
+    idle = _gap(idle_s - 1e-6)
     rows = calls.withWatermark("ts", delay) if delay is not None else calls
     return (rows.groupBy("rank", F.session_window("ts", idle).alias("_s"))
             .agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"), F.count(F.lit(1)).alias("calls"))

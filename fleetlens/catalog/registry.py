@@ -22,6 +22,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def add(name: str, query: Query, sql: str | None = None) -> None:
     if name in QUERIES:
         raise KeyError(name)
-    QUERIES[name] = lambda spark, sf: rounded(query(spark, sf))
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        # times without a zone are UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return rounded(query(spark, sf))
+    QUERIES[name] = run
     if sql is not None:
         ORACLES[name] = "WITH " + sql.strip()

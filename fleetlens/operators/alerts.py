@@ -81,8 +81,8 @@ def rejected_alerts(alerts: DataFrame) -> DataFrame:
 
 def latest_alerts(store: DataFrame) -> DataFrame:
     """Newest stored row per fingerprint; ``place = 1`` cuts before the shuffle."""
-    new = Window.partitionBy("fingerprint").orderBy(F.col("created_at").desc(),
-                                                    F.col("event_id").desc())
+    order = [c for c in ("created_at", "event_id") if c in store.columns]
+    new = Window.partitionBy("fingerprint").orderBy(*[F.col(c).desc() for c in order])
     return store.withColumn("_p", F.row_number().over(new)).where("_p = 1").drop("_p")
 
 

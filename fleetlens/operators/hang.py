@@ -22,8 +22,8 @@ def last_calls(calls: DataFrame, batch_only: bool = True) -> DataFrame:
     all rows costs no more than a quiet one.
     """
     rows = last_batch(calls) if batch_only else calls
-    late = Window.partitionBy("rank", "stream").orderBy(
-        F.col("ts_ns").desc(), F.col("op_count").desc(), F.col("event_id").desc())
+    order = [c for c in ("ts_ns", "op_count", "event_id") if c in rows.columns]
+    late = Window.partitionBy("rank", "stream").orderBy(*[F.col(c).desc() for c in order])
     two = rows.withColumn("place", F.row_number().over(late)).where(F.col("place") <= 2)
     first = F.col("place") == 1
 

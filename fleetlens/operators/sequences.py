@@ -25,7 +25,7 @@ def island_calls(calls: DataFrame, row_floor: int | None = None, gaps: bool = Fa
     too; ``island_no`` keeps islands with equal start apart.  With ``gaps`` the last intervals (ns)
     come along: ``_g0`` ends at this call, ``_g1`` at the one before, null outside the island.
     """
-    order = ["op_count", "ts_ns", "event_id"]
+    order = [c for c in ("op_count", "ts_ns", "event_id") if c in calls.columns]
     groups = OrderedGroups(calls, STREAM, order, halo=TRAILING + 2 if gaps else 1,
                            row_floor=row_floor)
     w = groups.window()

@@ -33,6 +33,14 @@ def test_discovery_compression_and_bad_bytes(spark, folder):
     assert {r["ts_ns"] for r in got} == {100_500_000_000}
 
 
+def test_detectors_run_on_what_the_reader_gives(spark, folder):
+    from fleetlens.operators import hang, sequences, timing
+    calls = logs.read_calls(spark, folder)
+    assert hang.last_calls(calls).count() == 5
+    assert sequences.sequences(calls).count() == 0
+    assert timing.rank_pace(calls).count() == 5
+
+
 def test_rank_from_file_name_drops_nameless_files(spark, folder):
     got = logs.read_calls(spark, folder, rank_from="file").collect()
     assert sorted(r["rank"] for r in got) == [0, 1, 2, 3]

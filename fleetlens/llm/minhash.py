@@ -165,21 +165,29 @@ def _open_classes(buckets: DataFrame, place: DataFrame) -> DataFrame:
 def _prefix_pairs(open_sets: DataFrame) -> DataFrame:
     """Pairs of classes in different components that may be similar.
 
-    Of two classes in a bucket and in different components, one is light.  A set of n shingles shares
-    at least t * n of them with a set at similarity t, so one of any n - ceil(t * n) + 1 of them; the
-    light class takes its rarest ones and looks them up among all shingles of the open classes.
+    Of two classes in a bucket and in different components, one is light.  With all shingles in one
+    order, rare ones first, a set of n shares at least t * n with a set at similarity t, so the first
+    shingle they share is among the first n - ceil(t * n) + 1 of both.  Pairs that meet there must
+    also fit in size, and by the places of that shingle among the shingles of more than one set:
+    what both have before it and behind it bounds what they can share.
     """
     items = open_sets.select("rep", "part", "light", "which", F.size("items").alias("n"),
                              F.explode("items").alias("item"))
-    seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    # shingles of one set only come first and pair nothing
+    seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     floor = F.floor((PERCENT * F.col("n") + 99) / 100).cast("int")
-    rare = (items.where("light").join(seen, "item").groupBy("rep", "part", "which", "n")
-            .agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("order"))  # the set of one text
-            .select("rep", "part", "n", F.explode(F.slice("order", F.lit(1), F.col("n") - floor + 1)).alias("x"))
-            .where("x.df > 1").select("rep", "part", "n", F.col("x.item").alias("item")))
-    left, right = rare.alias("l"), items.alias("r")
+    alone = F.col("n") - F.size("order")
+    prefix = (items.join(seen, "item").groupBy("rep", "part", "light", "which", "n")
+              .agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("order"))  # the set of one text
+              .where(F.size("order") >= floor)
+              .select("rep", "part", "light", "n", F.size("order").alias("m"), F.posexplode(F.slice(
+                  "order", F.lit(1), F.greatest(F.col("n") - floor + 1 - alone, F.lit(0)))).alias("i", "x"))
+              .select("rep", "part", "light", "n", "m", (F.col("i") + 1).alias("at"), F.col("x.item").alias("item")))
+    left, right = prefix.where("light").alias("l"), prefix.alias("r")
+    most = F.least("l.at", "r.at") + F.least(F.col("l.m") - F.col("l.at"), F.col("r.m") - F.col("r.at"))
     return (left.join(right, (F.col("l.item") == F.col("r.item")) & (F.col("l.part") != F.col("r.part"))
-                      & (100 * F.least("l.n", "r.n") >= PERCENT * F.greatest("l.n", "r.n")))
+                      & (100 * F.least("l.n", "r.n") >= PERCENT * F.greatest("l.n", "r.n"))
+                      & ((100 + PERCENT) * most >= PERCENT * (F.col("l.n") + F.col("r.n"))))
             .select(F.greatest("l.rep", "r.rep").alias("a"), F.least("l.rep", "r.rep").alias("b")).distinct())
 
 

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, minhash, quality_rules, token_counts, toxicity
-from fleetlens.llm.common import fold, table, whole_text
+from fleetlens.llm import bpe, minhash, mixing, ngram_lm, quality_rules, token_counts, toxicity
+from fleetlens.llm.common import fold, table, whole_text, written
 from fleetlens.plans.durable import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str |
         ORACLES[name] = sql.strip()
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    sized = written(docs, "sized")
+    return mixing.mix(sized, sized).select("doc_id", "source", "epoch", "block", "position", "n_tokens")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -66,8 +72,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op10_ngram_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram_lm.score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 5) != 1)
+    return scored.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
+_add("op2_source_mixing", op2_source_mixing, mixing.SQL)
 _add("op3_quality_rules", op3_quality_rules)
 _add("op5_bpe_round_trip", op5_bpe_round_trip)
 _add("op6_token_counts", op6_token_counts)
 _add("op7_minhash_near_dedup", op7_minhash_near_dedup)
 _add("op9_toxicity", op9_toxicity)
+_add("op10_ngram_automaton", op10_ngram_automaton)

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, minhash, mixing, ngram_lm, quality_rules, token_counts, toxicity
+from fleetlens.llm import (ann, bpe, html_text, importance, minhash, mixing, ngram_lm, quality_rules,
+                           token_counts, toxicity)
 from fleetlens.llm.common import fold, table, whole_text, written
 from fleetlens.plans.durable import scratch_path
 
@@ -31,6 +32,10 @@ def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str |
         ORACLES[name] = sql.strip()
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
     sized = written(docs, "sized")
@@ -43,6 +48,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op4_html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "visible_text", "n_chars", "n_lines")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BPE_FILE)
     ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(whole_text(), path).alias("ids"))
@@ -64,6 +73,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
@@ -78,10 +91,13 @@ def op10_ngram_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_score", "score")
 
 
+_add("op1_importance_resampling", op1_importance_resampling)
 _add("op2_source_mixing", op2_source_mixing, mixing.SQL)
 _add("op3_quality_rules", op3_quality_rules)
+_add("op4_html_visible_text", op4_html_visible_text)
 _add("op5_bpe_round_trip", op5_bpe_round_trip)
 _add("op6_token_counts", op6_token_counts)
 _add("op7_minhash_near_dedup", op7_minhash_near_dedup)
+_add("op8_learned_partitions", op8_learned_partitions)
 _add("op9_toxicity", op9_toxicity)
 _add("op10_ngram_automaton", op10_ngram_automaton)

@@ -38,6 +38,7 @@ PERCENT = 80
 UNIVERSE = 1 << 20
 BANDS, ROWS = 40, 6
 STAR_ROUNDS = 4
+LOOK_BACK = 16
 _BLOCK = 2048
 
 
@@ -173,21 +174,27 @@ def _prefix_pairs(open_sets: DataFrame) -> DataFrame:
     """
     items = open_sets.select("rep", "part", "light", "which", F.size("items").alias("n"),
                              F.explode("items").alias("item"))
-    # shingles of one set only come first and pair nothing
-    seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # shingles of one component only come first and pair nothing
+    seen = (items.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("part").alias("lo"),
+                                      F.max("part").alias("hi")).where("lo <> hi").select("item", "df"))
     floor = F.floor((PERCENT * F.col("n") + 99) / 100).cast("int")
     alone = F.col("n") - F.size("order")
     prefix = (items.join(seen, "item").groupBy("rep", "part", "light", "which", "n")
               .agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("order"))  # the set of one text
               .where(F.size("order") >= floor)
-              .select("rep", "part", "light", "n", F.size("order").alias("m"), F.posexplode(F.slice(
-                  "order", F.lit(1), F.greatest(F.col("n") - floor + 1 - alone, F.lit(0)))).alias("i", "x"))
-              .select("rep", "part", "light", "n", "m", (F.col("i") + 1).alias("at"), F.col("x.item").alias("item")))
+              .select("rep", "part", "light", "n", F.size("order").alias("m"), F.explode(F.transform(
+                  F.slice("order", F.lit(1), F.greatest(F.col("n") - floor + 1 - alone, F.lit(0))),
+                  lambda x, i: F.struct(x["item"].alias("item"), (i + 1).alias("at"), F.transform(
+                      F.slice("order", F.greatest(i - (LOOK_BACK - 1), F.lit(1)), F.least(i, F.lit(LOOK_BACK))),
+                      lambda y: y["item"]).alias("before")))).alias("x"))
+              .select("rep", "part", "light", "n", "m", "x.*"))
     left, right = prefix.where("light").alias("l"), prefix.alias("r")
     most = F.least("l.at", "r.at") + F.least(F.col("l.m") - F.col("l.at"), F.col("r.m") - F.col("r.at"))
     return (left.join(right, (F.col("l.item") == F.col("r.item")) & (F.col("l.part") != F.col("r.part"))
                       & (100 * F.least("l.n", "r.n") >= PERCENT * F.greatest("l.n", "r.n"))
-                      & ((100 + PERCENT) * most >= PERCENT * (F.col("l.n") + F.col("r.n"))))
+                      & ((100 + PERCENT) * most >= PERCENT * (F.col("l.n") + F.col("r.n")))
+                      # met at an earlier shingle already
+                      & ~F.arrays_overlap("l.before", "r.before"))
             .select(F.greatest("l.rep", "r.rep").alias("a"), F.least("l.rep", "r.rep").alias("b")).distinct())
 
 

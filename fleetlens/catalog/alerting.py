@@ -157,10 +157,11 @@ JOIN facts USING (fingerprint, poll) WHERE state IN ('new', 'recurrence')""")
 add("l3_settled_store", lambda s, d: A.settle_status(
     X.alert_store(s, d), X.alert_store(s, d).where("status = 'resolved'").select(
         "fingerprint", F.col("us").alias("resolved_at"))).groupBy("status", "resolved_at").count(),
-    STORE_SQL + """, ended AS (SELECT fingerprint, max(us) AS resolved_at FROM alert_store
- WHERE status = 'resolved' GROUP BY 1)
+    STORE_SQL + """, ended AS (SELECT s.event_id, any_value(s.status) AS status, min(r.us) AS resolved_at
+ FROM alert_store s LEFT JOIN alert_store r
+ ON r.fingerprint = s.fingerprint AND r.status = 'resolved' AND r.us >= s.us GROUP BY 1)
 SELECT CASE WHEN resolved_at IS NOT NULL THEN 'resolved' ELSE status END AS status, resolved_at,
- count(*) AS count FROM alert_store LEFT JOIN ended USING (fingerprint) GROUP BY 1, 2""")
+ count(*) AS count FROM ended GROUP BY 1, 2""")
 
 
 def _pushes(s, d):
@@ -286,11 +287,13 @@ FROM heartbeats GROUP BY 1""")
 
 SILENT_SQL = HEART_SQL + """, g AS (SELECT client_id, us, lag(us) OVER (PARTITION BY client_id ORDER BY us)
  AS last_us FROM (SELECT DISTINCT client_id, us FROM heartbeats)),
-silent AS (SELECT client_id, last_us, us FROM g WHERE us - last_us > 1200000000)"""
+silent AS (SELECT client_id, last_us, us, us AS until FROM g WHERE us - last_us > 1200000000
+ UNION ALL SELECT client_id, max(us), NULL, (SELECT max(us) FROM heartbeats) FROM heartbeats GROUP BY 1
+ HAVING (SELECT max(us) FROM heartbeats) - max(us) > 1200000000)"""
 add("x3_heartbeat_silences", lambda s, d: HB.silences(X.heartbeats(s, d)), SILENT_SQL + """
 SELECT client_id, last_us, last_us + 1200000000 AS offline_us, us AS back_us,
- round((us - last_us) / 1e6 + 1e-9, 6) AS silent_s FROM silent""")
+ round((until - last_us) / 1e6 + 1e-9, 6) AS silent_s FROM silent""")
 add("x3_connection_events", lambda s, d: HB.connection_events(X.heartbeats(s, d)), SILENT_SQL + """
 SELECT client_id, min(us) AS us, 'recovered' AS event FROM heartbeats GROUP BY 1
 UNION ALL SELECT client_id, last_us + 1200000000, 'offline' FROM silent
-UNION ALL SELECT client_id, us, 'recovered' FROM silent""")
+UNION ALL SELECT client_id, us, 'recovered' FROM silent WHERE us IS NOT NULL""")

@@ -127,7 +127,7 @@ add("a14_group_numbers", lambda s, d: C.group_numbers(comm_ops(s, d)),
 add("a15_slow_matrix", lambda s, d: C.slow_matrix(comm_ops(s, d)),
     HASH_SQL + " SELECT rank, group_hash, group_id, slow_count, normalised FROM matrix")
 
-add("j5_slow_matrix_wide", lambda s, d: C.slow_matrix_wide(comm_ops(s, d), 5), HASH_SQL + " SELECT rank, "
+add("j5_slow_matrix_wide", lambda s, d: C.slow_matrix_wide(comm_ops(s, d)), HASH_SQL + " SELECT rank, "
     + ", ".join(f"max(CASE WHEN group_id = {i} THEN normalised END) AS g{i}" for i in range(1, 6))
     + " FROM matrix GROUP BY 1")
 

@@ -34,13 +34,12 @@ add("w15_slowest_flows", lambda s, d: K.slowest_flows(link_transfers(s, d), 3),
  AS place FROM rate)
 SELECT {_F}, bytes, nsec, sends, round(rate_gbps + 1e-9, 6) AS rate_gbps, place FROM p WHERE place <= 3""")
 
-add("a27_compacted_sends", lambda s, d: K.compact_sends(link_telemetry(s, d), 7_500), TELE_SQL + """
+add("a27_compacted_sends", lambda s, d: K.compact_sends(link_telemetry(s, d)), TELE_SQL + """
 , f AS (SELECT *, CASE WHEN lag(func_times) OVER w IS DISTINCT FROM func_times THEN 1 ELSE 0 END AS nw
  FROM link_telemetry WINDOW w AS (PARTITION BY nic, dev ORDER BY rn)),
-g AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY nic, dev ORDER BY rn) AS BIGINT) AS run,
- count(*) OVER (PARTITION BY nic, dev) AS n FROM f)
+g AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY nic, dev ORDER BY rn) AS BIGINT) AS run FROM f)
 SELECT nic, dev, run, func_times, CAST(sum(size) AS BIGINT) AS size, max(t_ns) AS t_ns, count(*) AS sends
-FROM g GROUP BY nic, dev, run, func_times, CASE WHEN n >= 7500 THEN 0 ELSE rn END""")
+FROM g GROUP BY nic, dev, run, func_times""")
 
 BAND_SQL = TELE_SQL + """
 , w AS (SELECT *, count(*) OVER f AS full_n, sum(size) OVER f AS bytes, first(size) OVER f AS first_size,

@@ -27,9 +27,9 @@ SELECT function, rank, stream, gaps + 1 AS call_count, pattern_type FROM kind"""
 
 def _matrix(s, d):
     path = scratch_path(s, "matrix")
-    sinks.write_matrix(compare.slow_matrix_wide(X.comm_ops(s, d), 5), path)
-    return s.read.schema("rank INT, g1 BIGINT, g2 BIGINT, g3 BIGINT, g4 BIGINT, g5 BIGINT").csv(
-        path, header=True)
+    matrix = compare.slow_matrix_wide(X.comm_ops(s, d))
+    sinks.write_matrix(matrix, path)
+    return s.read.schema(matrix.schema).csv(path, header=True)
 
 
 add("k2_matrix_csv", _matrix, HASH_SQL + " SELECT rank, " + ", ".join(

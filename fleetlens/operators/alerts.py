@@ -111,12 +111,23 @@ def snapshot_changes(snapshot: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def settle_status(store: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Every stored row of a resolved fingerprint gets state ``resolved`` and the time of it."""
-    at = resolutions.groupBy("fingerprint").agg(F.max("resolved_at").alias("_at"))
-    out = store.join(at, "fingerprint", "left")
-    return (out.withColumn("resolved_at", F.col("_at"))
-            .withColumn("status", F.when(F.col("_at").isNotNull(), "resolved")
-                        .otherwise(F.col("status"))).drop("_at"))
+    """Rows that exist when their fingerprint is resolved get state ``resolved`` and that time.
+
+    ``us`` is when a row was stored; the first resolution at or after it settles the row, so a
+    recurrence stored later stays as it is.
+    """
+    rows = store.drop("resolved_at").withColumns({
+        "_back": -F.col("us"), "_stored": F.lit(1), "_end": F.lit(None).cast("bigint")})
+    ends = resolutions.select("fingerprint", (-F.col("resolved_at")).alias("_back"),
+                              F.lit(0).alias("_stored"), F.col("resolved_at").alias("_end"))
+    # backwards in time, the nearest resolution is the smallest so far
+    groups = OrderedGroups(rows.unionByName(ends, allowMissingColumns=True), ["fingerprint"],
+                           ["_back", "_stored"])
+    walked = groups.trim(groups.rows(), keep_piece=True)
+    walked = groups.finish(groups.running(walked, -F.col("_end"), "_next", "max"))
+    return (walked.where("_stored = 1").withColumn("resolved_at", -F.col("_next"))
+            .withColumn("status", F.when(F.col("resolved_at").isNotNull(), "resolved")
+                        .otherwise(F.col("status"))).drop("_back", "_stored", "_end", "_next"))
 
 
 # ---- life cycle ---------------------------------------------------------------------------

@@ -202,8 +202,10 @@ def slow_matrix(calls: DataFrame) -> DataFrame:
             .select("rank", "group_hash", "group_id", "slow_count", "normalised"))
 
 
-def slow_matrix_wide(calls: DataFrame, groups: int) -> DataFrame:
-    """Rank x group matrix; a cell is null where the rank is no member of the group."""
+def slow_matrix_wide(calls: DataFrame) -> DataFrame:
+    """Rank x group matrix with a column for every group; a cell is null where the rank is no member
+    of the group.  Group numbers are consecutive, so their maximum names the columns."""
+    groups = group_numbers(calls).agg(F.max("group_id")).first()[0] or 0
     wide = (slow_matrix(calls).groupBy("rank").pivot("group_id", list(range(1, groups + 1)))
             .agg(F.first("normalised")))
     return wide.select("rank", *[F.col(str(i)).alias(f"g{i}") for i in range(1, groups + 1)])
@@ -264,7 +266,9 @@ def set_sizes(calls: DataFrame, approx: bool = False) -> DataFrame:
         return calls.groupBy("group_hash").agg(
             F.approx_count_distinct("op_count").alias("op_counts"),
             F.approx_count_distinct("rank").alias("ranks"))
-    def distinct(col):
-        return (calls.select("group_hash", col).distinct().groupBy("group_hash")
-                .agg(F.count(F.lit(1)).alias(col + "s")))
-    return distinct("op_count").join(distinct("rank"), "group_hash")
+    seen = calls.select("group_hash", F.explode(F.array(
+        F.struct(F.lit(True).alias("op"), F.col("op_count").cast("long").alias("x")),
+        F.struct(F.lit(False).alias("op"), F.col("rank").cast("long").alias("x")))).alias("v"))
+    # deduplicated values, so the second step only counts; a null hash is a group too
+    return (seen.select("group_hash", "v.*").where("x IS NOT NULL").distinct().groupBy("group_hash")
+            .agg(F.count_if("op").alias("op_counts"), F.count_if(~F.col("op")).alias("ranks")))

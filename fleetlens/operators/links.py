@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.calls import arrow, link_function
 from fleetlens.plans.ordered import OrderedGroups
-from fleetlens.plans.sizes import bounded
 
 FLOW = ["grp", "func_name", "func_times", "channel", "flow", "ip_flow"]
 DEVICE = ["nic", "dev"]
 WINDOW_SENDS = 50
-QUEUE_LIMIT = 50_010
 GBIT_FACTOR = 0.93 * 8
 
 
@@ -87,21 +85,14 @@ def sliding_bandwidth(sends: DataFrame, window: int = WINDOW_SENDS, row_floor: i
     return rows.select(*DEVICE, "rn", "func_times", F.floor(rate).cast("bigint").alias("gbps"))
 
 
-def compact_sends(sends: DataFrame, queue_limit: int = QUEUE_LIMIT, row_floor: int | None = None
-                  ) -> DataFrame:
-    """Neighbouring sends of one device with equal ``func_times`` merged, on devices whose queue is
-    at its limit; other devices keep their rows."""
+def compact_sends(sends: DataFrame, row_floor: int | None = None) -> DataFrame:
+    """Neighbouring sends of one device with equal ``func_times`` merged into one."""
     groups = OrderedGroups(sends, DEVICE, ["rn"], halo=1, row_floor=row_floor)
     before = F.lag("func_times").over(groups.window())
     rows = groups.rows().withColumn(
         "_new", (before.isNull() | (before != F.col("func_times"))).cast("bigint"))
     rows = groups.trim(rows, keep_piece=True)
     rows = groups.finish(groups.running(rows, F.col("_new"), "run", "sum"))
-    full = (sends.groupBy(*DEVICE).agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") >= queue_limit).select(*DEVICE, F.lit(True).alias("_merge")))
-    # one row per device
-    rows = rows.join(bounded(full), DEVICE, "left")
-    unit = F.when(F.col("_merge"), F.lit(0)).otherwise(F.col("rn"))
-    return (rows.groupBy(*DEVICE, "run", "func_times", unit.cast("bigint").alias("_unit"))
+    return (rows.groupBy(*DEVICE, "run", "func_times")
             .agg(F.sum("size").alias("size"), F.max("t_ns").alias("t_ns"),
-                 F.count(F.lit(1)).alias("sends")).drop("_unit"))
+                 F.count(F.lit(1)).alias("sends")))

@@ -90,7 +90,7 @@ def instant_pair(samples: DataFrame, clock: Clock, left: str, right: str) -> Dat
         return wide.where("a IS NOT NULL AND b IS NOT NULL")
     sides = [_fill(wide.where(f"{c} IS NOT NULL").select("series", "instance", "tick", c),
                    ["series"], reach).drop("age") for c in ("a", "b")]
-    return sides[0].join(sides[1], ["series", "instance", "tick"])
+    return sides[0].join(sides[1].drop("instance"), ["series", "tick"])  # instance may be null
 
 
 def rate(samples: DataFrame, clock: Clock, metric: str, equal: dict | None = None,
@@ -158,9 +158,9 @@ def average_by_instance(vector: DataFrame) -> DataFrame:
 def match_vectors(left: DataFrame, right: DataFrame, how: Callable[[Column, Column], Column]
                   ) -> DataFrame:
     """One-to-one arithmetic on series with equal labels at the same tick."""
-    keys = ["series", "instance", "tick"]
-    return (left.withColumnRenamed("value", "_l").join(right.withColumnRenamed("value", "_r"), keys)
-            .select(*keys, how(F.col("_l"), F.col("_r")).alias("value")))
+    theirs = right.select("series", "tick", F.col("value").alias("_r"))  # instance may be null
+    return (left.withColumnRenamed("value", "_l").join(theirs, ["series", "tick"])
+            .select("series", "instance", "tick", how(F.col("_l"), F.col("_r")).alias("value")))
 
 
 def held(breaches: DataFrame, hold_ticks: int, row_floor: int | None = None,
@@ -202,7 +202,11 @@ class Rule:
 
 
 def _now(metric, equal=None, differ=()):
-    return lambda s, c: instant(s, c, metric, equal, differ)
+    def vector(s, c):
+        return instant(s, c, metric, equal, differ)
+    # what a live evaluation needs to know of a bare threshold; other vectors do not have it
+    vector.selects = (metric, dict(equal or {}), tuple(differ))
+    return vector
 
 
 def _rate(metric, equal=None):

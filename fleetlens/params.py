@@ -18,6 +18,8 @@ class Topology:
             raise ValueError("TP, PP and world_size must be positive")
         if self.tp * self.pp > self.world_size:
             raise ValueError("TP * PP must not exceed world_size")
+        if self.world_size % (self.tp * self.pp):
+            raise ValueError("TP * PP must divide world_size")
 
     @property
     def dp(self) -> int:

@@ -1,12 +1,10 @@
-"""Report writers.  All write from the executors; only a bounded text summary is collected."""
+"""Report writers.  All write from the executors."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SUMMARY_ROWS = 100
-
 
 def write_report(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     writer = df.write.mode("errorifexists")
@@ -27,15 +25,6 @@ def append_outbox(notifications: DataFrame, path: str) -> None:
     notifications.write.mode("append").partitionBy("channel").parquet(path)
 
 
-def text_summary(df: DataFrame, title: str) -> str:
-    """A short text of a small report; refuses to cut a long one."""
-    rows = df.limit(SUMMARY_ROWS + 1).collect()
-    if len(rows) > SUMMARY_ROWS:
-        raise ValueError(f"more than {SUMMARY_ROWS} rows; write the report to a table instead")
-    body = ["  ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in rows]
-    return "\n".join([title, "-" * len(title), *body])
-
-
 def payload(df: DataFrame) -> DataFrame:
     """Each row as one JSON payload."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("payload"))

@@ -68,11 +68,16 @@ def firing_ticks(samples: DataFrame, rule: R.Rule, clock: R.Clock, equal: dict |
     """Ticks at which a threshold rule fires: every tick of its hold breached.
 
     Newest sample per tick, then a sliding window over the hold; a full window of breaches fires.
+    The rule's own matchers apply, ``equal`` adds to them.  Rules on rates, ratios or excluded labels
+    cannot be evaluated this way and are refused.
     """
+    metric, matchers, differ = getattr(rule.vector, "selects", (None, {}, ()))
+    if metric is None or differ or rule.by_instance:
+        raise ValueError(f"{rule.rule_id} is no bare threshold")
     step = f"{clock.step_s} seconds"
     hold = clock.ticks(rule.hold_s) + 1
-    rows = samples.where(F.col("metric") == rule.metrics[0])
-    for key, value in (equal or {}).items():
+    rows = samples.where(F.col("metric") == metric)
+    for key, value in (matchers | (equal or {})).items():
         rows = rows.where(F.col("labels")[key] == value)
     ticks = (rows.withWatermark("ts", delay)
              .groupBy(R.series_key(F.col("labels")).alias("series"), F.window("ts", step).alias("_w"))

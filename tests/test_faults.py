@@ -289,3 +289,47 @@ def test_silent_client(spark):
     assert [(r["last_us"], r["back_us"]) for r in rows] == [(1_200_000_000, 2_401_000_000)]
     kinds = [r["event"] for r in heartbeat.connection_events(beats).orderBy("us").collect()]
     assert kinds == ["recovered", "offline", "recovered"]
+
+
+def test_client_that_stays_away(spark):
+    beats = spark.createDataFrame([("gone", 0), ("here", 0), ("here", 1_000_000_000), ("here", 1_500_000_000)],
+                                  "client_id STRING, us BIGINT")
+    rows = heartbeat.silences(beats).collect()
+    assert [(r["client_id"], r["last_us"], r["back_us"], r["silent_s"]) for r in rows] == [("gone", 0, None, 1500.0)]
+    assert heartbeat.silences(beats, as_of=1_100_000_000).count() == 0
+    events = [(r["client_id"], r["event"]) for r in heartbeat.connection_events(beats).orderBy("us", "client_id").collect()]
+    assert events == [("gone", "recovered"), ("here", "recovered"), ("gone", "offline")]
+
+
+def test_rows_stored_after_a_resolution_stay(spark):
+    store = spark.createDataFrame([("a", 10, "active"), ("a", 50, "active"), ("a", 99, "firing"), ("b", 5, "active")],
+                                  "fingerprint STRING, us BIGINT, status STRING")
+    ends = spark.createDataFrame([("a", 50), ("a", 60)], "fingerprint STRING, resolved_at BIGINT")
+    got = {(r["fingerprint"], r["us"], r["status"], r["resolved_at"]) for r in A.settle_status(store, ends).collect()}
+    assert got == {("a", 10, "resolved", 50), ("a", 50, "resolved", 50), ("a", 99, "firing", None), ("b", 5, "active", None)}
+
+
+def test_set_sizes_keep_the_null_group(make_calls):
+    from fleetlens.operators import compare
+    got = {r["group_hash"]: (r["op_counts"], r["ranks"]) for r in compare.set_sizes(make_calls([
+        {"rank": r, "op": o, "t": 1.0 + o, "group_hash": h}
+        for r, o, h in ((0, 1, None), (1, 1, None), (0, 1, 7), (0, 2, 7))])).collect()}
+    assert got == {None: (1, 2), 7: (2, 1)}
+
+
+def test_every_group_is_a_column(make_calls):
+    from fleetlens.operators import compare
+    calls = make_calls([{"rank": r, "op": o, "t": 1.0 + o + 0.1 * r, "group_hash": h}
+                        for h in range(10, 17) for o in (1, 2) for r in (0, 1)])
+    assert compare.slow_matrix_wide(calls).columns == ["rank"] + [f"g{i}" for i in range(1, 8)]
+
+
+def test_series_without_an_instance_match(spark):
+    from fleetlens.operators import rules
+    side = spark.createDataFrame([("s", None, 3, 6.0)], "series STRING, instance STRING, tick BIGINT, value DOUBLE")
+    assert rules.match_vectors(side, side, lambda a, b: a / b).first()["value"] == 1.0
+
+
+def test_topology_must_divide():
+    with pytest.raises(ValueError):
+        Topology(tp=3, pp=2, world_size=8)

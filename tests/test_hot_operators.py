@@ -23,7 +23,7 @@ CASES = {
     "hash_totals": lambda s, f: compare.hash_rank_totals(X.comm_ops(s, SF).withColumn(
         "op_count", F.lit(1).cast("bigint")), row_floor=f),
     "bandwidth": lambda s, f: links.sliding_bandwidth(X.link_telemetry(s, SF), row_floor=f),
-    "compact": lambda s, f: links.compact_sends(X.link_telemetry(s, SF), 100, f),
+    "compact": lambda s, f: links.compact_sends(X.link_telemetry(s, SF), f),
     "lifecycle": lambda s, f: alerts.lifecycle(X.alert_polls(s, SF).withColumn(
         "fingerprint", F.lit("one")), row_floor=f),
     "recurrences": lambda s, f: alerts.history_recurrences(X.alert_store(s, SF).withColumn(

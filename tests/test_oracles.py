@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from fleetlens.catalog import ORACLES, QUERIES
 from tests.check_oracles import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -15,9 +16,9 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    verdict, _, _ = compare(spark, con, SF, name, queries()[name], oracle_sql().get(name))
+    verdict, _, _ = compare(spark, con, SF, name, QUERIES[name], ORACLES.get(name))
     assert verdict in ("ok", "rows-only"), verdict
 
 
@@ -26,4 +27,4 @@ def test_entry_has_rows(spark):
 
 
 def test_only_the_regression_has_no_sql():
-    assert set(queries()) - set(oracle_sql()) == {"w11_lag_regression"}
+    assert set(QUERIES) - set(ORACLES) == {"w11_lag_regression"}

@@ -84,6 +84,3 @@ def test_writers(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 4
     sinks.write_matrix(df.select("rank"), f"{tmp_path}/m")
     assert spark.read.csv(f"{tmp_path}/m", header=True).count() == 2
-    assert sinks.text_summary(df, "T").startswith("T\n-\n")
-    with pytest.raises(ValueError):
-        sinks.text_summary(spark.range(101), "T")

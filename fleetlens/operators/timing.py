@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.calls import lookup, slow_limit
 from fleetlens.operators.hang import last_batch
 from fleetlens.plans.ordered import OrderedGroups, attach
-from fleetlens.plans.quantiles import quantile, ranked
+from fleetlens.plans.quantiles import quantile, spread
 
 SERIES = ["function", "rank", "stream"]
 
@@ -29,6 +29,18 @@ def _gaps(groups: OrderedGroups) -> DataFrame:
     return groups.trim(out)
 
 
+def gaps_by_length(gaps: DataFrame, keys: list[str], like: OrderedGroups,
+                   row_floor: int | None = None, sizes_from: DataFrame | None = None) -> OrderedGroups:
+    """Gaps per key, shortest first.  A regular stream has equal gaps, so where a key is hot they are
+    set apart by their calls; the order among equal gaps changes no quantile."""
+    order = ["gap_s"]
+    if like.split:
+        ties = [c for c in ("ts_ns", "op_count", "event_id", "rank", "stream") if c in gaps.columns]
+        gaps = gaps.withColumn("_order", spread(F.rint(F.col("gap_s") * 1e9), *ties))
+        order = ["_order", "gap_s"]
+    return OrderedGroups(gaps, keys, order, row_floor=row_floor, sizes_from=sizes_from, like=like)
+
+
 # ---- per-rank pace ------------------------------------------------------------------------
 
 def rank_pace(calls: DataFrame, row_floor: int | None = None) -> DataFrame:
@@ -39,9 +51,8 @@ def rank_pace(calls: DataFrame, row_floor: int | None = None) -> DataFrame:
     span = batch.groupBy("rank").agg(
         F.count(F.lit(1)).alias("total_calls"),
         ((F.max("ts_ns") - F.min("ts_ns")) / 1e9).alias("duration_s"))
-    stats = (ranked(gaps.where(F.col("gap_s").isNotNull()), ["rank"], "gap_s", row_floor,
-                    like=calls_of)
-             .groupBy("rank").agg(F.avg("gap_s").alias("mean_s"),
+    stats = (gaps_by_length(gaps.where(F.col("gap_s").isNotNull()), ["rank"], calls_of, row_floor)
+             .numbered().groupBy("rank").agg(F.avg("gap_s").alias("mean_s"),
                                   F.stddev_pop("gap_s").alias("std_s"),
                                   F.max("gap_s").alias("max_s"),
                                   quantile("gap_s", 0.95).alias("p95_s")))
@@ -97,8 +108,7 @@ def _series_stats(calls: DataFrame, row_floor: int | None):
     calls_of = _by_time(calls, SERIES, row_floor)
     gaps = _gaps(calls_of).where(F.col("gap_s").isNotNull())
     # gaps per series = calls - 1, so the calls themselves tell which series are hot
-    groups = OrderedGroups(gaps, SERIES, ["gap_s"], row_floor=row_floor, sizes_from=calls,
-                           like=calls_of)
+    groups = gaps_by_length(gaps, SERIES, calls_of, row_floor, sizes_from=calls)
     stats = groups.numbered().groupBy(*SERIES).agg(
         F.max("_n").alias("gaps"), F.avg("gap_s").alias("mean_s"),
         F.stddev_pop("gap_s").alias("std_s"), F.min("gap_s").alias("min_s"),

@@ -7,8 +7,10 @@ into consecutive pieces of the order column at approximate quantiles, and window
 removed again afterwards, so results equal those of the uncut window.  Keys below the limit keep
 the plain plan with no extra column at all.
 
-Driver-side data is bounded: a hot key has more than ``total / PIECES`` rows, so there are fewer
-than ``PIECES`` hot keys and fewer than ``2 * PIECES`` cut points altogether.
+The limit is the same for every input, so a task's share does not grow with the data.  What the
+driver holds is bounded by it: a hot key has more than ``limit`` rows, so there are fewer than
+``total / limit`` hot keys and fewer than twice as many cut points (a number of 8 bytes each; half a
+million of them for 10^12 rows at the default limit).
 """
 
 from __future__ import annotations
@@ -20,11 +22,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PIECES = 4096
-GRID = 1024
 ROW_FLOOR = 4_000_000
 
-_HELPERS = ("_cuts", "_piece", "_halo", "_rows_before", "_key_rows")
+_HELPERS = ("_hot", "_piece", "_halo", "_rows_before", "_key_rows")
 
 
 def _look_up(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -48,20 +48,16 @@ class OrderedGroups:
                  like: OrderedGroups | None = None):
         self.keys, self.order, self.halo = list(keys), list(order), halo
         self._df = df
-        floor = ROW_FLOOR if row_floor is None else row_floor
+        self._limit = max(ROW_FLOOR if row_floor is None else row_floor, 1)
         if like is not None and not like.split and like.keys == self.keys:
             self._hot = []
         else:
-            self._hot = self._find_hot(sizes_from if sizes_from is not None else df, floor)
+            self._hot = self._find_hot(sizes_from if sizes_from is not None else df)
         self._layout = self._cut(self._hot) if self._hot else None
 
     # ---- planning -------------------------------------------------------------------------
-    def _find_hot(self, df: DataFrame, floor: int) -> list:
+    def _find_hot(self, df: DataFrame) -> list:
         counts = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
-        total, top = counts.agg(F.sum("_n"), F.max("_n")).first()
-        self._limit = max(floor, (total or 0) // PIECES)
-        if top is None or top <= self._limit:
-            return []
         return counts.where(F.col("_n") > self._limit).collect()
 
     def _cut(self, hot: list) -> DataFrame:
@@ -69,17 +65,18 @@ class OrderedGroups:
         count = T.LongType()
         hot_df = spark.createDataFrame([tuple(r) for r in hot], self._schema(_n=count))
         small = self._df.select(*self.keys, self.order[0])
-        # fewer than PIECES rows
+        # fewer than total / limit rows
         joined = _look_up(small, hot_df, self.keys, "inner")
-        want = F.least(F.lit(GRID), F.ceil(F.col("_n") / F.lit(float(max(self._limit, 1)))))
-        grid = [i / GRID for i in range(1, GRID)]
+        want = F.ceil(F.col("_n") / F.lit(float(self._limit)))
+        # the largest key takes every step of the grid, a smaller one as many as it needs
+        grid = -(-max(r["_n"] for r in hot) // self._limit)
+        steps = F.expr("array(" + ", ".join(f"{i / grid:.12f}D" for i in range(1, grid)) + ")")
         cuts = (joined.groupBy(*self.keys)
-                .agg(F.percentile_approx(self.order[0], F.array(*[F.lit(g) for g in grid]),
-                                         F.lit(10000)).alias("_grid"),
+                .agg(F.percentile_approx(self.order[0], steps, F.lit(max(10000, 4 * grid))).alias("_grid"),
                      F.max("_n").alias("_n"))
                 .withColumn("_want", want)
                 .select(*self.keys, F.array_distinct(F.filter(
-                    "_grid", lambda x, i: ((i + 1) * F.col("_want")) % GRID < F.col("_want")
+                    "_grid", lambda x, i: ((i + 1) * F.col("_want")) % grid < F.col("_want")
                 )).alias("_cuts")))
         rows = cuts.collect()
         cut_type = cuts.schema["_cuts"].dataType
@@ -87,8 +84,7 @@ class OrderedGroups:
         self._most_cuts = max(len(r[-1]) for r in rows)
         sizes: dict = {}
         for r in (self._tag(self._df.select(*self.keys, self.order[0]), plan)
-                  .where(F.col("_cuts").isNotNull())
-                  .groupBy(*self.keys, "_piece").count().collect()):
+                  .where("_hot").groupBy(*self.keys, "_piece").count().collect()):
             sizes.setdefault(tuple(r[:-2]), {})[r[-2]] = r[-1]
         final = []
         for r in rows:
@@ -116,7 +112,7 @@ class OrderedGroups:
 
     def _tag(self, df: DataFrame, layout: DataFrame) -> DataFrame:
         """Piece number = how many cuts are <= the order value, by binary search in codegen."""
-        # one row per hot key, below 2 * PIECES cut points in all
+        # one row per hot key, fewer than 2 * total / limit cut points in all
         out = _look_up(df, layout, self.keys, "left").withColumn("_piece", F.lit(0))
         step = 1 << max(self._most_cuts.bit_length() - 1, 0)
         while step >= 1:
@@ -124,7 +120,8 @@ class OrderedGroups:
             out = out.withColumn("_piece", F.col("_piece") + F.when(
                 probe <= F.col(self.order[0]), F.lit(step)).otherwise(F.lit(0)))
             step //= 2
-        return out
+        # the cuts end here: no shuffle carries them
+        return out.withColumn("_hot", F.col("_cuts").isNotNull()).drop("_cuts")
 
     # ---- use ------------------------------------------------------------------------------
     @property
@@ -151,7 +148,7 @@ class OrderedGroups:
         back = Window.partitionBy(*self.parts).orderBy(*[F.col(c).desc() for c in self.order])
         # No filter may name _piece: pushed below the search steps it would grow exponentially.
         # The copies made past a key's last piece stand alone there and are trimmed.
-        tails = (tagged.where(F.col("_cuts").isNotNull())
+        tails = (tagged.where("_hot")
                  .withColumn("_rn", F.row_number().over(back))
                  .where(F.col("_rn") <= self.halo).drop("_rn")
                  .withColumn("_piece", F.col("_piece") + 1).withColumn("_halo", F.lit(True)))
@@ -180,11 +177,11 @@ class OrderedGroups:
             return out.drop("_mark")
         earlier = (Window.partitionBy(*self.keys).orderBy("_piece")
                    .rowsBetween(Window.unboundedPreceding, -1))
-        carry = (out.where(F.col("_cuts").isNotNull()).groupBy(*self.parts)
+        carry = (out.where("_hot").groupBy(*self.parts)
                  .agg(fold("_mark").alias("_m"))
                  .withColumn("_carry", fold("_m").over(earlier))
                  .select(*self.parts, "_carry"))
-        # one row per piece of a hot key: below 2 * PIECES rows
+        # one row per piece of a hot key: fewer than 2 * total / limit rows
         out = _look_up(out.drop("_mark"), carry, self.parts, "left")
         both = (F.greatest(F.col(name), F.col("_carry")) if kind == "max"
                 else F.coalesce(F.col(name), F.lit(0)) + F.coalesce("_carry", F.lit(0)))
@@ -212,13 +209,13 @@ def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], hot: list | Non
            how: str = "inner") -> DataFrame:
     """Join per-key facts back to the rows; rows of hot keys meet theirs by broadcast.
 
-    ``hot`` holds fewer than ``PIECES`` keys, so the broadcast part has a fixed bound.
+    ``hot`` holds one key per ``limit`` rows at most, which bounds the broadcast part.
     """
     keys = list(keys)
     if not hot:
         return df.join(facts, keys, how)
     spark = df.sparkSession
-    # fewer than PIECES keys, and one fact row for each
+    # one key per limit rows, and one fact row for each
     hot_df = F.broadcast(spark.createDataFrame([tuple(r[k] for k in keys) for r in hot],
                                                df.select(*keys).schema))
     cold = df.join(hot_df, keys, "left_anti").join(facts, keys, how)

@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 from fleetlens.plans.ordered import OrderedGroups
 
 
+PLACES = 1 << 20
+
+
+def spread(value: Column, *ties: str) -> Column:
+    """An order for whole-numbered ``value`` that also sets equal values apart, by a hash of ``ties``.
+
+    A hot key whose values are all alike can then be cut too.  Different values never change places;
+    above 2**33 the double keeps fewer places per value, so sort by the value after it.
+    """
+    return value.cast("double") * PLACES + F.pmod(F.xxhash64(*ties), F.lit(PLACES))
+
+
 def ranked(df: DataFrame, keys: Sequence[str], value: str, row_floor: int | None = None,
            like: OrderedGroups | None = None) -> DataFrame:
     """``df`` plus ``_pos`` (0-based, ascending by value) and ``_n`` per key."""

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fleetlens.operators import timing
 from fleetlens.plans.ordered import OrderedGroups, attach
 from fleetlens.plans.quantiles import at_index, quantile, ranked
 
@@ -95,3 +96,24 @@ def test_like_skips_counting_only_without_hot_keys(skewed):
     assert not OrderedGroups(skewed, ["key"], ["t"], row_floor=FLOOR, like=cold).split
     hot = OrderedGroups(skewed, ["key"], ["t"], row_floor=FLOOR)
     assert OrderedGroups(skewed, ["key"], ["t"], row_floor=FLOOR, like=hot).split
+
+
+def test_equal_gaps_of_a_hot_key_are_cut(spark):
+    calls = spark.range(20_000).select(
+        F.lit(0).alias("rank"), F.lit("AllReduce").alias("function"), F.lit(7).cast("bigint").alias("stream"),
+        F.col("id").alias("op_count"), (F.col("id") * 10**9).alias("ts_ns"))
+    by_time = OrderedGroups(calls, ["rank"], ["ts_ns"], halo=1, row_floor=100)
+    gaps = timing.intervals(calls, ["rank"], 100).where("gap_s IS NOT NULL")
+    groups = timing.gaps_by_length(gaps, ["rank"], by_time, 100)
+    largest = groups.rows().groupBy("rank", "_piece").count().agg(F.max("count")).first()[0]
+    assert largest <= 300
+    numbered = groups.numbered()
+    assert numbered.agg(F.min("_pos"), F.max("_pos"), F.count_distinct("_pos")).first()[:] == (0, 19_998, 19_999)
+
+
+def test_pieces_do_not_grow_with_the_key(spark):
+    rows = spark.range(40_000).select(F.lit("hot").alias("key"), F.col("id").alias("t"))
+    groups = OrderedGroups(rows, ["key"], ["t"], row_floor=10)
+    largest = groups.rows().groupBy("_piece").count().agg(F.max("count")).first()[0]
+    assert largest <= 30
+    assert "_cuts" not in groups.rows().columns

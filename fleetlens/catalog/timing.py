@@ -198,6 +198,25 @@ SELECT {_ST}, CAST(start_op AS BIGINT) AS start_op, gap_idx, ts_ns, round(actual
 
 add("w11_lag_regression", lambda s, d: S.linear_forecast(call_sequences(s, d)))
 
+# one lag and no penalty: the least-squares line that SQL knows too
+add("w11_one_lag_line", lambda s, d: S.linear_forecast(call_sequences(s, d), lags=1, penalty=0.0),
+    ISLAND_SQL + f"""
+, ends AS (SELECT {_ST}, island_no, 7 * count(*) // 10 AS train FROM fc WHERE gap_idx >= 0
+ GROUP BY {_ST}, island_no),
+lagged AS (SELECT *, lag(actual_s) OVER (PARTITION BY {_ST}, island_no ORDER BY gap_idx) AS before_s
+ FROM fc JOIN ends USING ({_ST}, island_no) WHERE gap_idx >= 0),
+span AS (SELECT {_ST}, island_no, min(actual_s) AS lo, max(actual_s) AS hi FROM lagged
+ WHERE gap_idx < train GROUP BY {_ST}, island_no),
+scaled AS (SELECT *, CASE WHEN hi > lo THEN (before_s - lo) / (hi - lo) ELSE before_s END AS x,
+ CASE WHEN hi > lo THEN (actual_s - lo) / (hi - lo) ELSE actual_s END AS y
+ FROM lagged JOIN span USING ({_ST}, island_no) WHERE gap_idx >= 1),
+line AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM scaled WHERE gap_idx < train),
+said AS (SELECT *, CASE WHEN hi > lo THEN (a + b * x) * (hi - lo) + lo ELSE a + b * x END AS p
+ FROM scaled, line WHERE gap_idx >= train)
+SELECT {_ST}, CAST(start_op AS BIGINT) AS start_op, gap_idx, ts_ns, round(actual_s + 1e-9, 6) AS actual_s,
+ round(p + 1e-9, 6) AS predicted_s, round(CASE WHEN actual_s = 0 THEN abs(p)
+ ELSE abs(actual_s - p) / abs(actual_s) END + 1e-9, 6) AS deviation FROM said""")
+
 add("w12_sequence_rollup", lambda s, d: S.sequence_rollup(call_sequences(s, d)), ISLAND_SQL + """
 , lv AS (SELECT 'sequence' AS level, rank, stream, save_count, CAST(start_op AS BIGINT) AS start_op,
   deviation, gap_idx FROM hit

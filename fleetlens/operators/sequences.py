@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.numbers import div
 from fleetlens.params import SEQUENCE_PRESETS, SequenceLimits
 from fleetlens.plans.ordered import OrderedGroups, attach
 
@@ -15,6 +16,7 @@ ISLAND = [*STREAM, "start_op"]
 
 
 TRAILING = 3
+TRAINING_TENTHS = 7
 
 
 def island_calls(calls: DataFrame, row_floor: int | None = None, gaps: bool = False) -> DataFrame:
@@ -93,10 +95,14 @@ def forecast_anomalies(calls: DataFrame, limits: SequenceLimits = SequenceLimits
             .where(F.round("deviation", 9) > limits.threshold))
 
 
-def linear_forecast(calls: DataFrame, lags: int = 10, row_floor: int | None = None) -> DataFrame:
-    """Lag-feature regression: intervals min-max scaled per island, ``lags`` values to the next.
+def linear_forecast(calls: DataFrame, lags: int = 10, row_floor: int | None = None,
+                    penalty: float = 1e-3) -> DataFrame:
+    """Lag-feature regression: ``lags`` intervals to the next, fitted on the earlier part of every
+    island and applied to the rest.
 
-    The model is fitted once on all islands by a distributed solver.
+    The first ``TRAINING_TENTHS`` tenths of an island's intervals train the model and give the minimum
+    and maximum that scale the island, so no prediction knows what comes after it.  One model is
+    fitted on all islands by a distributed solver.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
@@ -104,11 +110,14 @@ def linear_forecast(calls: DataFrame, lags: int = 10, row_floor: int | None = No
     gaps = island_gaps(calls, row_floor).drop("predicted_s")
     island = [*ISLAND, "island_no"]
     sized = OrderedGroups(gaps, island, ["gap_idx"], halo=lags, row_floor=row_floor)
-    span = gaps.groupBy(*island).agg(F.min("actual_s").alias("_lo"), F.max("actual_s").alias("_hi"))
+    ends = gaps.groupBy(*island).agg(
+        div((F.max("gap_idx") + 1) * TRAINING_TENTHS, 10).alias("_train"))
     w = sized.window()
     names = [f"_l{i}" for i in range(1, lags + 1)]
-    lagged = sized.trim(sized.rows().withColumns(
-        {n: F.lag("actual_s", i).over(w) for i, n in enumerate(names, 1)}))
+    lagged = attach(sized.trim(sized.rows().withColumns(
+        {n: F.lag("actual_s", i).over(w) for i, n in enumerate(names, 1)})), ends, island, sized.hot_keys)
+    span = (attach(gaps, ends, island, sized.hot_keys).where("gap_idx < _train").groupBy(*island)
+            .agg(F.min("actual_s").alias("_lo"), F.max("actual_s").alias("_hi")))
     width = F.col("_hi") - F.col("_lo")
 
     def scaled(c):
@@ -116,10 +125,10 @@ def linear_forecast(calls: DataFrame, lags: int = 10, row_floor: int | None = No
     table = (attach(lagged.where(F.col("gap_idx") >= lags), span, island, sized.hot_keys)
              .withColumns({**{n: scaled(n) for n in names}, "_y": scaled("actual_s")}))
     vectors = VectorAssembler(inputCols=names, outputCol="_x").transform(table)
-    model = LinearRegression(featuresCol="_x", labelCol="_y", predictionCol="_p",
-                             regParam=1e-3, maxIter=20).fit(vectors)
+    model = LinearRegression(featuresCol="_x", labelCol="_y", predictionCol="_p", solver="normal",
+                             regParam=penalty).fit(vectors.where("gap_idx < _train"))
     back = F.when(width > 0, F.col("_p") * width + F.col("_lo")).otherwise(F.col("_p"))
-    out = model.transform(vectors).withColumn("predicted_s", back)
+    out = model.transform(vectors.where("gap_idx >= _train")).withColumn("predicted_s", back)
     return _residuals(out, False).select(*ISLAND, "gap_idx", "ts_ns", "actual_s", "predicted_s",
                                          "deviation")
 

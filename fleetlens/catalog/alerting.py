@@ -63,7 +63,10 @@ SELECT fingerprint, CASE WHEN state = 'resolved' THEN '🟢【故障恢复】 -
  CASE WHEN state = 'resolved' THEN 'green' ELSE CASE severity WHEN 'P0' THEN 'red' WHEN 'P1' THEN 'orange'
  WHEN 'P2' THEN 'yellow' ELSE 'blue' END END AS colour, severity, summary,
  coalesce(node, '未知节点') AS node, coalesce(host_ip, '未知IP') AS host_ip, instance,
- strftime(starts_at + INTERVAL 8 HOURS, '%Y-%m-%d %H:%M:%S') AS started FROM snap""")
+ '未知ID' AS id, '未知类型' AS alert_type, '未知任务' AS job, coalesce(cluster, '未知集群') AS cluster,
+ coalesce(exported_namespace, namespace, '未知命名空间') AS namespace, '未知节点' AS nodename, '未知Pod' AS pod_name,
+ '未知Pod IP' AS pod_ip, '未知容器' AS pod_container_name, coalesce(deployment, '未知部署') AS deployment,
+ '无详细信息' AS description, strftime(starts_at + INTERVAL 8 HOURS, '%Y-%m-%d %H:%M:%S') AS started FROM snap""")
 
 _RULE = A.AlertFilter(min_severity="warning", exclude_names=("Alert3",), exclude_labels={"node": "node4"},
                       include_labels={"host_ip": "10.2.0.5", "namespace": "ns1", "instance": "10.1.0.2"})
@@ -257,6 +260,29 @@ SELECT us // 600000000 * 600000000 AS window_us, alertname, count(*) AS alerts,
  WHEN 'P1' THEN 'critical-alerts' WHEN 'P2' THEN 'warning-alerts' ELSE 'web.hook' END AS receiver
 FROM alert_store GROUP BY 1, 2""")
 
+add("l8_p3_card", lambda s, d: A.p3_card_lines(X.alert_store(s, d), AS_OF), STORE_SQL + _WEEK + f"""
+, p3 AS (SELECT count(*) AS total, count(CASE WHEN status IN ('active', 'firing') THEN 1 END) AS active,
+ count(CASE WHEN status = 'resolved' THEN 1 END) AS resolved,
+ count(CASE WHEN recurrence_count > 0 THEN 1 END) AS again, coalesce(sum(recurrence_count), 0) AS often
+ FROM wk WHERE severity = 'P3'), names AS ({_NAMES.format(where="WHERE severity = 'P3'", k=10)})
+SELECT 0 AS part, '统计周期' AS name, '2024-01-24 至 2024-01-31' AS line
+UNION ALL SELECT 1, '总告警数', CAST(total AS VARCHAR) FROM p3 UNION ALL SELECT 2, '活跃告警', CAST(active AS VARCHAR) FROM p3
+UNION ALL SELECT 3, '已解决', CAST(resolved AS VARCHAR) FROM p3 UNION ALL SELECT 4, '复发告警', CAST(again AS VARCHAR) FROM p3
+UNION ALL SELECT 5, '总复发次数', CAST(often AS VARCHAR) FROM p3
+UNION ALL SELECT 6, alertname, concat('• ', alertname, ': ', alerts, '次',
+ CASE WHEN total_recurrence > 0 THEN concat(' (复发', total_recurrence, '次)') ELSE '' END) FROM names
+UNION ALL SELECT 6, '', '• 本周无P3告警' FROM p3 WHERE total = 0""")
+
+_MID_US = 1_705_708_800_000_000
+add("l9_group_repeats", lambda s, d: A.group_repeats(X.alert_store(s, d), _MID_US), STORE_SQL + f"""
+, past AS (SELECT * FROM alert_store WHERE us <= {_MID_US}), newest AS (SELECT fingerprint, alertname, status,
+  row_number() OVER (PARTITION BY fingerprint ORDER BY us DESC, event_id DESC) AS p FROM past),
+sent AS (SELECT alertname, max(us // 10000000 * 10000000) AS last_us FROM past GROUP BY 1),
+live AS (SELECT alertname, count(*) AS live_alerts FROM newest WHERE p = 1 AND status IN ('active', 'firing')
+ GROUP BY 1)
+SELECT alertname, last_us, live_alerts, round(({_MID_US} - last_us) / 1e6 + 1e-9, 6) AS since_s
+FROM sent JOIN live USING (alertname) WHERE {_MID_US} - last_us >= 3600000000""")
+
 add("l10_receivers", lambda s, d: X.alert_store(s, d).groupBy(A.receiver(F.col("severity")).alias(
     "receiver")).count(), STORE_SQL + """
 SELECT CASE severity WHEN 'P1' THEN 'critical-alerts' WHEN 'P2' THEN 'warning-alerts' ELSE 'web.hook' END

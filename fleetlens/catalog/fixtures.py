@@ -226,6 +226,8 @@ def alert_json(spark: SparkSession, sf: str) -> DataFrame:
         opt(u % 3 != 0, "host_ip", F.concat(F.lit("10.2.0."), u % 16)),
         opt(u % 4 == 1, "namespace", F.concat(F.lit("ns"), u % 6)),
         opt(u % 4 == 2, "exported_namespace", F.concat(F.lit("ex"), u % 6)),
+        opt(k % 2 == 1, "cluster", F.concat(F.lit("c"), k % 4)),
+        opt(k % 5 == 0, "deployment", F.concat(F.lit("d"), u % 3)),
         opt(F.lit(True), "instance", F.concat(F.lit("10.1.0."), u % 16)), F.lit("}"))
     status = F.when(k % 2 == 0, F.concat(F.lit('{"state":"'), state, F.lit('"}'))).otherwise(
         F.concat(F.lit('"'), state, F.lit('"')))
@@ -246,6 +248,8 @@ SNAP_SQL = EVENTS_SQL + """, snap AS (
   CASE WHEN user_id % 3 <> 0 THEN concat('10.2.0.', user_id % 16) END AS host_ip,
   CASE WHEN user_id % 4 = 1 THEN concat('ns', user_id % 6) END AS namespace,
   CASE WHEN user_id % 4 = 2 THEN concat('ex', user_id % 6) END AS exported_namespace,
+  CASE WHEN k % 2 = 1 THEN concat('c', k % 4) END AS cluster,
+  CASE WHEN k % 5 = 0 THEN concat('d', user_id % 3) END AS deployment,
   concat('10.1.0.', user_id % 16) AS instance, concat('s', k) AS summary,
   date_trunc('second', ts) AS starts_at, user_id, k FROM e WHERE event_type = 'error')"""
 

@@ -55,6 +55,10 @@ FROM last GROUP BY 1"""
 add("a28_sync_comparison", lambda s, d: H.sync_comparison(comm_ops(s, d)), LAST_SQL + _SYNC)
 add("a28_sync_comparison_numbered", lambda s, d: H.sync_comparison(call_sequences(s, d)),
     LAST_SEQ_SQL + _SYNC.replace("SELECT op_count", "SELECT CAST(op_count AS BIGINT) AS op_count"))
+add("a28_sync_ranks", lambda s, d: H.sync_ranks(comm_ops(s, d)), LAST_SQL + """
+SELECT op_count, function, count(*) AS streams,
+ array_to_string(list_sort(list(DISTINCT rank)), ',') AS ranks FROM last
+WHERE op_count IN (SELECT op_count FROM last GROUP BY 1 HAVING count(*) > 1) GROUP BY 1, 2""")
 add("a28_hang_candidate", lambda s, d: H.hang_candidate(call_sequences(s, d)), LAST_SEQ_SQL + """
 , solo AS (SELECT op_count FROM last GROUP BY 1 HAVING count(*) = 1)
 SELECT rank, stream, function, CAST(op_count AS BIGINT) AS op_count FROM last

@@ -10,11 +10,17 @@ from fleetlens.params import SEVERITY_LEVELS
 
 DISPLAY_ZONE = "Asia/Shanghai"
 
-# Titles, colours and the columns of the alert display row
+# Titles, colours, texts for absent labels, and the columns of the alert display row
 TITLE_FIRING = "⚠【故障告警】 - "
 TITLE_RESOLVED = "🟢【故障恢复】 - "
 TITLE_REPEAT = " -- 重复推送%d次"
 CARD_COLOURS = {"P0": "red", "P1": "orange", "P2": "yellow", "P3": "blue"}
+CARD_DEFAULTS = {
+    "alertname": "未知告警", "id": "未知ID", "alert_type": "未知类型", "severity": "未知", "node": "未知节点",
+    "instance": "未知实例", "job": "未知任务", "host_ip": "未知IP", "cluster": "未知集群", "nodename": "未知节点",
+    "pod_name": "未知Pod", "pod_ip": "未知Pod IP", "pod_container_name": "未知容器", "deployment": "未知部署",
+}
+CARD_NAMESPACE, CARD_SUMMARY, CARD_DESCRIPTION = "未知命名空间", "无描述", "无详细信息"
 LABEL_COLUMNS = ("id", "alert_type", "alertname", "instance", "severity", "job", "node", "host_ip",
                  "cluster", "nodename", "pod_name", "pod_ip", "pod_container_name", "deployment")
 
@@ -65,8 +71,8 @@ def display_row(alerts: DataFrame) -> DataFrame:
 def card(alerts: DataFrame, repeats: str = "repeat_count") -> DataFrame:
     """Title, colour and text fields of one notification per alert."""
     labels, state = F.col("labels"), F.col("state")
-    name = F.coalesce(labels["alertname"], F.lit("未知告警"))
-    severity = F.coalesce(labels["severity"], F.lit("未知"))
+    field = {k: F.coalesce(labels[k], F.lit(v)) for k, v in CARD_DEFAULTS.items()}
+    name, severity = field.pop("alertname"), field.pop("severity")
     firing = F.concat(F.lit(TITLE_FIRING), name, F.when(
         F.col(repeats) > 0, F.format_string(TITLE_REPEAT, F.col(repeats))).otherwise(F.lit("")))
     colour = F.when(state == "resolved", F.lit("green")).otherwise(
@@ -75,8 +81,8 @@ def card(alerts: DataFrame, repeats: str = "repeat_count") -> DataFrame:
         "fingerprint", F.when(is_live(state), firing).otherwise(
             F.concat(F.lit(TITLE_RESOLVED), name)).alias("title"),
         colour.alias("colour"), severity.alias("severity"),
-        F.coalesce(F.col("annotations")["summary"], F.lit("无描述")).alias("summary"),
-        F.coalesce(labels["node"], F.lit("未知节点")).alias("node"),
-        F.coalesce(labels["host_ip"], F.lit("未知IP")).alias("host_ip"),
-        F.coalesce(labels["instance"], F.lit("未知实例")).alias("instance"),
+        *[value.alias(key) for key, value in field.items()],
+        F.coalesce(labels["exported_namespace"], labels["namespace"], F.lit(CARD_NAMESPACE)).alias("namespace"),
+        F.coalesce(F.col("annotations")["summary"], F.lit(CARD_SUMMARY)).alias("summary"),
+        F.coalesce(F.col("annotations")["description"], F.lit(CARD_DESCRIPTION)).alias("description"),
         local_text(F.col("starts_at")).alias("started"))

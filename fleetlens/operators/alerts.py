@@ -318,6 +318,23 @@ def notification_groups(alerts: DataFrame, wait: str = "10 seconds") -> DataFram
                     "fingerprints", "top_severity", receiver(F.col("top_severity")).alias("receiver")))
 
 
+def group_repeats(store: DataFrame, as_of_us: int, limits: AlertLimits = AlertLimits(),
+                  wait: str = "10 seconds") -> DataFrame:
+    """Alert names whose group still has live alerts and was last notified a repeat interval ago.
+
+    A group has one row per wait window until it is reduced to its last; live alerts are counted
+    per name, so no group is gathered.
+    """
+    past = store.where(F.col("us") <= as_of_us)
+    live = (latest_alerts(past).where(is_live(F.col("status"))).groupBy("alertname")
+            .agg(F.count(F.lit(1)).alias("live_alerts")))
+    sent = (past.select("alertname", F.unix_micros(F.window("created_at", wait)["start"]).alias("_us"))
+            .groupBy("alertname").agg(F.max("_us").alias("last_us")))
+    waited = F.lit(as_of_us) - F.col("last_us")
+    return (sent.where(waited >= limits.group_repeat_s * 1_000_000).join(live, "alertname")
+            .select("alertname", "last_us", "live_alerts", (waited / 1e6).alias("since_s")))
+
+
 # ---- weekly reports -----------------------------------------------------------------------
 
 def report_window(as_of: str) -> tuple[Column, Column]:
@@ -386,3 +403,29 @@ def report_lines(store: DataFrame, as_of: str, top: int = 5) -> DataFrame:
         F.lit(2).alias("part"), F.col("alertname").alias("name"),
         F.format_string("%d alerts (%d active)", "alerts", "active_count").alias("line"))
     return stats.unionByName(names)
+
+
+# Texts of the P3 card
+P3_PERIOD, P3_NONE, P3_NAME, P3_AGAIN = "统计周期", "• 本周无P3告警", "• %s: %d次", " (复发%d次)"
+P3_NUMBERS = (("总告警数", "total_count"), ("活跃告警", "active_count"), ("已解决", "resolved_count"),
+              ("复发告警", "recurring_alerts"), ("总复发次数", "total_recurrence"))
+
+
+def p3_card_lines(store: DataFrame, as_of: str, top: int = 10, severity: str = "P3") -> DataFrame:
+    """The weekly card of low alerts: period, five numbers, then a line per name, or one that says
+    that there was none."""
+    start, end = report_window(as_of)
+    week = F.concat(F.date_format(start, "yyyy-MM-dd"), F.lit(" 至 "), F.date_format(end, "yyyy-MM-dd"))
+
+    def line(part, name, text):
+        return F.struct(F.lit(part).alias("part"), F.lit(name).alias("name"), text.alias("line"))
+    numbers = [line(i, name, F.coalesce(F.col(c), F.lit(0)).cast("string"))
+               for i, (name, c) in enumerate(P3_NUMBERS, 1)]
+    nothing = F.when(F.col("total_count") == 0, line(6, "", F.lit(P3_NONE)))
+    head = (weekly_p3(store, as_of, severity)
+            .select(F.inline(F.array_compact(F.array(line(0, P3_PERIOD, week), *numbers, nothing)))))
+    again = F.when(F.col("total_recurrence") > 0, F.format_string(P3_AGAIN, "total_recurrence"))
+    names = weekly_top_names(store, as_of, top, severity).select(
+        F.lit(6).alias("part"), F.col("alertname").alias("name"),
+        F.concat(F.format_string(P3_NAME, "alertname", "alerts"), F.coalesce(again, F.lit(""))).alias("line"))
+    return head.unionByName(names)

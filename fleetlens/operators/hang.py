@@ -68,6 +68,19 @@ def sync_comparison(calls: DataFrame) -> DataFrame:
             .withColumn("is_unique", F.col("streams") == 1))
 
 
+def sync_ranks(calls: DataFrame) -> DataFrame:
+    """Ranks per function at each last operation number that several streams share.
+
+    Only last calls are grouped: a list holds every rank once at most, and the window over an
+    operation number has a row per function.
+    """
+    each = (last_calls(calls).groupBy("op_count", "function")
+            .agg(F.count(F.lit(1)).alias("streams"), F.concat_ws(",", F.sort_array(
+                F.collect_set("rank")).cast("array<string>")).alias("ranks")))
+    shared = F.sum("streams").over(Window.partitionBy("op_count"))
+    return each.withColumn("_all", shared).where("_all > 1").drop("_all")
+
+
 def hang_candidate(calls: DataFrame) -> DataFrame:
     """The stream that alone holds the smallest last operation number."""
     last = last_calls(calls)

@@ -6,25 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.plans.durable import scratch_path
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None
                    ) -> DataFrame:
-    """A table as a stream; the pattern lets ``path`` be one file or a folder of part files."""
+    """A table as a stream; ``path`` is one file or a folder of part files."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path.rstrip("/") + "*")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(where).isFile():  # a stream reads folders
+        return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+    return reader.parquet(path)
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Process all available input into a parquet table in the shared folder, exactly once."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
     folder = scratch_path(spark, name)
+    try:
+        _finish(stream, folder)
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _finish(stream: DataFrame, folder: str) -> None:
     query = (stream.writeStream.format("parquet").outputMode("append")
              .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
              .start(f"{folder}/out"))
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import whole_text
+from fleetlens.llm.common import whole_text, written
 
 SCHEMA = "content string, vocabulary string, n_tokens long"
 
@@ -69,9 +69,10 @@ def cached_counts(docs: DataFrame, path: str, cache: str, text: str = "text") ->
               .select("content", F.lit(version).alias("vocabulary"),
                       count_tokens(F.col("_whole"), path).alias("n_tokens")))
     misses.write.mode("append").parquet(cache)
-    counts = (stored(spark, cache).where(F.col("vocabulary") == version)
-              # two runs may have appended the same digest
-              .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
+    # two runs may have appended the same digest; written, since Spark splits a hot key only in a join
+    # whose sides come straight from a shuffle
+    counts = written(stored(spark, cache).where(F.col("vocabulary") == version)
+                     .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return (docs.withColumn("n_bytes", F.octet_length("_whole").cast("long"))
             .withColumn("content", digest).drop("_whole", text)
             .join(counts, "content", "left"))

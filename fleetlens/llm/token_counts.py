@@ -63,9 +63,10 @@ def cached_counts(docs: DataFrame, path: str, cache: str, text: str = "text") ->
     docs = docs.drop("n_bytes", "content", "n_tokens").withColumn("_whole", whole_text(text))
     digest = F.sha2(F.col("_whole").cast("binary"), 256)
     known = stored(spark, cache).where(F.col("vocabulary") == version).select("content", "n_tokens")
+    # one text per digest and task before the shuffle; the join after it needs no other
     misses = (docs.select(digest.alias("content"), "_whole")
-              .join(known.select("content"), "content", "left_anti")
               .groupBy("content").agg(F.first("_whole").alias("_whole"))
+              .join(known.select("content"), "content", "left_anti")
               .select("content", F.lit(version).alias("vocabulary"),
                       count_tokens(F.col("_whole"), path).alias("n_tokens")))
     misses.write.mode("append").parquet(cache)

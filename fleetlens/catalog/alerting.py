@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.catalog import fixtures as X
-from fleetlens.catalog.fixtures import AS_OF, HEART_SQL, POLL_SQL, SNAP_SQL, STORE_SQL
+from fleetlens.catalog.fixtures import AS_OF, EVENTS_SQL, HEART_SQL, POLL_SQL, SNAP_SQL, STORE_SQL
 from fleetlens.catalog.registry import add
 from fleetlens.functions import alerts as FA
 from fleetlens.operators import alerts as A
@@ -152,6 +152,41 @@ facts AS (SELECT fingerprint, poll, min(alertname) AS alertname, min(severity) A
 add("l1_alert_lifecycle", lambda s, d: A.lifecycle(X.alert_polls(s, d)),
     LIFE_SQL + " SELECT fingerprint, poll, state FROM life")
 
+
+
+def _decision_sides(s, d):
+    """Snapshot: newest error event per user; store: click events, resolved ``k`` minutes ago.
+
+    Each side lacks some users, so that alerts are new and gone too."""
+    e, k = X._events(s, d).withColumn("fingerprint", F.concat(F.lit("fp"), "user_id")), F.col("k")
+    state = F.when(k % 3 == 0, "active").when(k % 3 == 1, "firing").otherwise("resolved")
+    seen = e.where("event_type = 'error' AND user_id % 5 <> 1").groupBy("fingerprint").agg(
+        F.max_by(state, "event_id").alias("state"), F.max_by(k % 4, "event_id").alias("starts_us"))
+    status = F.when(k % 11 == 0, "pending").otherwise(state)
+    ended = F.when((status == "resolved") & (k % 2 == 0), F.lit(AS_OF_US) - k.cast("bigint") * 60_000_000)
+    return seen, e.where("event_type = 'click' AND user_id % 7 <> 2").select(
+        "fingerprint", status.alias("status"), (k % 4).alias("starts_us"), ended.alias("resolved_us"), "us",
+        "event_id")
+
+
+add("l1_alert_decisions", lambda s, d: A.decide(*_decision_sides(s, d), AS_OF_US), EVENTS_SQL + f"""
+, t AS (SELECT *, concat('fp', user_id) AS fingerprint,
+ CASE k % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'firing' ELSE 'resolved' END AS state FROM e),
+seen AS (SELECT * FROM t WHERE event_type = 'error' AND user_id % 5 <> 1
+ QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY event_id DESC) = 1),
+st AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'pending' ELSE state END AS status FROM t WHERE event_type = 'click'
+ AND user_id % 7 <> 2),
+newest AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY us DESC, event_id DESC) = 1),
+sooner AS (SELECT DISTINCT fingerprint FROM st WHERE status = 'resolved' AND k % 2 = 0 AND k < 20),
+v AS (SELECT fingerprint, s.state, CASE WHEN n.status IS NULL THEN 'new'
+  WHEN n.status IN ('active', 'firing') THEN 'ongoing' WHEN n.status = 'pending' THEN 'other'
+  WHEN n.k % 4 = s.k % 4 THEN 'unchanged'
+  WHEN fingerprint IN (SELECT fingerprint FROM sooner) THEN 'suppressed' ELSE 'recurrence' END AS verdict
+ FROM seen s LEFT JOIN newest n USING (fingerprint))
+SELECT fingerprint, verdict, verdict IN ('new', 'recurrence') AND state IN ('active', 'firing') AS notify FROM v
+UNION ALL SELECT DISTINCT fingerprint, 'resolved', false FROM st WHERE status <> 'resolved'
+ AND fingerprint NOT IN (SELECT fingerprint FROM seen)""")
+
 add("l2_stored_alerts", lambda s, d: A.stored_rows(X.alert_polls(s, d)), LIFE_SQL + """
 SELECT fingerprint, alertname, severity, poll AS created_poll, starts_poll,
  state = 'recurrence' AS is_recurrence FROM fold JOIN started USING (fingerprint, poll)

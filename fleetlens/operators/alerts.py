@@ -110,6 +110,39 @@ def snapshot_changes(snapshot: DataFrame, store: DataFrame) -> DataFrame:
         gone.withColumn("change", F.lit("resolved")))
 
 
+def decide(snapshot: DataFrame, store: DataFrame, as_of_us: int,
+           limits: AlertLimits = AlertLimits()) -> DataFrame:
+    """Verdict on every fingerprint of one snapshot, and on stored ones that are gone from it.
+
+    new          never stored
+    ongoing      newest stored row is live
+    other        newest stored row is neither live nor resolved
+    unchanged    resolved, and the snapshot still shows the same start
+    recurrence   resolved, with another start, and no resolution in the last ``recurrence_s`` seconds
+    suppressed   the same, but resolved more recently
+    resolved     some stored row is unresolved, and the snapshot misses the fingerprint
+
+    ``snapshot`` has fingerprint (once), state and starts_us; ``store`` has fingerprint, status,
+    starts_us, resolved_us, us and event_id.  ``notify`` marks new and recurring alerts that the
+    snapshot shows as live.  The store is reduced to a row per fingerprint before the join.
+    """
+    known = store.groupBy("fingerprint").agg(
+        F.max_by(F.struct("status", "starts_us"), F.struct("us", "event_id")).alias("_last"),
+        F.max("resolved_us").alias("_ended"), F.bool_or(F.col("status") != "resolved").alias("_open"))
+    both = snapshot.withColumn("_here", F.lit(True)).join(known, "fingerprint", "full")
+    status, ended = F.col("_last.status"), F.col("_ended")
+    long_ago = ended.isNull() | (F.lit(as_of_us) - ended >= limits.recurrence_s * 1_000_000)
+    verdict = (F.when(F.col("_here").isNull(), F.when(F.col("_open"), "resolved"))
+               .when(F.col("_open").isNull(), "new").when(is_live(status), "ongoing")
+               .when(status != "resolved", "other")
+               .when(F.col("_last.starts_us").eqNullSafe(F.col("starts_us")), "unchanged")
+               .when(long_ago, "recurrence").otherwise("suppressed"))
+    fresh = F.col("verdict").isin("new", "recurrence")
+    return (both.withColumn("verdict", verdict).where("verdict IS NOT NULL")
+            .select("fingerprint", "verdict", (fresh & F.coalesce(is_live(F.col("state")), F.lit(False)))
+                    .alias("notify")))
+
+
 def settle_status(store: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Rows that exist when their fingerprint is resolved get state ``resolved`` and that time.
 

@@ -333,3 +333,23 @@ def test_series_without_an_instance_match(spark):
 def test_topology_must_divide():
     with pytest.raises(ValueError):
         Topology(tp=3, pp=2, world_size=8)
+
+
+def test_decision_counts_seconds_since_the_resolution(spark):
+    s = 1_000_000
+    store = spark.createDataFrame([
+        ("live", "firing", 1, None, 1, 1), ("same", "resolved", 1, 0, 1, 2), ("soon", "resolved", 1, 801 * s, 1, 3),
+        ("late", "resolved", 1, 800 * s, 1, 4), ("never", "resolved", 1, None, 1, 5), ("odd", "pending", 1, None, 1, 6),
+        ("gone", "active", 1, None, 1, 7), ("done", "resolved", 1, 5, 1, 8), ("twice", "active", 1, None, 1, 9),
+        ("twice", "resolved", 1, 0, 2, 10)],
+        "fingerprint string, status string, starts_us long, resolved_us long, us long, event_id long")
+    names = ("live", "same", "soon", "late", "never", "odd", "first", "twice")
+    seen = [(n, "firing", 1 if n == "same" else 2) for n in names] + [("quiet", "suppressed", 2)]
+    snapshot = spark.createDataFrame(seen, "fingerprint string, state string, starts_us long")
+    got = {r.fingerprint: (r.verdict, r.notify) for r in A.decide(snapshot, store, 2000 * s).collect()}
+    assert got == {"live": ("ongoing", False), "same": ("unchanged", False), "soon": ("suppressed", False),
+                   "late": ("recurrence", True), "never": ("recurrence", True), "odd": ("other", False),
+                   "first": ("new", True), "twice": ("recurrence", True), "quiet": ("new", False),
+                   "gone": ("resolved", False)}
+    assert A.decide(snapshot.limit(0), store, 0).where("verdict <> 'resolved'").isEmpty()
+    assert A.decide(snapshot, store.limit(0), 0).where("verdict <> 'new'").isEmpty()

@@ -1,14 +1,24 @@
 """Quality rules whose cutoffs are chosen on labelled texts with a guarantee.
 
-Every rule rejects a text when a statistic passes a cutoff.  For each stratum and rule the cutoffs of
-a fixed ladder are tried from the mildest to the strictest.  A cutoff is accepted while the exact
-binomial test says that it falsely rejects at most ``limit / rules`` of the good texts:
-``P(Binomial(n, limit / rules) <= k) <= error / (strata * rules)``, where ``k`` of the ``n`` labelled
-good texts of the stratum are rejected (this is the Clopper-Pearson upper bound).  The ladder stops at
-the first cutoff that fails, so trying many cutoffs costs nothing (fixed-sequence testing), and
-strata and rules are corrected for by Bonferroni.  All rules together then reject at most ``limit`` of
-the good texts of every stratum, with probability ``1 - error`` over all strata at once.  A
-stratum with too few labels gets no cutoff and rejects nothing.
+Every rule rejects a text when a statistic passes a cutoff of its ladder, mild steps first.  What is
+bounded is the share of good texts that *any* rule rejects, so the limit is not split over the rules.  A
+combination of steps is accepted when the exact binomial test says that it falsely rejects at most
+``limit`` of the good texts of the stratum: ``P(Binomial(n, limit) <= k) <= risk``, where the combination
+rejects ``k`` of its ``n`` labelled good texts (this is the Clopper-Pearson upper bound).  A stratum may err
+with probability ``error / strata``, spent in halves:
+
+* one sequence of combinations, each stricter in one rule, is tried until the first that fails, all at
+  the first half (fixed-sequence testing: many tries cost nothing).  Its order comes from the labelled
+  junk alone: steps that reject more of it come first, mild ones before strict ones.  Junk says nothing about the
+  good texts of the test, so for them the order is fixed;
+* after a failure the rules that did not fail go on along it, each combination at the second half divided
+  by the number of all combinations (Bonferroni), so one rule that good texts break holds up the others
+  only where labels are few.
+
+All rules together then reject at most ``limit`` of the good texts of every stratum, with probability
+``1 - error`` over all strata at once.  The first step needs ``log(error / 2 / strata) / log(1 - limit)``
+good labels without a false reject (252 at 2 % with four strata); a stratum with fewer gets no cutoff and
+rejects nothing.
 """
 
 from __future__ import annotations
@@ -144,34 +154,72 @@ def accepted_step(false_rejects: list[int], n: int, limit: float, error: float)
     return len(false_rejects)
 
 
+def _rejected(first: np.ndarray, count: np.ndarray, steps: tuple[int, ...]) -> int:
+    """Texts that some rule rejects after so many of its steps; ``first`` has the first that does."""
+    return int(count[(first < np.array(steps)).any(1)].sum())
+
+
+def sequence_of_steps(first: np.ndarray, junk: np.ndarray, lengths: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """(rule that moves, steps of all rules), from mild to strict.
+
+    All ladders are climbed together; moves that reject no further junk wait until the others are done.
+    """
+    now, out = (0,) * len(lengths), []
+    for useful in (True, False):
+        for level in range(1, max(lengths) + 1):
+            for r, n in enumerate(lengths):
+                to = level * n // max(lengths)
+                then = (*now[:r], to, *now[r + 1:])
+                if to > now[r] and not (useful and _rejected(first, junk, then) == _rejected(first, junk, now)):
+                    now = then
+                    out.append((r, now))
+    return out
+
+
+def accepted_steps(first: np.ndarray, good: np.ndarray, junk: np.ndarray, lengths: list[int], limit: float,
+                   error: float) -> tuple[int, ...]:
+    """Steps of each rule that together falsely reject at most ``limit``, but for probability ``error``."""
+    n, moves = int(good.sum()), sequence_of_steps(first, junk, lengths)
+    passed = accepted_step([_rejected(first, good, steps) for _, steps in moves], n, limit, error / 2)
+    now = moves[passed - 1][1] if passed else (0,) * len(lengths)
+    risk, failed = error / 2 / math.prod(k + 1 for k in lengths), {r for r, _ in moves[passed:passed + 1]}
+    for r, steps in moves[passed:]:
+        if r not in failed:
+            then = (*now[:r], steps[r], *now[r + 1:])
+            if binomial_tail(_rejected(first, good, then), n, limit) <= risk:
+                now = then
+            else:
+                failed.add(r)
+    return now
+
+
 def learn_cutoffs(labelled: DataFrame, stratum: str, limit: float, error: float,
                   rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per stratum: its number of good texts, and a cutoff per rule (null: never rejects).
 
-    ``labelled`` has the statistics and the stratum of the good labelled texts that pass the base rules.
-    The aggregation holds one count per rule and step, so only strata meet in the shuffle.
+    ``labelled`` has the statistics and the stratum of the labelled texts that pass the base rules, and
+    ``good``; without that column all are good.  Texts meet as counts per stratum and first rejecting step
+    of each rule, so a task holds at most as many rows as there are combinations of steps.
     """
-    counts = [F.sum(r.hit(F.lit(s)).cast("long")).alias(f"{r.name}_{i}")
-              for r in rules for i, s in enumerate(r.steps)]
-    sums = labelled.groupBy(stratum).agg(F.count(F.lit(1)).alias("n_good"), *counts)
-    n_strata = max(sums.count(), 1)
-    share, risk = limit / len(rules), error / (n_strata * len(rules))
-
-    def choose(frames):
-        for frame in frames:
-            out = frame[[stratum, "n_good"]].copy()
-            for r in rules:
-                cuts = []
-                for _, row in frame.iterrows():
-                    steps = accepted_step([int(row[f"{r.name}_{i}"]) for i in range(len(r.steps))],
-                                          int(row["n_good"]), share, risk)
-                    cuts.append(r.steps[steps - 1] if steps else None)
-                out[f"cut_{r.name}"] = pd.array(cuts, "Float64")
-            yield out
-
-    kept = sums.schema[stratum].dataType.simpleString()
-    return sums.mapInPandas(choose, f"`{stratum}` {kept}, n_good long, "
-                            + ", ".join(f"cut_{r.name} double" for r in rules))
+    names, lengths = [f"first_{r.name}" for r in rules], [len(r.steps) for r in rules]
+    is_good = F.col("good") if "good" in labelled.columns else F.lit(True)
+    # a step that rejects is followed by steps that reject
+    first = [sum(((~r.hit(F.lit(s))).cast("int") for s in r.steps), F.lit(0)).alias(x) for r, x in zip(rules, names)]
+    counts = written(labelled.select(stratum, is_good.alias("good"), *first).groupBy(stratum, *names).agg(
+        F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_junk")), "steps")
+    n_strata = max(counts.where("n_good > 0").select(stratum).distinct().count(), 1)
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        steps = accepted_steps(frame[names].to_numpy(), frame["n_good"].to_numpy(), frame["n_junk"].to_numpy(),
+                               lengths, limit, error / n_strata)
+        out = frame[[stratum]].head(1).assign(n_good=frame["n_good"].sum())
+        for r, k in zip(rules, steps):
+            out[f"cut_{r.name}"] = pd.array([r.steps[k - 1] if k else None], "Float64")
+        return out
+
+    kept = counts.schema[stratum].dataType.simpleString()
+    return counts.groupBy(stratum).applyInPandas(choose, f"`{stratum}` {kept}, n_good long, "
+                                                 + ", ".join(f"cut_{r.name} double" for r in rules))
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.02,
@@ -185,10 +233,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: floa
     """
     stats = written(docs.select("doc_id", F.col(stratum), text_stats(whole_text(text)).alias("s"))
                     .select("doc_id", stratum, "s.*").withColumn("base_failed", base_failed()), "stats")
-    good = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-            .groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-            .select("doc_id"))
-    cutoffs = written(learn_cutoffs(stats.where("NOT base_failed").join(good, "doc_id", "left_semi"),
+    marks = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+             .groupBy("doc_id").agg((F.min("quality") == 1).alias("good")))
+    cutoffs = written(learn_cutoffs(stats.where("NOT base_failed").join(marks, "doc_id"),
                                     stratum, limit, error, rules), "cutoffs")
     # strata are few for a language; a stratum column with many values is joined by shuffle
     small = bounded(cutoffs.withColumnRenamed(stratum, "_stratum"))

@@ -175,6 +175,37 @@ def test_cutoffs_bound_false_rejections(spark):
     assert row.n_good == 4000 and row.cut_symbols == 0.75  # the next step would reject 2.5 percent
 
 
+def test_small_strata_get_cutoffs(spark):
+    """Four languages with 300 good labels each: two with junk of symbols, one of them with good texts of long words."""
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1000 * s + i, words + (" extraordinarily" * 20 if lang == "fr" and i % 3 == 0 else "")
+             + (" # % |" * 40 if junk else ""), lang, int(not junk))
+            for s, lang in enumerate(("de", "es", "fr", None)) for i in range(320)
+            for junk in [i >= 300 and lang in ("es", "fr")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int").repartition(3)
+    judged = quality_rules.judge(df.select("doc_id", "text", "lang"), df.where("doc_id % 1000 < 310"))
+    got = {r.doc_id: r.kept for r in judged.collect()}
+    assert not any(got[1000 * s + i] for s in (1, 2) for i in range(300, 320))
+    assert sum(got[i] for i, *_, quality in rows if quality) >= 4 * 300 * 0.98
+
+
+def test_one_rule_that_fails_does_not_hold_up_the_others():
+    first = np.array([[9, 0], [9, 9], [1, 9]])  # good texts break the second rule at once
+    good, junk = np.array([200, 1800, 0]), np.array([0, 0, 50])
+    assert quality_rules.accepted_steps(first, good, junk, [4, 4], 0.02, 0.0125) == (4, 0)
+    assert quality_rules.accepted_steps(first, good // 10, junk, [4, 4], 0.02, 0.0125) == (0, 0)  # 200 labels
+
+
+def test_guarantee_over_all_rules():
+    """Rules that each break 0.8 % of the good texts at every step: together too many, so never accepted together."""
+    rng, bad = np.random.default_rng(3), 0
+    for _ in range(300):
+        first = np.where(rng.random((1500, 5)) < 0.008, 0, 9)
+        steps = quality_rules.accepted_steps(first, np.ones(1500, int), np.zeros(1500, int), [3] * 5, 0.02, 0.05)
+        bad += 1 - (1 - 0.008) ** sum(k > 0 for k in steps) > 0.02
+    assert bad <= 0.05 * 300
+
+
 def test_toxicity(spark, docs, labels, none):
     rows = [(i, "plain words here about nothing much " * 3 + ("you wretchling fool" if i % 5 == 2 else f"item{i}"))
             for i in range(300)]

@@ -40,7 +40,7 @@ BASE_MIN_WORDS = 50
 BASE_MAX_REPEAT_PERCENT = 50
 
 _SYMBOLS = np.zeros(256, dtype=bool)
-_SYMBOLS[[ord(c) for c in "[#*$%&|<>]"]] = True
+_SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 

@@ -175,6 +175,13 @@ def test_cutoffs_bound_false_rejections(spark):
     assert row.n_good == 4000 and row.cut_symbols == 0.75  # the next step would reject 2.5 percent
 
 
+def test_brackets_are_no_symbols(spark):
+    texts = ["as shown [1], [2] and ]", "[#*$%&|<>]", "x[i] = y[j] & <b>", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: r.n for r in df.select("text", quality_rules.text_stats(F.col("text"))["n_symbols"].alias("n")).collect()}
+    assert got == {t: len(re.findall("[#*$%&|<>]", t)) for t in texts} and got[texts[0]] == 0
+
+
 def test_small_strata_get_cutoffs(spark):
     """Four languages with 300 good labels each: two with junk of symbols, one of them with good texts of long words."""
     words = " ".join(f"word{i}" for i in range(60))

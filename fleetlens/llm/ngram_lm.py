@@ -3,7 +3,8 @@
 States are the histories (a word, or the text's edge); a state has an arc for every word seen behind
 it in training, and one failure arc to the root, which has an arc for every word.  With absolute
 discounting, ``c`` counts, ``t`` the number of different words behind a history, and ``D`` estimated
-from the corpus as ``n1 / (n1 + 2 * n2)`` over its bigrams:
+from the corpus as ``n1 / (n1 + 2 * n2)`` over its bigrams that occur once and twice, with ``n1`` at least
+1, so that unseen bigrams keep some probability where none occurs once (every row twice, say):
 
     root:      p(w)     = (c(w) + 0.5) / (N + 0.5 * (V + 1))
     failure:   f(h)     = D * t(h) / c(h)
@@ -169,7 +170,8 @@ class Automaton:
             pair[pairs] = _unpack(a["pairs"])
             totals += np.frombuffer(a["totals"], np.uint64)
         self.n, v = totals[0], totals[1] + (c[np.isin(block.vocabulary, hot)] > 0).sum()
-        discount = totals[2] / max(totals[2] + 2 * totals[3], 1)
+        once = max(totals[2], 1)
+        discount = once / (once + 2 * totals[3])
         self.known = c > 0
         self.root = (c + 0.5) / (self.n + 0.5 * (v + 1))
         at = np.maximum(c, 1)

@@ -259,6 +259,16 @@ def test_automaton_equals_brute_force(spark, none, block_bytes):
     assert ngram_lm.score_texts(none, F.lit(True)).count() == 0
 
 
+def test_automaton_where_no_bigram_occurs_once(spark):
+    rows = [(1, "a b c"), (2, "a c")] * 2 + [(3, "c a b x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ngram_lm.score_texts(df, F.col("doc_id") < 3).collect()}
+    # 14 tokens: a 4, b 2, c 4, end 4; edge-a 4, a-b 2, a-c 2, b-c 2, c-end 4; so n1 counts as 1, n2 is 3
+    d, p = 1 / 7, {w: (c + 0.5) / (14 + 0.5 * 5) for w, c in (("a", 4), ("b", 2), ("x", 0), (None, 4))}
+    want = (d / 4 * (4.5 / 16.5), d / 4 * p["a"], (2 - d) / 4 + 2 * d / 4 * p["b"], d / 2 * p["x"], p[None])
+    assert math.isclose(got[3], sum(map(math.log10, want)), rel_tol=1e-9)
+
+
 def test_mixing(spark, docs, none):
     sized = mixing.with_tokens(docs)
     out = mixing.mix(sized, sized)

@@ -32,6 +32,8 @@ BLOCKS = set("address article aside blockquote body center dd details dialog dir
              " option p pre search section summary table tbody td textarea tfoot th thead tr ul caption".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: what a head can hold; any other start tag, and text that is not blank, ends it
+IN_HEAD = set("title meta link base basefont bgsound style script noscript noframes template".split())
 ENDS_P = BLOCKS - set("td th tr tbody thead tfoot caption option optgroup legend body html".split())
 #: a start tag closes the open elements named first, up to the nearest of those named second
 IMPLIED_END = {
@@ -72,17 +74,21 @@ class TreeBuilder(HTMLParser):
         if cut:
             del self.open[cut:]
 
+    def _end_head(self) -> None:
+        while self.open[-1].tag == "head":
+            self.open.pop()
+
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in IMPLIED_END:
             self._close(*IMPLIED_END[tag])
         if tag in ENDS_P:
             self._close({"p"}, {"table", "td", "th", "button", "object", "caption"})
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
             self.open.pop()
-        if self.open[-1].tag == "head" and tag in BLOCKS:
-            self.open.pop()
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
         if tag not in VOID:
@@ -103,6 +109,8 @@ class TreeBuilder(HTMLParser):
                 return  # a stray end tag in a cell ends nothing outside it
 
     def handle_data(self, data):
+        if data.strip(" \t\n\r\f"):
+            self._end_head()
         if data:
             self.open[-1].children.append(data)
 

@@ -327,6 +327,14 @@ def test_html():
     assert "deep" in html_text.page_text("<div>" * 3000 + "<table><tr><td>" * 600 + "deep")
 
 
+def test_a_head_without_end_tag_hides_no_text():
+    assert html_text.page_text("<head><title>no</title>Text <b>bold</b><p>more") == "Text bold\n\nmore"
+    assert html_text.page_text("<head><title>no</title><a href=x>link<div>inside</div></a><i>tail</i>") == "link\ninside\ntail"
+    assert html_text.page_text("<head><title>no</title>\n<meta charset=utf-8><style>no</style><span>one</span> two") == "one two"
+    assert html_text.page_text("<head><script>no</script><noscript>no<img alt=no></noscript>"
+                               "<template><p>no</template>\n</head>\n<body>yes") == "yes"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "<p>a<p>b", None), (2, "<p>a<p>b", None)], "page_id long, html string, n_lines string")
     got = sorted((r.page_id, r.visible_text, r.n_chars, r.n_lines) for r in html_text.extract(df).collect())

@@ -11,6 +11,10 @@ from fleetlens.llm.common import table, whole_text, written
 from fleetlens.llm.queries import ARROW_ROWS, BPE_FILE
 
 
+#: words of a shingle of the near-duplicate stage; op7 has its own
+DEDUP_WORDS = 5
+
+
 def _settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
@@ -28,9 +32,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """The document with the smallest id of each group of near copies by shingles of five words."""
     _settings(spark)
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, words=DEDUP_WORDS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

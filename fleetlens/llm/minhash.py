@@ -89,14 +89,14 @@ def _band_keys(coordinates: np.ndarray) -> np.ndarray:
     return key.ravel().view(np.int64)
 
 
-def describe(text: Column) -> Column:
+def describe(text: Column, words: int = SHINGLE) -> Column:
     """Struct of set size, digest of the set, and band keys (the band is part of the key)."""
 
     @F.arrow_udf("struct<n:bigint,digest:binary,bands:array<bigint>>")
     def described(texts: pa.Array) -> pa.Array:
         sizes, digests, keys = [], [], []
         for _, _, offsets, data in pieces(texts):
-            found = shingles(offsets, data)
+            found = shingles(offsets, data, words)
             sizes += [len(one) for one in found]
             digests += [hashlib.blake2b(one.tobytes(), digest_size=16).digest() for one in found]
             if any(len(one) for one in found):
@@ -110,10 +110,10 @@ def describe(text: Column) -> Column:
     return described(text)
 
 
-def shingle_set(text: Column) -> Column:
+def shingle_set(text: Column, words: int = SHINGLE) -> Column:
     @F.arrow_udf("array<bigint>")
     def sets(texts: pa.Array) -> pa.Array:
-        out = [one for _, _, offsets, data in pieces(texts) for one in shingles(offsets, data)]
+        out = [one for _, _, offsets, data in pieces(texts) for one in shingles(offsets, data, words)]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
         flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
@@ -198,13 +198,13 @@ def _prefix_pairs(open_sets: DataFrame) -> DataFrame:
             .select(F.greatest("l.rep", "r.rep").alias("a"), F.least("l.rep", "r.rep").alias("b")).distinct())
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
+def near_duplicates(docs: DataFrame, text: str = "text", words: int = SHINGLE) -> DataFrame:
+    """A row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``; shingles have so many ``words``.
 
     Null texts are empty; empty texts link with nothing.  Rows that share a doc_id are one document
     (linked, whatever their texts).  Rows without an id take no part: no component, and kept.
     """
-    described = docs.select("doc_id", describe(whole_text(text)).alias("d")).select("doc_id", "d.*")
+    described = docs.select("doc_id", describe(whole_text(text), words).alias("d")).select("doc_id", "d.*")
     table = written(described, "signatures")
     named = table.where("doc_id IS NOT NULL AND n > 0")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
                    .join(involved, "rep", "left_semi")
                    # an id with several texts has a set for each
                    .groupBy("rep", F.xxhash64("_text").alias("which")).agg(F.first("_text").alias("_text"))
-                   .select("rep", "which", shingle_set(F.col("_text")).alias("items")), "sets")
+                   .select("rep", "which", shingle_set(F.col("_text"), words).alias("items")), "sets")
     links = written(confirmed(_star_pairs(buckets, None, 0), sets), "found")
     place = components(links).withColumnRenamed("node", "rep")
     for turn in range(1, STAR_ROUNDS):
@@ -247,9 +247,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", words: int = SHINGLE) -> DataFrame:
     """One document of each group, with its own columns; copies of a row with an id stay once."""
-    kept = near_duplicates(docs, text).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = near_duplicates(docs, text, words).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     # both steps deal by doc_id, so the texts move once
     return (docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
             .unionByName(docs.where("doc_id IS NULL")).select(*docs.columns))

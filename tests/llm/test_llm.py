@@ -100,6 +100,14 @@ def test_near_copies_around_a_common_text(spark):
     assert got == groups_of(texts)
 
 
+def test_pipeline_takes_five_words_and_op7_four(spark):
+    words = BASE.split()
+    words[30], words[60], words[90] = "x", "y", "z"  # similarity 105 / 129 by four words, 101 / 131 by five
+    df = spark.createDataFrame([(1, BASE), (2, " ".join(words)), (3, BASE + " end")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in minhash.near_duplicates(df).where("kept").collect()) == [1]
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, df, "").collect()) == [1, 2]
+
+
 def test_one_id_with_two_texts_is_one_document(spark):
     df = spark.createDataFrame([(5, BASE), (5, LONG), (2, BASE + " end"), (9, LONG)], "doc_id long, text string")
     assert {r.component_id for r in minhash.near_duplicates(df).collect()} == {2}

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from fleetlens.llm import (ann, bpe, html_text, importance, minhash, mixing, ngram_lm, quality_rules,
                            token_counts, toxicity)
-from fleetlens.llm.common import fold, whole_text
+from fleetlens.llm.common import fold, whole_text, written
 from fleetlens.llm.components import components
 from fleetlens.llm.queries import ORACLES, QUERIES
 from tests.check_oracles import compare, connect
@@ -314,6 +315,24 @@ def test_nearest_handles_awkward_vectors(spark):
     assert ann.nearest(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("clusters, probes", [(0, ann.PROBES), (40, 4)])
+def test_nearest_recall_with_more_parts_than_probes(spark, clusters, probes):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 16))
+    if clusters:
+        x = 0.2 * x + rng.normal(size=(clusters, 16))[rng.integers(clusters, size=len(x))]
+    x = x.astype(np.float32).astype(float)
+    assert len(ann.fit_router(x).second_bias) == ann.PARTS > probes
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, probes=probes).collect()
+    found = 0
+    for q in range(0, 2000, 20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        found += len(set(np.argsort(d)[:10].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert len(got) == 1000 and found >= 0.9 * 1000
+
+
 def test_importance(spark, docs, labels, none):
     rows = [(i, "good clean words of prose " * 5 + str(i) if i % 4 else "$$ %% junk " * 9) for i in range(200)]
     some = spark.createDataFrame(rows, "doc_id long, text string")
@@ -363,3 +382,44 @@ def test_pipeline_on_awkward_rows(spark, docs, labels, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert all((r.text or "") == r.decoded and r.n_tokens == len(r.ids) for r in out.collect())
     assert out.columns[:5] == base.columns
+
+
+def test_pipeline_stages_on_a_planted_table(spark, tmp_path):
+    """The documents after each stage, from plain Python and the SQL of the mixture."""
+    from tokenizers import Tokenizer
+    rng = np.random.default_rng(6)
+    vocabulary = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ne", "su") for b in ("ra", "to", "vi", "be") for c in "nrslt"]
+    texts = {i: " ".join(rng.choice(vocabulary, 90)) for i in range(420)}
+    junk, short, toxic = set(range(320, 350)), set(range(350, 360)), set(range(360, 420))
+    texts |= {i: texts[i] + " # % | $" * 20 for i in junk} | {i: "only three words" for i in short}
+    texts |= {i: texts[i] + " you wretchling fool" * 3 for i in toxic}
+    texts |= {1000 + i: texts[i] + " end" for i in range(20)}  # near copies
+    for i in range(20, 30):  # at 0.8 by four words, below by five
+        words = texts[i].split()
+        words[25], words[60] = "x", "y"
+        texts[1000 + i] = " ".join(words)
+    rows = [(i, t, "en", "big" if i % 4 else "small", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i not in junk), int(i in toxic)) for i in range(420) if i % 8],
+                          "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    good = set(texts) - junk - short
+    clean = good - toxic
+    five = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i in clean for w in [texts[i].split()]}
+    one = {i for i in clean if i < 1000 or 5 * len(five[i] & five[i - 1000]) < 4 * len(five[i] | five[i - 1000])}
+    assert len(one) == 320 + 10
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(r[0], r[1], r[3]) for r in rows if r[0] in one])
+    mixed = Counter(r[0] for r in con.execute(mixing.SQL).fetchall())
+    assert max(mixed.values()) > 1  # some are repeated
+    want = [Counter(good), Counter(clean), Counter(one), mixed, mixed]
+
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for (name, stage), expected in zip(corpus_pipeline.STAGES, want):
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+        assert Counter(r.doc_id for r in docs.select("doc_id").collect()) == expected, name
+    library = Tokenizer.from_file(BPE)
+    assert all(r.ids == library.encode(r.text, add_special_tokens=False).ids and r.text == texts[r.doc_id]
+               for r in docs.collect())

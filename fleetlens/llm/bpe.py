@@ -4,8 +4,10 @@ Texts are cut by the vocabulary's word pattern.  A word holds its part boundarie
 adjacent parts side by side in two short arrays; the smallest rank is found by a scan, its boundary
 is deleted and the two neighbouring ranks are looked up again, until no pair has a rank.  Words of
 more than ``LONG_WORD`` bytes, where scans would grow with the square, take the same merges from a
-heap.  Short words that are new in a batch are merged side by side, a row for each; ids of runs
-that were seen before come from a cache of bounded size.
+heap.  Short words that are new in a batch are merged side by side, a row for each.  Runs (a word with
+the space before it, or white space) are found on the bytes of a batch and named by a 64-bit hash; ids
+of runs that were seen before come from tables of bounded size.  Texts that hold a special token's string or
+white space beyond ASCII are cut by a pattern instead, with the same ids.
 
 Both functions are column expressions, so they keep all other columns and never shuffle.
 """
@@ -24,9 +26,12 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fleetlens.llm.text import hash_spans, pieces
+
 LONG_WORD = 256
 CACHE_WORDS = 400_000
-BATCH_CHARS = 2_000_000
+CACHE_BITS, CACHE_IDS = 20, 1 << 22
+PIECE_BYTES = 1 << 19
 BLOCK_WIDTHS, BLOCK_ROWS = (8, 16, 32), 8192
 # letters below this one have been letters since the first versions of Unicode
 _PLAIN_END = "\u0250"
@@ -53,10 +58,10 @@ class ByteBpe:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        letters = byte_letters()
-        byte_of = {c: b for b, c in letters.items()}
+        shown = byte_letters()
+        byte_of = {c: b for b, c in shown.items()}
         vocab = model["vocab"]
-        self.first = [vocab[letters[b]] for b in range(256)]
+        self.first = [vocab[shown[b]] for b in range(256)]
         # rank and id of the merged part in one number, so that the smallest rank is the smallest number
         self.ranks: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -71,13 +76,27 @@ class ByteBpe:
                             .replace(r"\S", f"[^{WHITE}]")
         self.words = regex.compile(words)
         self.runs = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+        letters = "".join(c for c in map(chr, range(ord(_PLAIN_END))) if c.isalpha())
+        self.plain = re.compile(f" ?[{letters}]+")
         names = sorted(self.specials, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         pairs = sorted((left << ID_BITS | right, best) for (left, right), best in self.ranks.items())
         self.pair_keys, self.pair_ranks = (np.array(x, np.int64) for x in zip(*pairs))
         self.first_ids = np.array(self.first, np.int64)
-        self.known_runs: dict[str, bytes] = {}
         self.known_words: dict[str, bytes] = {}
+        white = [c for c in map(chr, range(1 << 16)) if re.match(f"[{WHITE}]", c)]  # WHITE holds ranges
+        self.white = np.zeros(256, bool)
+        self.white[[ord(c) for c in white if c < "\x80"]] = True
+        # white space beyond ASCII, and the strings of special tokens
+        self.odd = [*(c.encode() for c in white if c >= "\x80"), *(t.encode() for t in self.specials)]
+        # a run's hash, and the place and number of its ids in the pool.  A run has two slots; the first keeps
+        # its oldest run, as frequent runs come early, and the second its newest
+        self.run_keys = np.zeros(2 << CACHE_BITS, np.uint64)
+        self.run_at = np.zeros(2 << CACHE_BITS, np.int64)
+        self.run_size = np.zeros(2 << CACHE_BITS, np.int32)
+        self.pool, self.pooled = np.empty(1 << 16, np.int32), 0
+        every = range(max(self.token_bytes) + 1)
+        self.spelt = pa.array([self.token_bytes.get(i, b"") for i in every] + [b""], pa.large_binary())
 
     def merge(self, word: bytes) -> list[int]:
         parts = [self.first[b] for b in word]
@@ -172,22 +191,18 @@ class ByteBpe:
 
     def _words_of(self, run: str) -> list[str]:
         """The pattern's words in a run; plain words with at most one mark behind need no pattern."""
-        body = run[1:] if run[0] == " " else run
-        if body and max(body) < _PLAIN_END:
-            if body.isalpha():
-                return [run]
-            if body[-1] in ",.;:!?" and body[:-1].isalpha():
-                return [run[:-1], body[-1]]
+        if self.plain.fullmatch(run):
+            return [run]
+        if run[-1] in ",.;:!?" and self.plain.fullmatch(run, 0, len(run) - 1):
+            return [run[:-1], run[-1]]
         return self.words.findall(run)
 
-    def learn(self, runs: set[str]) -> None:
-        """Make the ids of all these runs known."""
-        if len(self.known_runs) + len(runs) > CACHE_WORDS:
-            self.known_runs.clear()
-        new = {run: self._words_of(run) for run in runs.difference(self.known_runs)}
-        self._learn_words({w for words in new.values() for w in words})
+    def _ids_of(self, runs: list[str]) -> list[bytes]:
+        """Ids of each run as little-endian int32."""
+        words = [self._words_of(run) for run in runs]
+        self._learn_words({w for some in words for w in some})
         known = self.known_words.__getitem__
-        self.known_runs.update({run: b"".join(map(known, words)) for run, words in new.items()})
+        return [b"".join(map(known, some)) for some in words]
 
     def _cut(self, text: str) -> list[str]:
         """Runs of the text; a special token's string stays whole."""
@@ -202,18 +217,114 @@ class ByteBpe:
         """Ids of each text as little-endian int32; strings of special tokens become their ids."""
         cut = [self._cut(t) for t in texts]
         runs = set().union(*cut)
-        special = {r: struct.pack("<i", self.specials[r[1:]]) for r in runs
-                   if r[0] == _SPECIAL and r[1:] in self.specials}
-        self.learn(runs.difference(special))
-        if not special:
-            known = self.known_runs.__getitem__
-            return [b"".join(map(known, c)) for c in cut]
-        return [b"".join([special[r] if r in special else self.known_runs[r] for r in c]) for c in cut]
+        known = {r: struct.pack("<i", self.specials[r[1:]]) for r in runs
+                 if r[0] == _SPECIAL and r[1:] in self.specials}
+        rest = list(runs.difference(known))
+        known.update(zip(rest, self._ids_of(rest)))
+        return [b"".join([known[r] for r in c]) for c in cut]
+
+    def _run_starts(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """First byte of every run: of a text, of a word or the space before it, of white space."""
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        white = self.white[data]
+        begins, ends = edge[:-1], edge[1:]
+        old_white, old_space, next_letter = (np.zeros(len(data), bool) for _ in range(3))
+        old_white[1:], old_space[1:], next_letter[:-1] = white[:-1], data[:-1] == 0x20, ~white[1:]
+        word = ~white & old_white & ~old_space
+        # a word takes the space before it; other white space before a word is a run of its own
+        space = white & (~old_white | (next_letter & ~ends))
+        return np.flatnonzero(begins | word | space)
+
+    def _odd_texts(self, offsets: np.ndarray, raw: bytes) -> np.ndarray:
+        odd = np.zeros(len(offsets) - 1, bool)
+        for sign in self.odd:
+            at = raw.find(sign)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, "right")) - 1
+                odd[text] = True
+                at = raw.find(sign, int(offsets[text + 1]))
+        return odd
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Place in the pool of these ids, which are added to it."""
+        at, self.pooled = self.pooled, self.pooled + len(ids)
+        if self.pooled > len(self.pool):
+            grown = np.empty(max(self.pooled, 2 * len(self.pool)), np.int32)
+            grown[:at] = self.pool[:at]
+            self.pool = grown
+        self.pool[at:self.pooled] = ids
+        return at
+
+    def _slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = (keys >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        return first, (keys & np.uint64((1 << CACHE_BITS) - 1)).astype(np.int64) + (1 << CACHE_BITS)
+
+    def _encode_piece(self, offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a piece of a column."""
+        if self.pooled > CACHE_IDS:
+            self.pooled = 0
+            self.run_keys[:] = 0
+        raw = data.tobytes()
+        odd = self._odd_texts(offsets, raw)
+        starts = self._run_starts(offsets, data)
+        ends = np.append(starts[1:], len(data))
+        if odd.any():
+            plain = ~odd[np.searchsorted(offsets, starts, "right") - 1]
+            starts, ends = starts[plain], ends[plain]
+        keys = hash_spans(data, starts, ends)
+        keys[keys == 0] = 1
+        first, second = self._slots(keys)
+        slot = np.where(self.run_keys[first] == keys, first, second)
+        at, size = self.run_at[slot], self.run_size[slot].astype(np.int64)
+        miss = np.flatnonzero(self.run_keys[slot] != keys)
+        if len(miss):
+            new, pick, back = np.unique(keys[miss], return_index=True, return_inverse=True)
+            spans = zip(starts[miss[pick]].tolist(), ends[miss[pick]].tolist())
+            ids = self._ids_of([raw[a:b].decode() for a, b in spans])
+            sizes = np.array([len(i) // 4 for i in ids], np.int64)
+            begin = self._keep(np.frombuffer(b"".join(ids), "<i4")) + np.cumsum(sizes) - sizes
+            at[miss], size[miss] = begin[back], sizes[back]
+            first, second = self._slots(new)
+            slot = np.where(self.run_keys[first] == 0, first, second)
+            self.run_keys[slot], self.run_at[slot], self.run_size[slot] = new, begin, sizes
+        until = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(at - until[:-1], size) + np.arange(until[-1])]
+        each = np.split(ids, until[np.searchsorted(starts, offsets[1:-1])])
+        for i in np.flatnonzero(odd).tolist():
+            text = raw[offsets[i]:offsets[i + 1]].decode()
+            each[i] = np.frombuffer(self.encode_all([text])[0], "<i4")
+        return each
+
+    def encode_column(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text; null is the empty text."""
+        each = [ids for _, _, offsets, data in pieces(texts, PIECE_BYTES)
+                for ids in self._encode_piece(offsets, data)]
+        ends = np.concatenate([[0], np.cumsum([len(e) for e in each])]).astype(np.int32)
+        flat = np.concatenate(each) if each else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+
+    def decode_column(self, arrays: pa.ListArray) -> pa.Array:
+        """The text of each array of ids; null gives the empty text.
 
-    def decode(self, ids) -> str:
-        """Bytes that are no UTF-8 become U+FFFD; unknown ids give nothing."""
-        known = self.token_bytes
-        return b"".join([known.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        Bytes that are no UTF-8 become U+FFFD; unknown and null ids give nothing.
+        """
+        if isinstance(arrays, pa.ChunkedArray):
+            arrays = arrays.combine_chunks()
+        none = len(self.spelt) - 1
+        ids = arrays.flatten().cast(pa.int64()).fill_null(none).to_numpy()
+        tokens = self.spelt.take(pa.array(np.where((ids >= 0) & (ids < none), ids, none)))
+        size = arrays.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        places = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1)
+        ends = places[np.concatenate([[0], np.cumsum(size)])]
+        data = tokens.buffers()[2] or pa.py_buffer(b"")
+        out = pa.LargeStringArray.from_buffers(len(arrays), pa.py_buffer(ends.tobytes()), data)
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:
+            raw = data.to_pybytes()
+            out = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])], pa.large_string())
+        return out.cast(pa.string())
 
 
 @lru_cache(maxsize=2)
@@ -226,15 +337,7 @@ def encode(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
-        bpe, each, some, size = tokenizer(path), [], [], 0
-        for i, text in enumerate(texts.to_pylist(), 1):
-            some.append(text or "")
-            size += len(some[-1])
-            if size >= BATCH_CHARS or i == len(texts):
-                each += bpe.encode_all(some)
-                some, size = [], 0
-        ends = np.concatenate([[0], np.cumsum([len(e) // 4 for e in each])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(each), "<i4")))
+        return tokenizer(path).encode_column(texts)
 
     return ids_of(text)
 
@@ -244,8 +347,6 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def text_of(arrays: pa.Array) -> pa.Array:
-        bpe = tokenizer(path)
-        return pa.array([bpe.decode(a.values.to_numpy(zero_copy_only=False).tolist()) if a.is_valid else ""
-                         for a in arrays], pa.string())
+        return tokenizer(path).decode_column(arrays)
 
     return text_of(ids)

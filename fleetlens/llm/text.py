@@ -66,11 +66,11 @@ def pieces(column: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int
         first = end
 
 
-def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and end byte of every word; a text's end also ends a word."""
+def word_spans(offsets: np.ndarray, data: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of every word; bytes marked in ``space`` and a text's end end a word."""
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
-    letter = ~_SPACE[data]
+    letter = ~space[data]
     gap = np.concatenate([[True], ~letter])
     starts = np.flatnonzero(letter & (gap[:-1] | edge[:-1]))
     ends = np.flatnonzero(letter & (np.concatenate([~letter[1:], [True]])[:len(data)] | edge[1:])) + 1
@@ -87,20 +87,25 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix(raw + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word in order, index of the first word of each text plus the total)."""
-    if lower:
-        data = _LOWER[data]
-    starts, ends = word_spans(offsets, data)
-    first_word = np.searchsorted(starts, offsets)
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span; spans are in order and do not overlap."""
     out = np.empty(len(starts), np.uint64)
     done = 0
-    while done < len(starts):  # a long text is hashed in runs of words, so memory stays bounded
+    while done < len(starts):  # a long text is hashed in runs of spans, so memory stays bounded
         until = max(int(np.searchsorted(ends, starts[done] + 2 * PIECE_BYTES, "right")), done + 1)
         lo, hi = starts[done], ends[until - 1]
         out[done:until] = _hash_spans(data[lo:hi], starts[done:until] - lo, ends[done:until] - lo)
         done = until
-    return out, first_word
+    return out
+
+
+def word_hashes(offsets: np.ndarray, data: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE
+                ) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word in order, index of the first word of each text plus the total)."""
+    if lower:
+        data = _LOWER[data]
+    starts, ends = word_spans(offsets, data, space)
+    return hash_spans(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def windows(words: np.ndarray, first_word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -423,3 +423,26 @@ def test_pipeline_stages_on_a_planted_table(spark, tmp_path):
     library = Tokenizer.from_file(BPE)
     assert all(r.ids == library.encode(r.text, add_special_tokens=False).ids and r.text == texts[r.doc_id]
                for r in docs.collect())
+
+
+def test_bpe_columns_equal_the_library():
+    """Texts by the byte path and by the pattern side by side, small tables of known runs, ids that are no UTF-8."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    library, mine = Tokenizer.from_file(BPE), bpe.ByteBpe(BPE)
+    rng = np.random.default_rng(3)
+    odd = ["a  b", "  a", "a \n b", "\n\n", "a b", "　x", "x  y", "<|endoftext|>", "a<|endoftext|> b", "it's 'tis", "x\x1cy",
+           "“q” – z", "a\r\n\r\nb", " ", "", None, "é́ ", "١٢٣ ४", "😀 😀😀", "don't", "a.b,c!", "a -b --c", "- -\n-d", "\t\tx", "x \t", "a\u0085b"]
+    texts = [odd[i] for i in rng.integers(len(odd), size=400)] + ["".join(
+        rng.choice(["a", "b", " ", "  ", "\n", "\t", "é", ".", "-", "1", " ", "z" * 300, " "], 40)) for _ in range(200)]
+    for _ in range(2):
+        ids = mine.encode_column(pa.array(texts))
+        for got, text in zip(ids.to_pylist(), texts):
+            assert got == library.encode(text or "", add_special_tokens=False).ids, text
+        assert mine.decode_column(ids).to_pylist() == [t or "" for t in texts]
+        assert mine.decode_column(ids.slice(7, 30)).to_pylist() == [t or "" for t in texts[7:37]]
+    cut = library.encode("漢字 é", add_special_tokens=False).ids
+    arrays = [cut[:1], None, [], cut[:2] + [10**6, None, -3] + cut[:1], cut, [50256]]
+    want = [b"".join(mine.token_bytes.get(i, b"") for i in a or []).decode("utf-8", "replace") for a in arrays]
+    assert mine.decode_column(pa.array(arrays, pa.list_(pa.int32()))).to_pylist() == want
+    assert len(mine.encode_column(pa.array([], pa.string()))) == len(mine.decode_column(pa.array([], pa.list_(pa.int32())))) == 0

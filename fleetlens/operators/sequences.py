@@ -102,12 +102,13 @@ def linear_forecast(calls: DataFrame, lags: int = 10, row_floor: int | None = No
 
     The first ``TRAINING_TENTHS`` tenths of an island's intervals train the model and give the minimum
     and maximum that scale the island, so no prediction knows what comes after it.  One model is
-    fitted on all islands by a distributed solver.
+    fitted on all islands by a distributed solver.  Where no island is long enough to train on, the
+    forecast is the mean of the last intervals, as in ``island_gaps``.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    gaps = island_gaps(calls, row_floor).drop("predicted_s")
+    gaps = island_gaps(calls, row_floor).withColumnRenamed("predicted_s", "_mean")
     island = [*ISLAND, "island_no"]
     sized = OrderedGroups(gaps, island, ["gap_idx"], halo=lags, row_floor=row_floor)
     ends = gaps.groupBy(*island).agg(
@@ -125,10 +126,14 @@ def linear_forecast(calls: DataFrame, lags: int = 10, row_floor: int | None = No
     table = (attach(lagged.where(F.col("gap_idx") >= lags), span, island, sized.hot_keys)
              .withColumns({**{n: scaled(n) for n in names}, "_y": scaled("actual_s")}))
     vectors = VectorAssembler(inputCols=names, outputCol="_x").transform(table)
-    model = LinearRegression(featuresCol="_x", labelCol="_y", predictionCol="_p", solver="normal",
-                             regParam=penalty).fit(vectors.where("gap_idx < _train"))
-    back = F.when(width > 0, F.col("_p") * width + F.col("_lo")).otherwise(F.col("_p"))
-    out = model.transform(vectors.where("gap_idx >= _train")).withColumn("predicted_s", back)
+    known, asked = vectors.where("gap_idx < _train"), vectors.where("gap_idx >= _train")
+    if known.isEmpty():
+        out = asked.withColumn("predicted_s", F.col("_mean"))
+    else:
+        model = LinearRegression(featuresCol="_x", labelCol="_y", predictionCol="_p", solver="normal",
+                                 regParam=penalty).fit(known)
+        back = F.when(width > 0, F.col("_p") * width + F.col("_lo")).otherwise(F.col("_p"))
+        out = model.transform(asked).withColumn("predicted_s", back)
     return _residuals(out, False).select(*ISLAND, "gap_idx", "ts_ns", "actual_s", "predicted_s",
                                          "deviation")
 

@@ -13,8 +13,8 @@ from fleetlens.catalog.ruling import CLOCK, _instant_sql
 from fleetlens.functions.numbers import div
 from fleetlens.operators import rules as R
 from fleetlens.plans.durable import scratch_path
-from fleetlens.streaming import bandwidth, detectors, lifecycle
-from fleetlens.streaming.run import drain, parquet_stream
+from fleetlens.streaming import bandwidth, detectors, lifecycle, silence
+from fleetlens.streaming.run import drain, drain_clock, parquet_stream
 
 
 def _event_stream(s, d):
@@ -33,6 +33,21 @@ SELECT rank, stream, function, op_count, last_us FROM n
 WHERE coalesce(next_us, now_us) - last_us > 300000000""")
 
 
+# by the clock every stream and client has long been silent, whatever the newest event is
+add("x1_clock_stream_hangs", lambda s, d: drain_clock(silence.hung_streams(_call_stream(s, d), 300.0), "clock_hangs"),
+    COMM_SQL + """, n AS (SELECT rank, stream, function, op_count, ts_ns // 1000 AS last_us,
+ lead(ts_ns // 1000) OVER (PARTITION BY rank, stream ORDER BY ts_ns) AS next_us FROM comm_ops)
+SELECT rank, stream, function, op_count, last_us FROM n WHERE next_us IS NULL OR next_us - last_us > 300000000""")
+
+add("x3_clock_connections", lambda s, d: drain_clock(silence.connection_events(_event_stream(s, d).select(
+    (F.col("user_id") % 8).alias("client_id"), F.col("ts").cast("timestamp").alias("ts"))), "connections"),
+    HEART_SQL + """, n AS (SELECT client_id, us, lag(us) OVER (PARTITION BY client_id ORDER BY us) AS b FROM heartbeats),
+st AS (SELECT *, sum(CASE WHEN b IS NULL OR us - b > 1200000000 THEN 1 ELSE 0 END)
+ OVER (PARTITION BY client_id ORDER BY us) AS run FROM n),
+runs AS (SELECT client_id, min(us) AS a, max(us) + 1200000000 AS z FROM st GROUP BY client_id, run)
+SELECT client_id, a AS us, 'recovered' AS event FROM runs UNION ALL SELECT client_id, z, 'offline' FROM runs""")
+
+
 def _polls(s, d):
     e = _event_stream(s, d).where("event_type = 'error'")
     return e.select(F.concat(F.lit("fp"), "user_id").alias("fingerprint"), F.col("tick").alias("poll"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.catalog import fixtures as X
-from fleetlens.operators import alerts, links
-from fleetlens.streaming import bandwidth, detectors, lifecycle
-from fleetlens.streaming.run import drain, parquet_stream
+from fleetlens.operators import alerts, heartbeat, links
+from fleetlens.params import AlertLimits
+from fleetlens.streaming import bandwidth, detectors, lifecycle, silence
+from fleetlens.streaming.run import drain, drain_clock, parquet_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +66,39 @@ def test_silence_limits_are_exclusive(spark, tmp_path, limit):
     beats.write.parquet(f"{tmp_path}/b")
     got = drain(detectors.offline_clients(parquet_stream(spark, f"{tmp_path}/b"), limit), "t")
     assert sorted(r["last_us"] - 1_000_000 for r in got.collect()) == us[1:3]
+
+
+BEAT = "client_id STRING, us BIGINT"
+
+
+def test_a_source_that_goes_quiet_is_reported(spark, tmp_path):
+    """All clients stop at once and no file follows; a pause inside the data is reported, too."""
+    now = int(time.time() * 1e6)
+    ago = {"a": [60, 50, 20, 19, 18], "b": [18], "c": [40, 39, 38]}  # seconds before now
+    beats = spark.createDataFrame([(c, now - int(s * 1e6)) for c, all_s in ago.items() for s in all_s] + [("d", None)], BEAT)
+    rows = beats.select("client_id", F.timestamp_micros("us").alias("ts"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/b")
+    limit = 20.0
+    start = time.time()
+    got = drain_clock(silence.silences(parquet_stream(spark, f"{tmp_path}/b", 1), ["client_id"], limit), "quiet",
+                      done=lambda t: t.count() >= 4, limit_s=120)
+    assert time.time() - start < 110
+    want = [("a", 60, 50), ("a", 20, 18), ("b", 18, 18), ("c", 40, 38)]
+    assert sorted(map(tuple, got.collect())) == sorted((c, now - a * 1_000_000, now - z * 1_000_000) for c, a, z in want)
+    batch = heartbeat.silences(beats.where("us IS NOT NULL"), AlertLimits(heartbeat_timeout_s=20), as_of=now + 10**9)
+    assert sorted((r.client_id, r.last_us) for r in batch.collect()) == sorted((r.client_id, r.last_us) for r in got.collect())
+
+
+def test_silences_over_several_batches(spark, tmp_path):
+    """Runs that go on in a later file, a return after a silence that was told, and late events."""
+    second = 1_000_000
+    files = [[("a", 10), ("a", 15), ("b", 10)], [("a", 18), ("b", 60)], [("a", 16), ("b", 5), ("b", 62), ("c", 70)]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame([(c, t * second) for c, t in rows], BEAT).select(
+            "client_id", F.timestamp_micros("us").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/b")
+        time.sleep(1.1)  # the source takes files in the order of their times
+    got = drain_clock(silence.silences(parquet_stream(spark, f"{tmp_path}/b", 1), ["client_id"], 20.0), "batches")
+    rows = sorted((r.client_id, r.online_us // second, r.last_us // second) for r in got.collect())
+    # by the clock all are long silent after every batch: each end is told once, whatever follows it
+    assert rows == [("a", 10, 15), ("a", 10, 18), ("b", 10, 10), ("b", 60, 60), ("b", 60, 62), ("c", 70, 70)]
+    assert len(set(rows)) == len(rows)

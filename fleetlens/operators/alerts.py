@@ -30,8 +30,8 @@ def _any_label(wanted: dict[str, str]) -> Column:
     return out
 
 
-def keep_alerts(alerts: DataFrame, rule: AlertFilter) -> DataFrame:
-    """Configured filter: names, lowest severity, excluded labels, at least one included label."""
+def filter_condition(rule: AlertFilter) -> Column:
+    """Names, lowest severity, excluded labels, at least one included label."""
     name = F.coalesce(F.col("labels")["alertname"], F.lit(""))
     level = severity_level(F.coalesce(F.col("labels")["severity"], F.lit("")))
     ok = level >= severity_level(F.lit(rule.min_severity))
@@ -43,7 +43,12 @@ def keep_alerts(alerts: DataFrame, rule: AlertFilter) -> DataFrame:
         ok = ok & ~_any_label(rule.exclude_labels)
     if rule.include_labels:
         ok = ok & _any_label(rule.include_labels)
-    return alerts.where(ok)
+    return ok
+
+
+def keep_alerts(alerts: DataFrame, rule: AlertFilter) -> DataFrame:
+    """Alerts that pass the configured filter."""
+    return alerts.where(filter_condition(rule))
 
 
 def find_alerts(alerts: DataFrame, alertname: str | None = None, status: str = "all",

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from fleetlens.plans.durable import scratch_path
 
 
+#: rows, and bytes, of whole texts that travel to Python at once
+ARROW_ROWS, ARROW_BYTES = 1024, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded size for this session: a batch ends at the first limit it meets."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,6 +29,8 @@ GRAMS = (4, 5, 6, 7, 8)
 MIN_TEXTS = 3
 MIN_RATIO = 1.0
 SAMPLE = 6000
+#: bytes of texts whose n-grams are held at once
+PIECE_BYTES = 1 << 16
 PENALTY = 1e-3
 STEPS = 200
 
@@ -100,7 +102,7 @@ def _class_counts(labelled: DataFrame) -> DataFrame:
         sums = np.zeros((2, BINS), np.int64)
         for batch in batches:
             toxic = np.asarray(batch.column("toxic").to_numpy(zero_copy_only=False)).astype(np.int64)
-            for first, end, offsets, data in pieces(batch.column("_text")):
+            for first, end, offsets, data in pieces(batch.column("_text"), PIECE_BYTES):
                 text, bins = text_features(offsets, data)
                 for label in (0, 1):
                     sums[label] += np.bincount(bins[toxic[first:end][text] == label], minlength=BINS)
@@ -127,7 +129,7 @@ def _class_counts(labelled: DataFrame) -> DataFrame:
 def _features(labelled: DataFrame, keep: np.ndarray) -> DataFrame:
     def find(batches):
         for batch in batches:
-            for first, end, offsets, data in pieces(batch.column("_text")):
+            for first, end, offsets, data in pieces(batch.column("_text"), PIECE_BYTES):
                 text, bins = text_features(offsets, data, keep)
                 ends = np.searchsorted(text, np.arange(end - first + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
@@ -190,7 +192,7 @@ def score(text: Column, model: Model) -> Column:
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         out = np.full(len(texts), model.bias)
-        for first, end, offsets, data in pieces(texts):
+        for first, end, offsets, data in pieces(texts, PIECE_BYTES):
             owner, bins = text_features(offsets, data, keep)
             out[first:end] += np.bincount(owner, model.weight[bins], minlength=end - first)
         return pa.array(1 / (1 + np.exp(-np.clip(out, -700, 700))))

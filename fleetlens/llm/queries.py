@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import (ann, bpe, html_text, importance, minhash, mixing, ngram_lm, quality_rules,
-                           token_counts, toxicity)
-from fleetlens.llm.common import fold, table, whole_text, written
+from fleetlens.llm import (ann, bpe, clusters, html_text, importance, language, lexical, minhash, mixing, ngram_lm,
+                           quality_rules, token_counts, toxicity)
+from fleetlens.llm.common import bounded_batches, fold, table, whole_text, written
 from fleetlens.plans.durable import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,13 +19,11 @@ ORACLES: dict[str, str] = {}
 BPE_FILE = "byte_bpe_50k.json"
 PIECES_FILE = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
-#: rows of whole texts that travel to Python at once
-ARROW_ROWS = 1024
 
 
 def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        bounded_batches(spark)
         return query(spark, sf_dir)
     QUERIES[name] = run
     if sql is not None:
@@ -91,6 +89,21 @@ def op10_ngram_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_score", "score")
 
 
+def op11_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_bitsliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_language_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(fold("doc_id", 3) != 1), public_tokenizers.path(PIECES_FILE))
+    held = docs.select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out"))
+    return language.predict(held, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 _add("op1_importance_resampling", op1_importance_resampling)
 _add("op2_source_mixing", op2_source_mixing, mixing.SQL)
 _add("op3_quality_rules", op3_quality_rules)
@@ -101,3 +114,6 @@ _add("op7_minhash_near_dedup", op7_minhash_near_dedup)
 _add("op8_learned_partitions", op8_learned_partitions)
 _add("op9_toxicity", op9_toxicity)
 _add("op10_ngram_automaton", op10_ngram_automaton)
+_add("op11_simplex_clusters", op11_simplex_clusters, clusters.sql())
+_add("op12_bitsliced_search", op12_bitsliced_search, lexical.SQL)
+_add("op13_language_pieces", op13_language_pieces)

@@ -7,33 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import bpe, minhash, mixing, quality_rules, toxicity
-from fleetlens.llm.common import table, whole_text, written
-from fleetlens.llm.queries import ARROW_ROWS, BPE_FILE
+from fleetlens.llm.common import bounded_batches, table, whole_text, written
+from fleetlens.llm.queries import BPE_FILE
 
 
 #: words of a shingle of the near-duplicate stage; op7 has its own
 DEDUP_WORDS = 5
 
 
-def _settings(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no base rule and no risk-controlled cutoff rejects."""
-    _settings(spark)
+    bounded_batches(spark)
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a classifier trained on the labelled ones among them finds clean."""
-    _settings(spark)
+    bounded_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies by shingles of five words."""
-    _settings(spark)
+    bounded_batches(spark)
     return minhash.keep_one(docs, words=DEDUP_WORDS)
 
 
@@ -46,7 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its ids, their number, and the text that they decode to."""
-    _settings(spark)
+    bounded_batches(spark)
     path = public_tokenizers.path(BPE_FILE)
     ids = docs.drop("ids", "n_tokens", "decoded").withColumn("ids", bpe.encode(whole_text(), path))
     return ids.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded", bpe.decode(F.col("ids"), path))

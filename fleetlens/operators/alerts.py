@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.alerts import is_live, severity_level
 from fleetlens.params import AlertLimits
+from fleetlens.plans.automata import states_before
 from fleetlens.plans.ordered import OrderedGroups
 
 
@@ -186,44 +187,27 @@ def replay(polls: DataFrame, hold: int = 3, row_floor: int | None = None) -> Dat
     recurrence   back ``hold`` or more polls after the poll that resolved it
     suppressed   back sooner; neither stored nor notified, the old resolution stays in force
 
-    A suppressed sighting changes nothing in the store, so the next verdict depends on the last
-    *live* sighting, not on the last sighting.  Most sightings do not need that history: the first
-    one, one after a gap above ``hold`` polls, and one with the ``hold`` polls before it all
-    present are live whatever came before.  They start segments; only the flapping sightings
-    inside a segment are folded in order, as a short array of poll numbers.
+    A suppressed sighting changes nothing in the store, so a verdict depends on how many polls ago the last
+    *live* sighting was.  Up to ``hold`` that number is the state of a small automaton, which
+    ``automata.states_before`` runs without an array of an alert's polls.
     """
     rows = polls.select("fingerprint", "poll").distinct()
-    groups = OrderedGroups(rows, ["fingerprint"], ["poll"], halo=hold, row_floor=row_floor,
-                           sizes_from=polls)
-    w = groups.window()
-    marked = groups.rows().withColumns({"_prev": F.lag("poll").over(w),
-                                        "_back": F.lag("poll", hold).over(w)})
-    marked = groups.trim(marked, keep_piece=True)
-    since = F.col("poll") - F.col("_prev")
-    steady = F.coalesce(F.col("_back") == F.col("poll") - hold, F.lit(False))
-    start = F.col("_prev").isNull() | (since > hold) | steady
-    marked = groups.finish(groups.running(
-        marked, F.when(start, F.col("poll")), "segment"))
-    first_state = (F.when(F.col("_prev").isNull(), "new").when(since > hold, "recurrence")
-                   .otherwise("ongoing"))
-    rest = (marked.withColumn("_first", F.when(start, first_state))
-            .groupBy("fingerprint", "segment")
-            .agg(F.max("_first").alias("_first"),
-                 F.sort_array(F.collect_list("poll")).alias("_polls")))
-    empty = F.array().cast("array<struct<poll:bigint,state:string>>")
-    begin = F.struct(F.col("segment").cast("bigint").alias("live"), empty.alias("out"))
-
-    def step(acc, poll):
-        gap = poll - acc["live"]
-        state = (F.when(gap == 1, "ongoing").when(gap > hold, "recurrence").otherwise("suppressed"))
-        item = F.struct(poll.cast("bigint").alias("poll"), state.alias("state"))
-        return F.struct(F.when(state == "suppressed", acc["live"]).otherwise(poll).cast("bigint")
-                        .alias("live"), F.concat(acc["out"], F.array(item)).alias("out"))
-    later = F.aggregate(F.slice("_polls", F.lit(2), F.size("_polls")), begin, step)["out"]
-    head = F.array(F.struct(F.col("segment").cast("bigint").alias("poll"),
-                            F.col("_first").alias("state")))
-    return (rest.select("fingerprint", F.explode(F.concat(head, later)).alias("_s"))
-            .select("fingerprint", "_s.poll", "_s.state"))
+    groups = OrderedGroups(rows, ["fingerprint"], ["poll"], halo=1, row_floor=row_floor, sizes_from=polls)
+    rows = groups.trim(groups.rows().withColumn("_prev", F.lag("poll").over(groups.window())))
+    # polls since the sighting before; all that are beyond the hold are alike
+    since = F.when(F.col("_prev").isNotNull(), F.least(F.col("poll") - F.col("_prev"), F.lit(hold + 1)).cast("int"))
+
+    def after(state: int) -> Column:
+        gap = F.lit(state) + F.col("_since")
+        return F.when(F.col("_since").isNull() | (gap == 1) | (gap > hold), 0).otherwise(gap)
+    rows = rows.select("fingerprint", "poll", since.alias("_since"))
+    rows = rows.withColumn("_move", F.array(*[after(s) for s in range(hold + 1)]))
+    met = states_before(rows, ["fingerprint"], ["poll"], "_move", hold + 1, "_state", row_floor=row_floor, like=groups,
+                        sizes_from=polls)
+    gap = F.col("_state") + F.col("_since")
+    state = (F.when(F.col("_since").isNull(), "new").when(gap == 1, "ongoing").when(gap > hold, "recurrence")
+             .otherwise("suppressed"))
+    return met.select("fingerprint", "poll", state.alias("state"))
 
 
 def lifecycle(polls: DataFrame, hold: int = 3, ok_polls: DataFrame | None = None,

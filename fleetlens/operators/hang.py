@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,3 +92,56 @@ def hang_candidate(calls: DataFrame) -> DataFrame:
                                         F.min("function").alias("function"))
     return (solo.where("streams = 1").orderBy("op_count").limit(1)
             .select("rank", "stream", "function", "op_count"))
+
+
+def missing_calls(calls: DataFrame, group: str = "group_hash") -> DataFrame:
+    """For every rank of a communicator, the first operation that others of it logged and the rank did not.
+
+    ``missing`` counts such operations, ``last_op`` is the rank's own newest, ``function`` the (first) function
+    that the others called.  Operation numbers become bitmaps of 32 768 per row before any shuffle; a
+    communicator's bitmaps are combined and compared with each rank's.  Calls without communicator, rank or
+    operation number say nothing.
+    """
+    rows = calls.where(F.col(group).isNotNull() & F.col("rank").isNotNull() & (F.col("op_count") >= 0))
+    number = F.col("op_count") + 1  # the numbering of bitmaps starts at 1
+    own = (rows.groupBy(group, "rank", F.bitmap_bucket_number(number).alias("_b"))
+           .agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_own"), F.max("op_count").alias("_last")))
+    every = own.groupBy(group, "_b").agg(F.bitmap_or_agg("_own").alias("_all"))
+    ranks = own.groupBy(group, "rank").agg(F.max("_last").alias("last_op"))
+    absent = first_absent(F.col("_all"), F.col("_own"))
+    found = (every.join(ranks, group).join(own.drop("_last"), [group, "rank", "_b"], "left")
+             .select(group, "rank", "last_op", "_b", absent.alias("_a")).where("_a.n > 0")
+             .groupBy(group, "rank", "last_op").agg(
+                 F.min((F.col("_b") - 1) * 32768 + F.col("_a.first")).alias("op_count"), F.sum("_a.n").alias("missing")))
+    asked = found.select(group, "op_count").distinct()
+    said = rows.join(asked, [group, "op_count"]).groupBy(group, "op_count").agg(F.min("function").alias("function"))
+    return found.join(said, [group, "op_count"]).select(group, "rank", "op_count", "function", "missing", "last_op")
+
+
+def first_absent(every: Column, own: Column) -> Column:
+    """Lowest bit set in ``every`` and not in ``own`` (null: none set), and how many there are."""
+
+    @F.arrow_udf("struct<first: int, n: long>")
+    def absent(every: pa.Array, own: pa.Array) -> pa.Array:
+        first, n = [], []
+        for a, b in zip(every, own):
+            left = np.frombuffer(a.as_buffer(), np.uint8)
+            if b.is_valid:
+                left = left & ~np.frombuffer(b.as_buffer(), np.uint8)
+            bits = np.flatnonzero(np.unpackbits(left, bitorder="little"))
+            first.append(int(bits[0]) if len(bits) else None)
+            n.append(len(bits))
+        return pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(n, pa.int64())], ["first", "n"])
+
+    return absent(every, own)
+
+
+def operation_gaps(calls: DataFrame, limits: HangLimits = HangLimits()) -> DataFrame:
+    """Streams whose last call came late: a send or receive after its own limit, any other call after the general
+    one.  Watched collectives have their own job, ``collective_hangs``."""
+    gap = (F.col("ts_ns") - F.col("before_ns")) / 1e9
+    pair = F.col("function").isin(*limits.point_to_point)
+    return (last_calls(calls).where(~F.col("function").isin(*limits.watched)).withColumn("gap_s", gap)
+            .withColumn("limit_s", F.when(pair, limits.send_recv_gap_s).otherwise(limits.operation_gap_s))
+            .where(F.col("gap_s") > F.col("limit_s"))
+            .select("rank", "stream", "function", "op_count", "gap_s", "limit_s"))

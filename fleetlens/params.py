@@ -36,6 +36,9 @@ class HangLimits:
     stream_idle_high_s: float = 600.0
     collective_gap_s: float = 120.0
     watched: tuple[str, ...] = ("AllReduce", "AllGather", "Broadcast")
+    operation_gap_s: float = 60.0
+    send_recv_gap_s: float = 180.0
+    point_to_point: tuple[str, ...] = ("Send", "Recv", "SendRecv")
 
 
 @dataclass(frozen=True)

@@ -8,16 +8,20 @@ end tags close what is open inside their element or are ignored.  The tree is th
   ``display: none`` (with all inside) or ``visibility: hidden`` (unless made visible again inside);
 * blocks start and end a line, paragraphs and headings are set off by an empty line, ``br`` breaks a line;
   white space collapses except in ``pre`` and ``textarea``;
-* items begin with ``- `` or their number, indented by depth; images show their alternative text;
-* the cells of a table are padded to the width of their column; a cell's own lines are joined by spaces.
+* items begin with ``- `` or their number, indented by depth (up to ``MAX_INDENT``); images show their alternative text;
+* the cells of a table are padded to the width of their column, up to ``MAX_PAD``; cells that span columns or
+  rows leave the other places empty; a cell's own lines, also those of a table in it, are joined by spaces.
 
-Null and empty pages give the empty text.  Unclosed and stray tags never fail.  The walk has its own stack,
-so depth is not limited; only tables nested beyond ``MAX_TABLES`` lose their columns.
+Null and empty pages give the empty text.  Unclosed and stray tags never fail.  Walks have their own stack,
+and tables are laid out from the inside out, so depth is not limited; open elements are found by their
+names, so time is linear in the page.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -45,16 +49,21 @@ IMPLIED_END = {
 TABLE_PARTS = set("table caption thead tbody tfoot tr td th body html".split())
 CELL_EDGE = {"td", "th", "caption"}
 LISTS = {"ul", "ol", "menu", "dir"}
-#: tables nested deeper than this are laid out as plain blocks
-MAX_TABLES = 40
+# The largest spans of a cell in HTML
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+#: a column is padded to this width at most; its longer cells stand out
+MAX_PAD = 200
+#: items are indented by this depth at most
+MAX_INDENT = 40
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "lines")
 
     def __init__(self, tag: str, attrs=()):
         self.tag, self.attrs, self.children = tag, dict(attrs), []
+        self.lines: list[str] = []  # of a table, once it is laid out
 
 
 class TreeBuilder(HTMLParser):
@@ -62,21 +71,32 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
+        # places of the open elements of each name, the innermost last
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def _push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.open))
+        self.open.append(node)
+
+    def _cut(self, place: int) -> None:
+        """End the open element at a place and all inside it."""
+        for node in reversed(self.open[place:]):
+            self.at[node.tag].pop()
+        del self.open[place:]
+
+    def _innermost(self, names: set[str]) -> int:
+        return max((self.at[t][-1] for t in names if self.at.get(t)), default=0)
 
     def _close(self, names: set[str], stop: set[str]) -> None:
         """End the outermost open element of ``names`` inside the nearest of ``stop``."""
-        cut = 0
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in stop:
-                break
-            if self.open[i].tag in names:
-                cut = i
-        if cut:
-            del self.open[cut:]
+        edge = self._innermost(stop)
+        found = [places[bisect_right(places, edge)] for t in names if (places := self.at.get(t)) and places[-1] > edge]
+        if found:
+            self._cut(min(found))
 
     def _end_head(self) -> None:
         while self.open[-1].tag == "head":
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
@@ -88,11 +108,11 @@ class TreeBuilder(HTMLParser):
         if tag in ENDS_P:
             self._close({"p"}, {"table", "td", "th", "button", "object", "caption"})
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
         if tag not in VOID:
-            self.open.append(node)
+            self._push(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -101,12 +121,10 @@ class TreeBuilder(HTMLParser):
         if tag == "br":
             self.open[-1].children.append(Node("br"))
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in CELL_EDGE and tag not in TABLE_PARTS:
-                return  # a stray end tag in a cell ends nothing outside it
+        place = self._innermost({tag})
+        # a stray end tag in a cell ends nothing outside it
+        if place and (tag in TABLE_PARTS or self._innermost(CELL_EDGE) <= place):
+            self._cut(place)
 
     def handle_data(self, data):
         if data.strip(" \t\n\r\f"):
@@ -165,28 +183,55 @@ def _shown(node: Node, visible: bool) -> tuple[bool, bool]:
     return True, found[1] == "visible" if found else visible
 
 
-def _row_cells(row: Node, visible: bool, depth: int) -> list[str]:
-    """Texts of a row's cells; one that spans columns leaves the others empty."""
+def _span(cell: Node, name: str, most: int) -> int:
+    """The number of places a cell takes; 0 rows mean all that follow."""
+    text = (cell.attrs.get(name) or "1").strip()
+    if not re.fullmatch(r"\d+", text, re.ASCII):
+        return 1
+    n = int(text) if len(text) < 6 else most
+    return most if n == 0 and name == "rowspan" else max(1, min(n, most))
+
+
+def _row_cells(row: Node, visible: bool, taken: dict[int, int]) -> list[str]:
+    """Texts of a row's cells by column.  ``taken`` has the rows for which cells above still hold a column, and
+    is carried on to the next row."""
     out: list[str] = []
+    below: dict[int, int] = {}
+
+    def put(text: str, columns: int, rows: int) -> None:
+        while taken.get(len(out)):
+            out.append("")
+        for i in range(columns):
+            if rows > 1:
+                below[len(out)] = rows - 1
+            out.append("" if i else text)
+
     for child in row.children:
         if isinstance(child, str):
             if child.strip() and visible:
-                out.append(_SPACE.sub(" ", child).strip())
+                put(_SPACE.sub(" ", child).strip(), 1, 1)
             continue
         laid, own = _shown(child, visible)
         if laid:
-            span = child.attrs.get("colspan") or "1"
-            out.append(" ".join(x.strip() for x in render(child, own, depth) if x.strip()))
-            out += [""] * (min(int(span), 100) - 1 if span.isdecimal() else 0)
+            put(" ".join(x.strip() for x in render(child, own) if x.strip()), _span(child, "colspan", MAX_COLSPAN),
+                _span(child, "rowspan", MAX_ROWSPAN))
+    for column, rows in list(taken.items()):
+        if rows > 1:
+            below.setdefault(column, rows - 1)
+    taken.clear()
+    taken.update(below)
     return out
 
 
-def _rows(table: Node, visible: bool, depth: int) -> tuple[list[str], list[list[str]]]:
+def _rows(table: Node, visible: bool) -> tuple[list[str], list[list[str]]]:
     """Lines before the table (its caption, and text outside cells), and its rows."""
-    before, rows, loose = [], [], Node("tr")
+    before, rows, loose, taken = [], [], Node("tr"), {}
     work = [(child, visible) for child in reversed(table.children)]
     while work:
         child, seen = work.pop()
+        if child is None:  # row spans end with their part of the table
+            taken.clear()
+            continue
         if isinstance(child, str):
             if child.strip() and seen:
                 before.append(_SPACE.sub(" ", child).strip())
@@ -195,24 +240,48 @@ def _rows(table: Node, visible: bool, depth: int) -> tuple[list[str], list[list[
         if not laid:
             continue
         if child.tag in ("tbody", "thead", "tfoot"):
-            work += [(c, own) for c in reversed(child.children)]
+            taken.clear()
+            work += [(None, own), *((c, own) for c in reversed(child.children))]
         elif child.tag == "tr":
-            rows.append(_row_cells(child, own, depth))
+            rows.append(_row_cells(child, own, taken))
         elif child.tag in ("td", "th"):  # cells without a row make one together
             loose.children.append(child)
         else:
-            before += render(child, own, depth)
-    return before, rows + ([_row_cells(loose, visible, depth)] if loose.children else [])
+            before += render(child, own)
+    return before, rows + ([_row_cells(loose, visible, {})] if loose.children else [])
 
 
-def _table_lines(table: Node, visible: bool, depth: int) -> list[str]:
-    before, rows = _rows(table, visible, depth)
-    width = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows), default=0))]
+def _table_lines(table: Node, visible: bool) -> list[str]:
+    before, rows = _rows(table, visible)
+    width = [0] * max(map(len, rows), default=0)
+    for row in rows:
+        for i, cell in enumerate(row):
+            width[i] = max(width[i], min(len(cell), MAX_PAD))
     return before + ["  ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in rows]
 
 
-def render(top: Node, visible: bool = True, tables: int = 0) -> list[str]:
-    """Lines of everything visible inside ``top``; a walk with its own stack, not recursion."""
+def _lay_out_tables(top: Node) -> None:
+    """Lines of every table that is laid out, inner tables first."""
+    found, work = [], [(c, True) for c in reversed(top.children)]
+    while work:
+        node, seen = work.pop()
+        if isinstance(node, str):
+            continue
+        laid, own = _shown(node, seen)
+        if laid:
+            if node.tag == "table":
+                found.append((node, own))
+            work += [(c, own) for c in reversed(node.children)]
+    for table, own in reversed(found):
+        table.lines = _table_lines(table, own)
+
+
+def _indent(lists: list) -> str:
+    return "  " * min(max(0, len(lists) - 1), MAX_INDENT)
+
+
+def render(top: Node, visible: bool = True) -> list[str]:
+    """Lines of everything visible inside ``top``, whose tables are laid out already."""
     lines = _Lines()
     work = [("in", c, visible, False) for c in reversed(top.children)]
     counters: list[list] = []
@@ -223,7 +292,7 @@ def render(top: Node, visible: bool = True, tables: int = 0) -> list[str]:
             if node.tag in LISTS:
                 counters.pop()
             lines.gap = lines.gap or (node.tag in SPACED and not (node.tag in LISTS and counters))
-            lines.indent = "  " * max(0, len(counters) - 1)
+            lines.indent = _indent(counters)
             continue
         if isinstance(node, str):
             if seen:
@@ -241,8 +310,8 @@ def render(top: Node, visible: bool = True, tables: int = 0) -> list[str]:
             continue
         lines.end()
         lines.gap = lines.gap or node.tag in SPACED
-        if node.tag == "table" and tables < MAX_TABLES:
-            for line in _table_lines(node, own, tables + 1):
+        if node.tag == "table":
+            for line in node.lines:
                 lines.now = line
                 lines.end()
             lines.gap = 1
@@ -251,7 +320,7 @@ def render(top: Node, visible: bool = True, tables: int = 0) -> list[str]:
             start = node.attrs.get("start") or "1"
             counters.append([node.tag == "ol", int(start) - 1 if re.fullmatch(r"-?\d{1,9}", start) else 0])
             lines.gap = 0 if len(counters) > 1 else lines.gap
-        lines.indent = "  " * max(0, len(counters) - 1)
+        lines.indent = _indent(counters)
         if node.tag == "li" and own:
             if counters and counters[-1][0]:
                 counters[-1][1] += 1
@@ -270,6 +339,7 @@ def page_text(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
+    _lay_out_tables(builder.root)
     return "\n".join(render(builder.root))
 
 

@@ -354,6 +354,39 @@ def test_html():
     assert "deep" in html_text.page_text("<div>" * 3000 + "<table><tr><td>" * 600 + "deep")
 
 
+def test_html_spans():
+    """Cells over several rows and columns keep what is beside them in its column."""
+    assert html_text.page_text("<table><tr><td rowspan=2>A<td>B<td>C<tr><td>D<td>E</table>") == "A  B  C\n   D  E"
+    assert html_text.page_text("<table><tr><td rowspan=3 colspan=2>A<td>B<tr><td>C<tr><td>D<tr><td>x<td>y<td>z</table>") == (
+        "A     B\n      C\n      D\nx  y  z")
+    # spans end with their part of the table; no rows means all of it; senseless numbers count as one
+    assert html_text.page_text("<table><thead><tr><th rowspan=9>H<th>I<tbody><tr><td>a<td>b<tr><td rowspan=0>c<td>d<tr><td>e"
+                               "<tfoot><tr><td rowspan=-1 colspan=x>f<td>g</table>") == "H  I\na  b\nc  d\n   e\nf  g"
+    wide = html_text.page_text("<table><tr><td colspan=150>a<td>b<tr>" + "<td>1" * 151 + "</table>").split("\n")
+    assert wide[0].index("b") == wide[1].rindex("1")
+    assert html_text.page_text(f"<table><tr><td colspan={'9' * 9000}>a<td>b</table>").split() == ["a", "b"]
+
+
+def test_html_nested_tables_and_long_cells():
+    inner = "<table><tr><td>x<td>y</table>"
+    for _ in range(60):
+        inner = f"<table><tr><td>a<td>{inner}<tr><td>bbb<td>c</table>"
+    lines = html_text.page_text(inner).split("\n")
+    # the outermost of all tables still has its columns
+    assert len(lines) == 2 and lines[0].startswith("a    a    a") and lines[1] == "bbb  c" and lines[0].count("bbb  c") == 59
+    text = html_text.page_text("<table>" + f"<tr><td>{'w' * 50_000}<td>x" + "<tr><td>a<td>b" * 2000 + "</table>")
+    assert len(text) < 50_000 + 2001 * (html_text.MAX_PAD + 20)
+
+
+def test_html_time_is_linear_in_depth():
+    import time
+    start = time.time()
+    for tag in ("div", "p><b", "ul><li", "table><tr><td"):
+        assert html_text.page_text(f"<{tag}>" * 20_000 + "deep").endswith("deep")
+    assert html_text.page_text("<div>" * 100_000 + "</p></i>" * 20_000 + "deep") == "deep"
+    assert time.time() - start < 60
+
+
 def test_a_head_without_end_tag_hides_no_text():
     assert html_text.page_text("<head><title>no</title>Text <b>bold</b><p>more") == "Text bold\n\nmore"
     assert html_text.page_text("<head><title>no</title><a href=x>link<div>inside</div></a><i>tail</i>") == "link\ninside\ntail"

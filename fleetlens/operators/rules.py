@@ -135,12 +135,12 @@ def rate(samples: DataFrame, clock: Clock, metric: str, equal: dict | None = Non
     begin = end - clock.range_s
     t0, t1 = F.col("t0") / 1e6, F.col("t1") / 1e6
     span = t1 - t0
-    mean_gap = span / (F.col("n") - 1)
+    mean_gap = span / F.nullif(F.col("n") - 1, F.lit(0))
     to_start = F.when(t0 - begin >= mean_gap * 1.1, mean_gap / 2).otherwise(t0 - begin)
-    to_zero = F.when((F.col("rise") > 0) & (F.col("v0") >= 0), span * F.col("v0") / F.col("rise"))
+    to_zero = F.when((F.col("rise") > 0) & (F.col("v0") >= 0), span * F.col("v0") / F.nullif(F.col("rise"), F.lit(0.0)))
     to_start = F.least(to_start, F.coalesce(to_zero, to_start))
     to_end = F.when(end - t1 >= mean_gap * 1.1, mean_gap / 2).otherwise(end - t1)
-    value = F.col("rise") * (span + to_start + to_end) / span / clock.range_s
+    value = F.col("rise") * (span + to_start + to_end) / F.nullif(span, F.lit(0.0)) / clock.range_s
     return (dense.where((F.col("n") >= 2) & (F.col("t1") > F.col("t0")))
             .select("series", "instance", "tick", value.alias("value")))
 
@@ -206,18 +206,26 @@ def _now(metric, equal=None, differ=()):
         return instant(s, c, metric, equal, differ)
     # what a live evaluation needs to know of a bare threshold; other vectors do not have it
     vector.selects = (metric, dict(equal or {}), tuple(differ))
+    return _described(vector, "now", (metric, equal, differ))
+
+
+def _described(vector, kind, *parts):
+    """What the evaluation of all rules in one pass needs to know: the kind of the vector, and of each of its
+    sides the metric with the labels that must and must not be equal."""
+    vector.kind = kind
+    vector.parts = tuple((metric, dict(equal or {}), tuple(differ)) for metric, equal, differ in parts)
     return vector
 
 
 def _rate(metric, equal=None):
-    return lambda s, c: rate(s, c, metric, equal)
+    return _described(lambda s, c: rate(s, c, metric, equal), "rate", (metric, equal, ()))
 
 
 def _used_pct(free, total):
     def vector(s, c):
         return instant_pair(s, c, free, total).where("b <> 0").select(
-            "series", "instance", "tick", ((1 - F.col("a") / F.col("b")) * 100).alias("value"))
-    return vector
+            "series", "instance", "tick", ((1 - F.col("a") / F.nullif(F.col("b"), F.lit(0.0))) * 100).alias("value"))
+    return _described(vector, "used_pct", (free, None, ()), (total, None, ()))
 
 
 def _cpu_pct(s, c):
@@ -230,20 +238,30 @@ def _net_errors(s, c):
                          rate(s, c, "node_network_transmit_errs_total"), lambda a, b: a + b)
 
 
+_described(_cpu_pct, "cpu_pct", ("node_cpu_seconds_total", {"mode": "idle"}, ()))
+_described(_net_errors, "rate_sum", ("node_network_receive_errs_total", None, ()),
+           ("node_network_transmit_errs_total", None, ()))
+
+
+def _test(breach, sign, x, y=None):
+    breach.test = (sign, float(x), None if y is None else float(y))
+    return breach
+
+
 def above(x):
-    return lambda v: v > x
+    return _test(lambda v: v > x, ">", x)
 
 
 def equals(x):
-    return lambda v: v == x
+    return _test(lambda v: v == x, "=", x)
 
 
 def differs(x):
-    return lambda v: v != x
+    return _test(lambda v: v != x, "<>", x)
 
 
 def outside(low, high):
-    return lambda v: (v < low) | (v > high)
+    return _test(lambda v: (v < low) | (v > high), "outside", low, high)
 
 
 def _simple(rule_id, alert, hold_s, severity, metric, breach, equal=None, differ=()):
@@ -256,6 +274,7 @@ NET = ("node_network_receive_errs_total", "node_network_transmit_errs_total")
 RESTARTS = "kube_pod_container_status_restarts_total"
 PHASES = (("phase", "Running"), ("phase", "Succeeded"))
 
+# Identifiers, names, holds, severities, metrics and thresholds of the rules
 RULES: dict[str, Rule] = {r.rule_id: r for r in (
     _simple("GPU_0101", "GPUTemperatureHigh", 300, "P1", "DCGM_FI_DEV_GPU_TEMP", above(85)),
     _simple("GPU_0102", "GPUPowerHigh", 300, "P2", "DCGM_FI_DEV_POWER_USAGE", above(300)),

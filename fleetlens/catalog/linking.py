@@ -70,3 +70,6 @@ add("r1_rank_cycles", lambda s, d: R.cycles(link_transfers(s, d)),
     SCC_SQL + f" SELECT {_GR}, rank, scc, size, is_cycle FROM comp WHERE is_cycle")
 add("r1_rank_components_compat", lambda s, d: R.cycles(link_transfers(s, d), compat=True),
     SCC_SQL + f" SELECT {_GR}, rank, scc, size, is_cycle FROM comp")
+# the same components by the distributed rounds that larger graphs take
+add("r1_rank_components_by_rounds", lambda s, d: R.cycles(link_transfers(s, d), compat=True, edge_limit=0),
+    SCC_SQL + f" SELECT {_GR}, rank, scc, size, is_cycle FROM comp")

@@ -198,7 +198,7 @@ def components(transfers: DataFrame, edge_limit: int = SMALL_GRAPH_EDGES) -> Dat
                     ((F.col("size") > 1) | F.coalesce("_self", F.lit(False))).alias("is_cycle")))
 
 
-def cycles(transfers: DataFrame, compat: bool = False) -> DataFrame:
+def cycles(transfers: DataFrame, compat: bool = False, edge_limit: int = SMALL_GRAPH_EDGES) -> DataFrame:
     """Components that are cycles; ``compat`` lists single ranks as well."""
-    out = components(transfers)
+    out = components(transfers, edge_limit)
     return out if compat else out.where("is_cycle")

@@ -10,9 +10,10 @@ from the corpus as ``n1 / (n1 + 2 * n2)`` over its bigrams that occur once and t
     failure:   f(h)     = D * t(h) / c(h)
     arc:       p(w | h) = (c(h, w) - D) / c(h) + f(h) * p(w)
 
-A text is one left-to-right walk: take the arc of the next word if the state has one, else the failure
-arc and the root's arc, go to that word's state, and add the logarithms; the end of the text is a word.
-A state that was never seen in training is the root itself.
+A text is one left-to-right walk that carries its state: take the arc of the next word if the state has one,
+else the failure arc and the root's arc, go to that word's state, and add the logarithms; the end of the text
+is a word.  A state that was never seen in training is the root itself.  The texts of a block walk side
+by side, a step of all of them at a time.
 
 The counts cover all training texts and grow with them, so no task and no driver holds the model.
 Texts are dealt into blocks of about ``BLOCK_BYTES``.  A block names each of its bigrams once to the
@@ -85,9 +86,10 @@ class Block:
         edge, self.word = word[-1], word[:len(words)]
         before = np.concatenate([[edge], self.word[:-1]])  # the token before a text's first is an end
         pair = before.astype(np.int64) << 32 | self.word
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+        self.edge = int(edge)
+        self.pairs, which = np.unique(pair, return_inverse=True)
         weight = np.repeat(learn, self.tokens_of).astype(np.float64)
-        self.counts = np.bincount(self.pair, weight, minlength=len(self.pairs)).astype(np.uint64)
+        self.counts = np.bincount(which, weight, minlength=len(self.pairs)).astype(np.uint64)
         self.history, self.follower = self.pairs >> 32, self.pairs & 0xFFFFFFFF
 
     def cut(self, shards: int, hot: np.ndarray):
@@ -173,22 +175,45 @@ class Automaton:
         once = max(totals[2], 1)
         discount = once / (once + 2 * totals[3])
         self.known = c > 0
-        self.root = (c + 0.5) / (self.n + 0.5 * (v + 1))
+        root = (c + 0.5) / (self.n + 0.5 * (v + 1))
         at = np.maximum(c, 1)
-        self.failure = np.where(c > 0, discount * t / at, 1.0)
-        h, w = block.history, block.follower
-        self.arc = np.maximum(pair - discount, 0) / at[h] + self.failure[h] * self.root[w]
+        failure = np.where(c > 0, discount * t / at, 1.0)
+        # arcs of the states that training saw, by state and word; the last state is the root, which has no such
+        # arcs, fails to itself, and has an arc for every word
+        seen = np.flatnonzero(pair > 0)
+        h, w = block.history[seen], block.follower[seen]
+        self.arcs = block.pairs[seen]
+        self.arc_weight = np.log10(np.maximum(pair[seen] - discount, 0) / at[h] + failure[h] * root[w])
+        self.failure_weight = np.append(np.log10(failure), 0.0)
+        self.root_weight = np.log10(root)
+        self.state_of = np.where(self.known, np.arange(len(c)), len(c))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, next state) of taking one word from each state."""
+        weight = self.failure_weight[state] + self.root_weight[word]
+        if len(self.arcs):
+            key = state << 32 | word
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            weight = np.where(self.arcs[at] == key, self.arc_weight[at], weight)
+        return weight, self.state_of[word]
 
     def walk(self) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base, score) of each text: the sums along its walk."""
         b = self.block
-        ends = np.cumsum(b.tokens_of) - b.tokens_of
-        if not len(ends):
+        first = np.cumsum(b.tokens_of) - b.tokens_of
+        if not len(first):
             return tuple(np.zeros(0) for _ in range(4))
-        steps = np.log10(self.arc)[b.pair]
-        base = np.log10(self.root)[b.word]
-        return (b.tokens_of, np.add.reduceat(self.known[b.word].astype(np.int64), ends),
-                np.add.reduceat(base, ends), np.add.reduceat(steps, ends))
+        order = np.argsort(-b.tokens_of, kind="stable")  # the longest first, so that those under way stay in front
+        ahead, score = first[order], np.zeros(len(order))
+        state = np.full(len(order), self.state_of[b.edge])
+        under_way = len(order) - np.searchsorted(b.tokens_of[order][::-1], np.arange(b.tokens_of.max()), "right")
+        for place, n in enumerate(under_way.tolist()):
+            weight, state[:n] = self.step(state[:n], b.word[ahead[:n] + place])
+            score[:n] += weight
+        out = np.empty(len(order))
+        out[order] = score
+        return (b.tokens_of, np.add.reduceat(self.known[b.word].astype(np.int64), first),
+                np.add.reduceat(self.root_weight[b.word], first), out)
 
 
 def _hot_words(docs: DataFrame) -> np.ndarray:

@@ -8,8 +8,8 @@ part, and sends a query to its ``probes`` most probable parts, and to further on
 rows.  Candidates there are ranked by their exact distance in double precision (Dong et al., 2020).
 
 What the driver holds is bounded by the sample and the number of parts.  Parts are cut into blocks of at
-most about ``BLOCK_ROWS`` rows and queries into groups of ``QUERY_ROWS``, so one part, or one
-vector that very many rows repeat, never fills a task; each block and group of queries yields the best
+most about ``BLOCK_ROWS`` rows and queries into groups of ``QUERY_ROWS`` (a block is sent once for each), so one
+part, or one vector that very many rows repeat, never fills a task; each block and group of queries yields the best
 ``k`` rows per query, which are merged.
 """
 
@@ -30,7 +30,7 @@ PARTS = 16
 PROBES = 13
 NEIGHBOURS = 30
 BLOCK_ROWS = 4096
-QUERY_ROWS = 512
+QUERY_ROWS = 16384
 SLACK = 1.05
 
 
@@ -178,7 +178,8 @@ def ranked_parts(v: Column, router: Router) -> Column:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, probes: int = PROBES, parts: int = PARTS,
             sample: int = SAMPLE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for each query, by Euclidean
-    distance and then id, without the query's own id.  Repeated rows are candidates of their own."""
+    distance and then id, without the query's own id.  Repeated rows are candidates of their own; an id that
+    several query rows have is one query, with the smallest of their vectors."""
     spark = vectors.sparkSession
     rows = usable(vectors)
     # at most ``sample`` vectors
@@ -193,7 +194,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, probes: int = PRO
     counts = dict(placed.groupBy("part").count().collect())  # one row per part
     n_parts = len(router.second_bias)
     blocks = {p: -(-n // BLOCK_ROWS) for p, n in counts.items()}
-    n_queries = placed.where("ask IS NOT NULL").count()
+    # an id that is repeated asks once, with its smallest vector
+    asking = (placed.where("ask IS NOT NULL").groupBy("vec_id").agg(F.min(F.struct("v", "ask")).alias("q"))
+              .select("vec_id", "q.v", "q.ask"))
+    n_queries = asking.count()
     groups = max(1, -(-n_queries // QUERY_ROWS))
     held = F.array(*[F.lit(int(counts.get(p, 0))) for p in range(n_parts)])
     cut = F.array(*[F.lit(int(blocks.get(p, 0))) for p in range(n_parts)])
@@ -201,7 +205,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, probes: int = PRO
     # parts are taken in order while fewer than ``probes`` of them, or fewer rows than k + 1, came before
     before = F.transform(F.sequence(F.lit(0), F.lit(n_parts - 1)), lambda i: F.aggregate(
         F.slice("ask", F.lit(1), i), F.lit(0).cast("long"), lambda s, p: s + F.element_at(held, p + 1)))
-    queries = (placed.where("ask IS NOT NULL").select(
+    queries = (asking.select(
         F.col("vec_id").alias("query_id"), F.col("v").alias("q"), group.alias("grp"),
         F.posexplode(F.arrays_zip(F.col("ask").alias("part"), before.alias("before"))).alias("i", "x"))
         .where((F.col("i") < probes) | (F.col("x.before") < k + 1))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import whole_text, written
-from fleetlens.llm.components import components
+from fleetlens.llm.components import as_links, components
 from fleetlens.llm.text import mix, pieces, windows, word_hashes
 
 SHINGLE = 4
@@ -227,11 +227,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = SHINGLE) -
         found = written(confirmed(_star_pairs(buckets, place, turn), sets), "found")
         if found.isEmpty():
             break
-        links = links.unionByName(found)
-        place = components(links).withColumnRenamed("node", "rep")
+        place = components(as_links(place, "rep").unionByName(found)).withColumnRenamed("node", "rep")
     rest = _open_classes(buckets, place)
     left = written(sets.join(rest, "rep"), "open")
-    links = links.unionByName(written(confirmed(_prefix_pairs(left), sets), "found"))
+    links = as_links(place, "rep").unionByName(written(confirmed(_prefix_pairs(left), sets), "found"))
     # a document with several texts holds their classes together
     member = named.select("doc_id", "digest").distinct().join(reps.select("digest", "rep"), "digest")
     split = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")

@@ -231,8 +231,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: floa
     no words and fail the base rules.  A null stratum is a stratum of its own.  Repeated documents
     are judged alike.  Statistics are computed once, into a table of eight numbers per document.
     """
-    stats = written(docs.select("doc_id", F.col(stratum), text_stats(whole_text(text)).alias("s"))
-                    .select("doc_id", stratum, "s.*").withColumn("base_failed", base_failed()), "stats")
+    stats = written(docs.select("doc_id", F.col(stratum), _digest(text).alias("text_digest"),
+                                text_stats(whole_text(text)).alias("s"))
+                    .select("doc_id", stratum, "text_digest", "s.*").withColumn("base_failed", base_failed()), "stats")
     marks = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg((F.min("quality") == 1).alias("good")))
     cutoffs = written(learn_cutoffs(stats.where("NOT base_failed").join(marks, "doc_id"),
@@ -247,11 +248,18 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: floa
             .withColumn("kept", ~F.col("base_failed") & ~F.col("rule_failed")))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that ``judge`` keeps, with their own columns.
+def _digest(text: str) -> Column:
+    return F.xxhash64(whole_text(text))
 
-    Texts meet their verdict on ``doc_id``.  Rows of a repeated id with different texts all go if
-    one of them is rejected; rows without an id go if any such row is rejected.
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", **options) -> DataFrame:
+    """The documents that ``judge`` keeps, with their own columns, whatever their names.
+
+    Rows meet their verdict on id, stratum and a digest of the text, so every row goes by its own text.
     """
-    bad = judge(docs, labels, **options).where("NOT kept").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    bad = (judge(docs, labels, stratum, text=text, **options).where("NOT kept")
+           .select(F.col("doc_id").alias("_i"), F.col(stratum).alias("_s"), F.col("text_digest").alias("_d")).distinct())
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col(stratum).alias("_stratum"),
+                       _digest(text).alias("_digest"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_stratum").eqNullSafe(F.col("_s")) & (F.col("_digest") == F.col("_d"))
+    return rows.join(bad, same, "left_anti").select("_row.*")

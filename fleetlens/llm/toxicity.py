@@ -175,11 +175,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
     chosen = (known.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id")
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # at most ``sample`` rows
-    some = _features(labelled.join(F.broadcast(chosen), "doc_id"), keep).collect()
-    slot = np.cumsum(keep) - 1
-    rows = np.repeat(np.arange(len(some)), [len(r.bins) for r in some])
-    cols = slot[np.concatenate([np.array(r.bins, np.int64) for r in some])] if len(rows) else rows
-    w, b = fit_weights(np.array([r.toxic for r in some], float), rows, cols, ratio[keep])
+    some = _features(labelled.join(F.broadcast(chosen), "doc_id"), keep).toArrow().combine_chunks()
+    slot, bins = np.cumsum(keep) - 1, some.column("bins").combine_chunks()
+    rows = np.repeat(np.arange(some.num_rows), bins.value_lengths().to_numpy(zero_copy_only=False))
+    cols = slot[bins.flatten().to_numpy(zero_copy_only=False)]
+    w, b = fit_weights(some.column("toxic").to_numpy().astype(float), rows, cols, ratio[keep])
     weight = np.zeros(BINS)
     weight[keep] = w * ratio[keep]
     return Model(weight, b)
@@ -203,4 +203,5 @@ def score(text: Column, model: Model) -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """Documents with a score below one half, with their own columns; repeated rows stay or go alike."""
     model = train(docs, labels, text)
-    return docs.withColumn("_toxicity", score(whole_text(text), model)).where("_toxicity < 0.5").drop("_toxicity")
+    scored = docs.select(F.struct("*").alias("_row"), score(whole_text(text), model).alias("_score"))
+    return scored.where("_score < 0.5").select("_row.*")

@@ -479,3 +479,32 @@ def test_bpe_columns_equal_the_library():
     want = [b"".join(mine.token_bytes.get(i, b"") for i in a or []).decode("utf-8", "replace") for a in arrays]
     assert mine.decode_column(pa.array(arrays, pa.list_(pa.int32()))).to_pylist() == want
     assert len(mine.encode_column(pa.array([], pa.string()))) == len(mine.decode_column(pa.array([], pa.list_(pa.int32())))) == 0
+
+
+def test_a_repeated_query_row_asks_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(40)]
+    rows += [rows[0], rows[0], (0, [9.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") == 0).collect())
+    assert [g[0] for g in got] == list(range(1, 11)) and len({g[1] for g in got}) == 10
+    first = np.array(min(rows[0][1], [9.0] * 8), np.float32).astype(float)
+    x = np.array([v for _, v in rows[1:40]], np.float32).astype(float)
+    assert np.allclose([g[2] for g in got], np.sort(np.sqrt(((x - first) ** 2).sum(1)))[:10])
+
+
+def test_stages_keep_columns_of_any_name(spark, labels, tmp_path):
+    """Columns that the stages use inside keep their values, and rows without id are judged one by one."""
+    names = ["_bad", "_row", "_d", "_toxicity", "_score", "_size", "_src", "_block", "epoch", "block", "position", "n_tokens", "kept", "text_digest"]
+    rows = [(i, BASE.replace("tok7 ", f"t{i} ") if i % 3 else "short", "en", "s", 1, *[f"{n}{i}" for n in names]) for i in range(12)]
+    rows += [(None, BASE + " other words", "en", "s", 1, *names), (None, "short", "en", "s", 1, *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, "
+                               + ", ".join(f"`{n}` string" for n in names))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    good = corpus_pipeline.quality_stage(spark, df, str(tmp_path))
+    assert good.columns == df.columns
+    assert sorted(str(r.doc_id) for r in good.collect()) == sorted([str(i) for i in range(12) if i % 3] + ["None"])
+    for stage in (corpus_pipeline.toxicity_stage, corpus_pipeline.mixing_stage, corpus_pipeline.dedup_stage):
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        assert {tuple(r) for r in out.collect()} <= set(rows)

@@ -35,13 +35,16 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture of sources has them: some sources are thinned, some repeated."""
-    sized = mixing.with_tokens(docs)
-    narrow = written(sized.select("doc_id", *[c for c in sized.columns if c.startswith("_")]), "sized")
-    return mixing.mix(sized, narrow).select(*docs.columns)
+    # the documents' own columns travel packed, whatever their names
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source")
+    sized = mixing.with_tokens(rows).drop("doc_id", "text", "source")
+    narrow = written(sized.drop("_row"), "sized")
+    return mixing.mix(sized, narrow).select("_row.*")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its ids, their number, and the text that they decode to."""
+    """Each document with its ids, their number, and the text that they decode to, in columns ``ids``, ``n_tokens``
+    and ``decoded``; the documents' own columns of these names are replaced."""
     bounded_batches(spark)
     path = public_tokenizers.path(BPE_FILE)
     ids = docs.drop("ids", "n_tokens", "decoded").withColumn("ids", bpe.encode(whole_text(), path))

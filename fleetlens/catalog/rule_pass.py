@@ -8,6 +8,9 @@ from fleetlens.catalog.fixtures import EVENTS_SQL, METRICS, _events
 from fleetlens.catalog.registry import add
 from fleetlens.operators import rules as R
 from fleetlens.operators.rule_pass import evaluate_all
+from fleetlens.plans.durable import scratch_path
+from fleetlens.streaming.rule_state import firing
+from fleetlens.streaming.run import drain, parquet_stream
 
 CLOCK = R.Clock()
 STEP_US = CLOCK.step_s * 1_000_000
@@ -48,13 +51,13 @@ def _labels(metric):
     return {"instance": "concat('i', user_id % 8)", **METRICS[metric][1]}
 
 
-def planted_samples(s, d):
-    """(metric, labels, us, value): every event is a sample of every metric."""
+def planted_samples(s, d, *metrics):
+    """(metric, labels, us, value): every event is a sample of every metric, or of those named."""
     def sample(metric):
         pairs = [c for k, v in _labels(metric).items() for c in (F.lit(k), F.expr(v))]
         return F.struct(F.lit(metric).alias("metric"), F.create_map(*pairs).alias("labels"),
                         F.expr(VALUES[metric]).cast("double").alias("value"))
-    rows = _events(s, d).select(F.expr(_US).alias("us"), F.explode(F.array(*[sample(m) for m in VALUES])).alias("m"))
+    rows = _events(s, d).select(F.expr(_US).alias("us"), F.explode(F.array(*[sample(m) for m in metrics or VALUES])).alias("m"))
     return rows.select("m.metric", "m.labels", "us", "m.value")
 
 
@@ -104,23 +107,51 @@ _VALUE = {
 }
 
 
+def _rule_sql(rule):
+    """Tables of one rule: its values ``v`` per tick, and its firing runs ``h``."""
+    name, kind, out = rule.rule_id.lower() + "_", rule.vector.kind, []
+    sign, x, y = rule.breach.test
+    for side, part in zip("ab", rule.vector.parts):
+        out.append(_source_sql(name + side, *part) + _side_sql(name + side, kind in ("rate", "rate_sum", "cpu_pct")))
+    breach = f"value < {x} OR value > {y}" if sign == "outside" else f"value {sign} {x}"
+    out.append(f"{name}v AS ({_VALUE[kind].format(a=name + 'a', b=name + 'b')})")
+    out.append(f"{name}h AS (SELECT series, min(tick) AS start_tick, max(tick) AS end_tick, count(*) AS ticks, max(value) AS"
+               f" peak, max(instance) AS ip FROM (SELECT *, tick - row_number() OVER (PARTITION BY series ORDER BY tick) AS isl"
+               f" FROM {name}v WHERE {breach}) GROUP BY series, isl HAVING count(*) >= {CLOCK.ticks(rule.hold_s) + 1})")
+    return name, out
+
+
 def _rules_sql():
     out, last = [EVENTS_SQL], []
     for rule in R.RULES.values():
-        name, kind = rule.rule_id.lower() + "_", rule.vector.kind
-        sign, x, y = rule.breach.test
-        for side, part in zip("ab", rule.vector.parts):
-            out.append(_source_sql(name + side, *part) + _side_sql(name + side, kind in ("rate", "rate_sum", "cpu_pct")))
-        hold = CLOCK.ticks(rule.hold_s)
-        breach = f"value < {x} OR value > {y}" if sign == "outside" else f"value {sign} {x}"
-        out.append(f"{name}v AS ({_VALUE[kind].format(a=name + 'a', b=name + 'b')})")
-        out.append(f"{name}h AS (SELECT series, min(tick) AS start_tick, max(tick) AS end_tick, count(*) AS ticks, max(value) AS"
-                   f" peak, max(instance) AS ip FROM (SELECT *, tick - row_number() OVER (PARTITION BY series ORDER BY tick) AS isl"
-                   f" FROM {name}v WHERE {breach}) GROUP BY series, isl HAVING count(*) >= {hold + 1})")
+        name, tables = _rule_sql(rule)
+        out += tables
         last.append(f"SELECT '{rule.rule_id}' AS id, '{rule.alert}' AS alertname, '{rule.severity}' AS severity,"
-                    f" '{rule.alert_type}' AS alert_type, series, ip, start_tick, start_tick + {hold} AS fired_tick, end_tick, ticks,"
-                    f" round(peak + 1e-9, 6) AS peak FROM {name}h")
+                    f" '{rule.alert_type}' AS alert_type, series, ip, start_tick, start_tick + {CLOCK.ticks(rule.hold_s)} AS"
+                    f" fired_tick, end_tick, ticks, round(peak + 1e-9, 6) AS peak FROM {name}h")
     return ",\n".join(out) + "\n" + "\nUNION ALL ".join(last)
 
 
 add("rules_one_pass", lambda s, d: evaluate_all(planted_samples(s, d), CLOCK).drop("summary"), _rules_sql())
+
+
+def _live(rule):
+    def query(s, d):
+        path = scratch_path(s, "samples")
+        planted_samples(s, d, *rule.metrics).withColumn("ts", F.timestamp_micros("us")).write.parquet(path)
+        return drain(firing(parquet_stream(s, path), rule, CLOCK), "firing")
+    return query
+
+
+def _live_sql(rule):
+    """Ticks of the firing runs that the watermark, the newest sample in milliseconds, has passed."""
+    name, tables = _rule_sql(rule)
+    newest = ", ".join(f"(SELECT max(us) FROM {name}{side}s)" for side, _ in zip("ab", rule.vector.parts))
+    return ",\n".join([EVENTS_SQL, *tables]) + f"""
+SELECT h.series, v.tick, round(v.value + 1e-9, 6) AS value FROM {name}h h JOIN {name}v v ON v.series = h.series
+ AND v.tick BETWEEN h.start_tick + {CLOCK.ticks(rule.hold_s)} AND h.end_tick
+WHERE (v.tick + 1) * {STEP_US // 1000} <= greatest({newest}) // 1000"""
+
+
+for _id in ("NODE_0101", "NODE_0103", "K8S_0101"):
+    add(f"x4_live_{_id.lower()}", _live(R.RULES[_id]), _live_sql(R.RULES[_id]))

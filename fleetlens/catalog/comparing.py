@@ -131,6 +131,16 @@ add("j5_slow_matrix_wide", lambda s, d: C.slow_matrix_wide(comm_ops(s, d)), HASH
     + ", ".join(f"max(CASE WHEN group_id = {i} THEN normalised END) AS g{i}" for i in range(1, 6))
     + " FROM matrix GROUP BY 1")
 
+def _text(values):
+    return F.concat_ws(",", F.transform(values, lambda x: x.cast("string")))
+
+
+add("j5_slow_matrix_maps", lambda s, d: C.slow_matrix_maps(comm_ops(s, d)).select(
+    "rank", F.size("groups").cast("bigint").alias("members"), _text(F.map_keys("groups")).alias("ids"),
+    _text(F.map_values("groups")).alias("counts")), HASH_SQL + """
+SELECT rank, count(*) AS members, string_agg(CAST(group_id AS VARCHAR), ',' ORDER BY group_id) AS ids,
+ string_agg(CAST(normalised AS VARCHAR), ',' ORDER BY group_id) AS counts FROM matrix GROUP BY 1""")
+
 _TOTALS = """, parts AS (SELECT rank, count(*) AS participations FROM (
  SELECT DISTINCT c.rank, group_hash, function, op_count
  FROM comm_ops c JOIN hg USING (group_hash, function, op_count)) GROUP BY 1),

@@ -37,6 +37,17 @@ add("k2_matrix_csv", _matrix, HASH_SQL + " SELECT rank, " + ", ".join(
     + " FROM matrix GROUP BY 1")
 
 
+def _long_matrix(s, d):
+    path = scratch_path(s, "long-matrix")
+    matrix = compare.slow_matrix(X.comm_ops(s, d))
+    sinks.write_matrix(matrix, path)
+    return s.read.schema(matrix.schema).csv(path, header=True)
+
+
+# a line per rank and group, for any number of communicators
+add("k2_long_matrix_csv", _long_matrix, HASH_SQL + " SELECT rank, group_hash, group_id, slow_count, normalised FROM matrix")
+
+
 def _topology(s, d):
     path = scratch_path(s, "topology")
     sinks.write_topology(topology.topology_table(X.comm_ops(s, d), T), path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import topology as tg
 from fleetlens.params import Topology
+from fleetlens.plans.durable import cut_lineage
 from fleetlens.plans.ordered import OrderedGroups, attach
 from fleetlens.plans.quantiles import quantile
 from fleetlens.plans.sizes import bounded
@@ -195,27 +196,44 @@ def group_numbers(calls: DataFrame) -> DataFrame:
             .select("group_hash", (F.col("_before") + F.col("_at")).cast("int").alias("group_id")))
 
 
+def memberships(calls: DataFrame) -> DataFrame:
+    """``group_hash, rank, slow_count, compared``: a row per member of a communicator, from one scan.
+
+    Calls are first combined per rank and operation, so a group of an operation has a row per rank; there the
+    latest (ties: lowest rank) is marked if the operation has two or more entries.
+    """
+    each = hashed(calls).groupBy(*HASH_GROUP, "rank").agg(F.count(F.lit(1)).alias("_n"), F.max("ts_ns").alias("_ts"))
+    group = Window.partitionBy(*HASH_GROUP)
+    judged = F.sum("_n").over(group) >= 2
+    last = F.row_number().over(group.orderBy(F.desc("_ts"), "rank")) == 1
+    return (each.select("group_hash", "rank", judged.alias("_judged"), last.alias("_last"))
+            .groupBy("group_hash", "rank").agg(F.count_if(F.col("_judged") & F.col("_last")).alias("slow_count"),
+                                               F.bool_or("_judged").alias("compared")))
+
+
 def slow_matrix(calls: DataFrame) -> DataFrame:
     """Normalised slow count per participating rank and group (long form, non-participants absent)."""
-    taking_part = hashed(calls).select("group_hash", "rank").distinct()
-    seen = (hashed(calls).groupBy(*HASH_GROUP).agg(F.count(F.lit(1)).alias("_n")))
-    judged = taking_part.join(hash_slow_counts(calls), ["group_hash", "rank"], "left")
-    group = Window.partitionBy("group_hash")
-    compared = (hashed(calls).groupBy(*HASH_GROUP, "rank").agg(F.count(F.lit(1)).alias("_r"))
-                .join(seen.where("_n >= 2"), HASH_GROUP, "left_semi")
-                .select("rank").distinct())
-    count = F.coalesce("slow_count", F.lit(0))
-    return (judged.withColumn("slow_count", count)
-            .withColumn("normalised", F.col("slow_count") - F.min("slow_count").over(group))
-            .join(compared, "rank", "left_semi").join(group_numbers(calls), "group_hash")
+    members = cut_lineage(memberships(calls))  # a row per member, read three times
+    compared = members.where("compared").select("rank").distinct()
+    lowest = F.min("slow_count").over(Window.partitionBy("group_hash"))
+    return (members.withColumn("normalised", F.col("slow_count") - lowest)
+            .join(compared, "rank", "left_semi").join(group_numbers(members), "group_hash")
             .select("rank", "group_hash", "group_id", "slow_count", "normalised"))
 
 
+def slow_matrix_maps(calls: DataFrame) -> DataFrame:
+    """A row per rank with a map from group number to normalised slow count, for any number of communicators."""
+    entry = F.struct("group_id", "normalised")
+    return slow_matrix(calls).groupBy("rank").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("groups"))
+
+
 def slow_matrix_wide(calls: DataFrame) -> DataFrame:
     """Rank x group matrix with a column for every group; a cell is null where the rank is no member
-    of the group.  Group numbers are consecutive, so their maximum names the columns."""
-    groups = group_numbers(calls).agg(F.max("group_id")).first()[0] or 0
-    wide = (slow_matrix(calls).groupBy("rank").pivot("group_id", list(range(1, groups + 1)))
+    of the group.  Group numbers are consecutive, so their maximum names the columns; for thousands of
+    communicators take ``slow_matrix`` or ``slow_matrix_maps``."""
+    long = slow_matrix(calls)
+    groups = long.agg(F.max("group_id")).first()[0] or 0
+    wide = (long.groupBy("rank").pivot("group_id", list(range(1, groups + 1)))
             .agg(F.first("normalised")))
     return wide.select("rank", *[F.col(str(i)).alias(f"g{i}") for i in range(1, groups + 1)])
 

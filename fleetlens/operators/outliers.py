@@ -36,20 +36,44 @@ def stream_group_sizes(calls: DataFrame, t: Topology) -> DataFrame:
         F.count(F.lit(1)).alias("groups"), F.sum("n").alias("members"))
 
 
-def _summary(calls: DataFrame, t: Topology, row_floor: int | None):
+def _fence(q1: Column, q3: Column) -> Column:
+    return q3 + 1.5 * (q3 - q1)
+
+
+def _summary(calls: DataFrame, t: Topology, row_floor: int | None) -> DataFrame:
+    """Statistics per group, and how many of its calls lie above its quartile fence.
+
+    Rows of a group are sorted once; the quartiles are values at positions, so a window over the same sorted
+    rows carries the fence to each of them.  Only rows of groups that were cut into pieces meet their
+    fence by a second look.
+    """
     base = calls.agg(F.min("ts_ns")).scalar()
     rows = (stream_groups(calls, t)
             .withColumn("_x", (F.col("ts_ns") - base) / 1e9))
     groups = OrderedGroups(rows, GROUP, ["ts_ns"], row_floor=row_floor)
     slow = F.max(F.struct("ts_ns", (-F.col("rank")).alias("_r")))
-    stats = (groups.numbered().groupBy(*GROUP).agg(
+    numbered = groups.numbered()
+    x = F.round("_x", 9)
+    above = []
+    if not groups.split:
+        whole = Window.partitionBy(*GROUP)
+        q1, q3 = (at_index("_x", at).over(whole) for at in (lambda n: div(n, 4), lambda n: div(3 * n, 4)))
+        numbered = numbered.withColumn("_fence", F.round(_fence(q1, q3), 9))
+        above = [F.count_if(x > F.col("_fence")).alias("_above")]
+    stats = (numbered.groupBy(*GROUP).agg(
         F.max("_n").alias("n"), F.avg("_x").alias("mean_s"), F.stddev_samp("_x").alias("std_s"),
         F.max("_x").alias("max_s"), slow.alias("_slow"),
         at_index("_x", lambda n: div(n, 4)).alias("q1_s"),
-        at_index("_x", lambda n: div(3 * n, 4)).alias("q3_s"))
+        at_index("_x", lambda n: div(3 * n, 4)).alias("q3_s"), *above)
         .where(F.col("n") >= 2)
         .withColumn("slowest_rank", -F.col("_slow._r")).drop("_slow"))
-    return rows, groups, stats
+    if not groups.split:
+        return stats
+    fences = stats.withColumn("_fence", F.round(_fence(F.col("q1_s"), F.col("q3_s")), 9))
+    needs = fences.where((F.col("n") >= 4) & (F.round("max_s", 9) > F.col("_fence")))
+    counts = (attach(rows.select(*GROUP, "_x"), needs.select(*GROUP, "_fence"), GROUP, groups.hot_keys)
+              .where(x > F.col("_fence")).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_above")))
+    return stats.join(counts, GROUP, "left").fillna(0, ["_above"])
 
 
 def _g() -> Column:
@@ -63,7 +87,7 @@ def _grubbs_hit() -> Column:
 
 def grubbs(calls: DataFrame, t: Topology, row_floor: int | None = None) -> DataFrame:
     """Maximum-residual test for groups of 4 to 30 members."""
-    _, _, stats = _summary(calls, t, row_floor)
+    stats = _summary(calls, t, row_floor)
     crit = lookup(GRUBBS_CRITICAL, F.col("n").cast("int"))
     return (stats.where(F.col("n").between(4, 30)).withColumn("critical", crit)
             .where(F.round("std_s", 9) > 0)
@@ -76,20 +100,11 @@ def judged_groups(calls: DataFrame, t: Topology, row_floor: int | None = None) -
 
     Groups of 4 or more without an outlier are dropped, as they were not slow.
     """
-    rows, groups, stats = _summary(calls, t, row_floor)
     crit = lookup(GRUBBS_CRITICAL, F.col("n").cast("int"))
-    fence = F.col("q3_s") + 1.5 * (F.col("q3_s") - F.col("q1_s"))
-    judged = (stats.withColumn("critical", crit).withColumn("_grubbs", _grubbs_hit())
-              .withColumn("_fence", F.round(fence, 9)))
-    above = F.round("_x", 9) > F.col("_fence")
-    needs = judged.where((F.col("n") >= 4) & ~F.col("_grubbs") &
-                         (F.round("max_s", 9) > F.col("_fence")))
-    counts = (attach(rows.select(*GROUP, "_x"), needs.select(*GROUP, "_fence"), GROUP,
-                     groups.hot_keys)
-              .where(above).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_above")))
+    fence = _fence(F.col("q1_s"), F.col("q3_s"))
+    judged = _summary(calls, t, row_floor).withColumn("critical", crit).withColumn("_grubbs", _grubbs_hit())
     method = (F.when(F.col("n") < 4, "max").when(F.col("_grubbs"), "grubbs").otherwise("iqr"))
-    return (judged.join(counts, GROUP, "left")
-            .where((F.col("n") < 4) | F.col("_grubbs") | F.col("_above").isNotNull())
+    return (judged.where((F.col("n") < 4) | F.col("_grubbs") | (F.col("_above") > 0))
             .select(*GROUP, "n", method.alias("method"), "slowest_rank",
                     (F.col("n") >= 4).alias("is_outlier"),
                     F.when(F.col("n") < 4, 0).when(F.col("_grubbs"), 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,22 +14,46 @@ from fleetlens.operators.links import GBIT_FACTOR, WINDOW_SENDS
 OUT = "nic STRING, dev INT, rn BIGINT, func_times BIGINT, gbps BIGINT"
 
 
+COLUMNS = ["rn", "func_times", "size", "t_ns"]
+#: sends that are sorted and held at once
+BUCKET = 1 << 16
+
+
 class BandwidthProcessor(StatefulProcessor):
-    """State: at most ``window`` newest sends; a new function number empties them."""
+    """State: at most ``window`` newest sends; a new function number empties them.
 
-    def __init__(self, window: int):
-        self.window = window
+    A micro-batch's sends of a device come in chunks of any order.  More than one chunk is put into buckets of
+    consecutive send numbers, kept as map state, and taken from there bucket by bucket in order, so memory is
+    bounded by a chunk and a bucket.
+    """
+
+    def __init__(self, window: int, bucket: int = BUCKET):
+        self.window, self.bucket = window, bucket
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState(
-            "tail", "rn ARRAY<BIGINT>, func_times ARRAY<BIGINT>, size ARRAY<BIGINT>,"
-                    " t_ns ARRAY<BIGINT>")
+        arrays = "rn ARRAY<BIGINT>, func_times ARRAY<BIGINT>, size ARRAY<BIGINT>, t_ns ARRAY<BIGINT>"
+        self.tail = handle.getValueState("tail", arrays)
+        self.waiting = handle.getMapState("waiting", "bucket BIGINT", arrays)
 
     def handleInputRows(self, key, rows, timerValues):
-        cols = ["rn", "func_times", "size", "t_ns"]
-        new = pd.concat([r[cols] for r in rows]).sort_values("rn")
+        first, second = next(rows), next(rows, None)
+        if second is None:
+            yield self._rates(key, first[COLUMNS])
+            return
+        for chunk in chain((first, second), rows):
+            for bucket, part in chunk[COLUMNS].groupby(chunk["rn"] // self.bucket):
+                name = (int(bucket),)
+                held = self.waiting.getValue(name) if self.waiting.containsKey(name) else ([], [], [], [])
+                self.waiting.updateValue(name, tuple(list(h) + [int(x) for x in part[c]] for h, c in zip(held, COLUMNS)))
+        for name in sorted(tuple(n) for n in self.waiting.keys()):
+            yield self._rates(key, pd.DataFrame(dict(zip(COLUMNS, map(list, self.waiting.getValue(name))))))
+            self.waiting.removeKey(name)
+
+    def _rates(self, key, new: pd.DataFrame) -> pd.DataFrame:
+        """Rates of windows that end in these sends; they follow all earlier ones."""
+        new = new.sort_values("rn")
         if self.tail.exists():
-            old = pd.DataFrame(dict(zip(cols, (list(c) for c in self.tail.get()))))
+            old = pd.DataFrame(dict(zip(COLUMNS, (list(c) for c in self.tail.get()))))
             known = len(old)
             all_rows = pd.concat([old, new], ignore_index=True)
         else:
@@ -42,14 +68,14 @@ class BandwidthProcessor(StatefulProcessor):
         last, first = last[ok], first[ok]
         rate = (total[last + 1] - total[first + 1]) * GBIT_FACTOR / (t[last] - t[first])
         keep = all_rows.tail(k)
-        self.tail.update(tuple([int(x) for x in keep[c]] for c in cols))
-        yield pd.DataFrame({"nic": key[0], "dev": key[1], "rn": all_rows["rn"].to_numpy()[last],
-                            "func_times": ft[last], "gbps": np.floor(rate).astype(np.int64)})
+        self.tail.update(tuple([int(x) for x in keep[c]] for c in COLUMNS))
+        return pd.DataFrame({"nic": key[0], "dev": key[1], "rn": all_rows["rn"].to_numpy()[last],
+                             "func_times": ft[last], "gbps": np.floor(rate).astype(np.int64)})
 
     def close(self) -> None:
         pass
 
 
-def live_bandwidth(sends: DataFrame, window: int = WINDOW_SENDS) -> DataFrame:
+def live_bandwidth(sends: DataFrame, window: int = WINDOW_SENDS, bucket: int = BUCKET) -> DataFrame:
     return sends.groupBy("nic", "dev").transformWithStateInPandas(
-        BandwidthProcessor(window), OUT, "Append", "None")
+        BandwidthProcessor(window, bucket), OUT, "Append", "None")

@@ -140,3 +140,23 @@ def test_live_rules_equal_the_batch(spark, tmp_path, rule_id):
     runs = R.evaluate(rule, samples, clock).select("series", F.explode(F.sequence("fired_tick", "end_tick")).alias("tick"))
     want = sorted((r.series, r.tick) for r in runs.where(F.col("tick") < ended).collect())
     assert sorted((r.series, r.tick) for r in got.collect()) == want and want
+
+
+def test_large_batches_are_taken_bucket_by_bucket(spark, tmp_path):
+    """Several chunks in any order of one device and one alert; buckets much smaller than the batch."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        sends = X.link_telemetry(spark, SF).where("nic = 'n1' AND dev = 1").cache()
+        sends.repartition(3).write.parquet(f"{tmp_path}/sends")
+        got = drain(bandwidth.live_bandwidth(parquet_stream(spark, f"{tmp_path}/sends"), bucket=64), "t")
+        same(got, links.sliding_bandwidth(sends).select(*got.columns))
+        polls = spark.range(0, 900).where("id % 7 < 4 OR id % 100 < 20").select(
+            F.lit("f").alias("fingerprint"), F.col("id").alias("poll"))
+        polls.union(polls).repartition(3).write.parquet(f"{tmp_path}/polls")
+        got = drain(lifecycle.live_states(parquet_stream(spark, f"{tmp_path}/polls"), 3, 60, bucket=64), "t")
+        same(got.select("fingerprint", "poll", "state"), alerts.lifecycle(polls))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -13,7 +13,7 @@ from fleetlens.streaming.alert_job import AlertStore
 from fleetlens.streaming.run import parquet_stream
 
 LIMITS = AlertLimits(recurrence_s=3 * TICK_US // 1_000_000, repeat_push_s=5 * TICK_US // 1_000_000)
-BATCHES = 5
+BATCHES = 3
 
 
 def job_polls(s, d):

@@ -1,7 +1,7 @@
 """All metric rules in one pass over the samples.
 
 The rules are a small table that every sample meets by a broadcast join on its metric, so the samples are
-scanned and shuffled once whatever the number of rules.  Samples become one bucket per (rule, side, series,
+shuffled once whatever the number of rules (two lighter passes before count the rows per key).  Samples become one bucket per (rule, side, series,
 tick); buckets carry running sums, so the increase over a range is a difference of two of them, and the range's
 first bucket comes from a window that holds a minimum, not a list.  Values then meet per (rule, series): both
 sides of a ratio or sum, or all series of an instance; breaches that last longer than the rule's hold fire.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import div
 from fleetlens.operators.rules import RULES, Clock, Rule, _instance_series, series_key
-from fleetlens.plans.ordered import OrderedGroups
+from fleetlens.plans.ordered import ROW_FLOOR, OrderedGroups
 
 RATES = ("rate", "rate_sum", "cpu_pct")
 SIDES = ("a", "b")
@@ -55,17 +55,30 @@ def _rate_value(clock: Clock) -> Column:
     return F.when((n >= 2) & (F.col("t1") > F.col("f.t0")), value)
 
 
-def side_values(samples: DataFrame, rules: Iterable[Rule], clock: Clock, row_floor: int | None = None) -> DataFrame:
-    """``rule_id, side, series, instance, kind, ..., tick, value`` of every side of every rule on the tick grid."""
-    spark = samples.sparkSession
-    sides = rule_sides(spark, rules, clock)
+def met_samples(samples: DataFrame, rules: Iterable[Rule], clock: Clock) -> DataFrame:
+    """Samples with the rules and sides that they count for."""
+    sides = rule_sides(samples.sparkSession, rules, clock)
     equal = F.forall(F.map_entries("equal"), lambda e: _label(e["key"]) == e["value"])
     differ = F.forall("differ", lambda d: _label(d[0]) != d[1])
     # a row per rule and side
-    met = samples.join(F.broadcast(sides), "metric").where(equal & differ).select(
+    return samples.join(F.broadcast(sides), "metric").where(equal & differ).select(
         "rule_id", "side", series_key(F.col("labels")).alias("series"), F.col("labels")["instance"].alias("instance"), "kind",
         "us", "value", div(F.col("us"), clock.step_s * 1_000_000).alias("tick"))
-    groups = OrderedGroups(met, SERIES, ["us"], halo=1, row_floor=row_floor)
+
+
+def _output_series() -> Column:
+    return F.when(F.col("kind") == "cpu_pct", _instance_series(F.col("instance"))).otherwise(F.col("series"))
+
+
+def side_values(met: DataFrame, clock: Clock, row_floor: int | None = None) -> DataFrame:
+    """``rule_id, side, series, instance, kind, tick, value`` of every side of every rule on the tick grid."""
+    ticks = clock.ticks(clock.range_s)
+    # a sample answers ``ticks`` ticks or ``lookback`` at most, so series this short stay below the limit throughout
+    most = max(ticks, clock.ticks(clock.lookback_s))
+    short = OrderedGroups(met, SERIES, ["us"], halo=1,
+                          row_floor=max(1, (ROW_FLOOR if row_floor is None else row_floor) // most))
+    like = None if short.split else short
+    groups = OrderedGroups(met, SERIES, ["us"], halo=1, row_floor=row_floor, like=like)
     w = groups.window()
     before, from_tick = F.lag("value").over(w), F.lag("tick").over(w)
     rise = F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
@@ -87,8 +100,7 @@ def side_values(samples: DataFrame, rules: Iterable[Rule], clock: Clock, row_flo
     last = F.least(F.col("tick") + reach - 1, F.col("_next") - 1)  # least leaves nulls out
     dense = (rows.withColumn("_at", F.explode(F.sequence("tick", last))).withColumn("_own", F.col("_at") == F.col("tick"))
              .withColumnRenamed("tick", "_bucket").withColumnRenamed("_at", "tick").drop("_back", "_next"))
-    ticks = clock.ticks(clock.range_s)
-    grid = OrderedGroups(dense, SERIES, ["tick"], halo=ticks, row_floor=row_floor)
+    grid = OrderedGroups(dense, SERIES, ["tick"], halo=ticks, row_floor=row_floor, like=like)
     first = F.min(F.when(F.col("_own") & is_rate, F.struct("tick", "t0", "v0", "n", "own", "cn", "cr"))).over(
         grid.window().rangeBetween(-(ticks - 1), 0))
     dense = grid.trim(grid.rows().withColumn("f", first)).withColumns({
@@ -102,8 +114,8 @@ def evaluate_all(samples: DataFrame, clock: Clock = Clock(), rules: Iterable[Rul
     """Firing runs of all rules with their labels, as ``rules.evaluate`` gives them for each."""
     rules = list(RULES.values() if rules is None else rules)
     spark = samples.sparkSession
-    values = side_values(samples, rules, clock, row_floor)
-    key = F.when(F.col("kind") == "cpu_pct", _instance_series(F.col("instance"))).otherwise(F.col("series"))
+    met = met_samples(samples, rules, clock)
+    values, key = side_values(met, clock, row_floor), _output_series()
 
     def side(name):
         return F.avg(F.when(F.col("side") == name, F.col("value"))).alias(name)
@@ -119,7 +131,8 @@ def evaluate_all(samples: DataFrame, clock: Clock = Clock(), rules: Iterable[Rul
     # a row per rule
     hot = both.withColumn("value", value).where("value IS NOT NULL").join(F.broadcast(tests), "rule_id").where(breach).select(
         "rule_id", "series", "instance", "tick", "value", "hold")
-    groups = OrderedGroups(hot, ["rule_id", "series"], ["tick"], halo=1, row_floor=row_floor)
+    groups = OrderedGroups(hot, ["rule_id", "series"], ["tick"], halo=1, row_floor=row_floor,
+                           sizes_from=met.select("rule_id", key.alias("series")))
     before = F.lag("tick").over(groups.window())
     rows = groups.trim(groups.rows().withColumn("_new", before.isNull() | (before != F.col("tick") - 1)), keep_piece=True)
     rows = groups.finish(groups.running(rows, F.when(F.col("_new"), F.col("tick")), "start_tick"))

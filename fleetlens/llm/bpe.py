@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from fleetlens.llm.text import hash_spans, pieces
 
 LONG_WORD = 256
-CACHE_WORDS = 400_000
-CACHE_BITS, CACHE_IDS = 20, 1 << 22
-PIECE_BYTES = 1 << 19
+CACHE_WORDS = 150_000
+CACHE_BITS, CACHE_IDS = 19, 1 << 21
+PIECE_BYTES = 1 << 18
 BLOCK_WIDTHS, BLOCK_ROWS = (8, 16, 32), 8192
 # letters below this one have been letters since the first versions of Unicode
 _PLAIN_END = "\u0250"

@@ -12,8 +12,14 @@ from fleetlens.plans.durable import scratch_path
 ARROW_ROWS, ARROW_BYTES = 1024, 4 << 20
 
 
+#: a join's side up to this size may be broadcast without a hint; many such tables wait on the driver
+BROADCAST_BYTES = 1 << 20
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of bounded size for this session: a batch ends at the first limit it meets."""
+    """Arrow batches and automatic broadcasts of bounded size for this session; a batch ends at the first
+    limit it meets."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(BROADCAST_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 

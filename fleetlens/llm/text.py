@@ -13,7 +13,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
+#: bytes of texts whose words are held at once; a worker's memory follows it
+PIECE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -85,10 +85,16 @@ class TreeBuilder(HTMLParser):
         del self.open[place:]
 
     def _innermost(self, names: set[str]) -> int:
-        return max((self.at[t][-1] for t in names if self.at.get(t)), default=0)
+        place, at = 0, self.at
+        for tag in names:
+            if tag in at and at[tag] and at[tag][-1] > place:
+                place = at[tag][-1]
+        return place
 
     def _close(self, names: set[str], stop: set[str]) -> None:
         """End the outermost open element of ``names`` inside the nearest of ``stop``."""
+        if not any(self.at.get(t) for t in names):
+            return
         edge = self._innermost(stop)
         found = [places[bisect_right(places, edge)] for t in names if (places := self.at.get(t)) and places[-1] > edge]
         if found:
@@ -174,10 +180,13 @@ class _Lines:
 
 def _shown(node: Node, visible: bool) -> tuple[bool, bool]:
     """(is laid out at all, its text is visible)"""
-    style = re.sub(r"\s+", "", (node.attrs.get("style") or "").lower())
-    if node.tag in NEVER_SHOWN or "hidden" in node.attrs or "display:none" in style:
+    tag, attrs = node.tag, node.attrs
+    if tag in NEVER_SHOWN or tag == "input" or (tag == "dialog" and "open" not in attrs) or "hidden" in attrs:
         return False, False
-    if node.tag == "input" or (node.tag == "dialog" and "open" not in node.attrs):
+    if not attrs.get("style"):
+        return True, visible
+    style = re.sub(r"\s+", "", attrs["style"].lower())
+    if "display:none" in style:
         return False, False
     found = re.search(r"visibility:(\w+)", style)
     return True, found[1] == "visible" if found else visible

@@ -150,7 +150,11 @@ fn AS (SELECT *, CASE func WHEN 0 THEN 'ncclFuncBroadcast' WHEN 1 THEN 'ncclFunc
 
 
 def link_telemetry(spark: SparkSession, sf: str) -> DataFrame:
-    """Per device: sends numbered by ship date, order and line (one row_number per device)."""
+    """Per device: sends numbered by ship date, order and line (one row_number per device).
+
+    Where a device had to be cut the numbered sends are written once, as their readers go over them several times.
+    """
+    from fleetlens.plans.durable import cut_lineage
     from fleetlens.plans.ordered import OrderedGroups
     s = F.col("l_suppkey")
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(
@@ -159,10 +163,11 @@ def link_telemetry(spark: SparkSession, sf: str) -> DataFrame:
         F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("_d"),
         "l_orderkey", "l_linenumber")
     groups = OrderedGroups(rows, ["nic", "dev"], ["_d", "l_orderkey", "l_linenumber", "size"])
-    rn = F.col("_pos") + 1
-    return groups.numbered("_pos", None).select(
+    rn = F.col("_pos").cast("bigint") + 1
+    sends = groups.numbered("_pos", None).select(
         "nic", "dev", "size", div(rn, 200).alias("func_times"),
-        (rn * 5000 + F.col("size")).cast("bigint").alias("t_ns"), rn.cast("bigint").alias("rn"))
+        (rn * 5000 + F.col("size")).alias("t_ns"), rn.alias("rn"))
+    return cut_lineage(sends) if groups.split else sends
 
 
 TELE_SQL = """r AS (SELECT concat('n', l_suppkey % 4) AS nic, CAST(l_suppkey % 2 AS INT) AS dev,

@@ -39,3 +39,12 @@ def test_cut_equals_uncut(spark, name):
         df = df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
         return sorted(map(str, df.collect()))
     assert rows(15) == rows(None)
+
+
+def test_send_times_beyond_32_bits(spark, tmp_path):
+    """A device with more sends than an INT holds times 5000."""
+    n = 430_000
+    spark.range(n).selectExpr("0L AS l_suppkey", "1.0D AS l_quantity", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS l_shipdate",
+                              "id AS l_orderkey", "1 AS l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    last = X.link_telemetry(spark, str(tmp_path)).orderBy("rn").tail(1)[0]
+    assert (last["rn"], last["t_ns"], last["func_times"]) == (n, n * 5000 + 100, n // 200)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import div
 from fleetlens.params import SEQUENCE_PRESETS, SequenceLimits
+from fleetlens.plans.durable import cut_lineage
 from fleetlens.plans.ordered import OrderedGroups, attach
 
 STREAM = ["rank", "stream", "save_count"]
@@ -103,12 +104,13 @@ def linear_forecast(calls: DataFrame, lags: int = 10, row_floor: int | None = No
     The first ``TRAINING_TENTHS`` tenths of an island's intervals train the model and give the minimum
     and maximum that scale the island, so no prediction knows what comes after it.  One model is
     fitted on all islands by a distributed solver.  Where no island is long enough to train on, the
-    forecast is the mean of the last intervals, as in ``island_gaps``.
+    forecast is the mean of the last intervals, as in ``island_gaps``.  The intervals and their table of
+    lags are written once each, as counting, fitting and predicting go over them several times.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    gaps = island_gaps(calls, row_floor).withColumnRenamed("predicted_s", "_mean")
+    gaps = cut_lineage(island_gaps(calls, row_floor).withColumnRenamed("predicted_s", "_mean"))
     island = [*ISLAND, "island_no"]
     sized = OrderedGroups(gaps, island, ["gap_idx"], halo=lags, row_floor=row_floor)
     ends = gaps.groupBy(*island).agg(
@@ -123,8 +125,8 @@ def linear_forecast(calls: DataFrame, lags: int = 10, row_floor: int | None = No
 
     def scaled(c):
         return F.when(width > 0, (F.col(c) - F.col("_lo")) / width).otherwise(F.col(c))
-    table = (attach(lagged.where(F.col("gap_idx") >= lags), span, island, sized.hot_keys)
-             .withColumns({**{n: scaled(n) for n in names}, "_y": scaled("actual_s")}))
+    table = cut_lineage(attach(lagged.where(F.col("gap_idx") >= lags), span, island, sized.hot_keys)
+                        .withColumns({**{n: scaled(n) for n in names}, "_y": scaled("actual_s")}))
     vectors = VectorAssembler(inputCols=names, outputCol="_x").transform(table)
     known, asked = vectors.where("gap_idx < _train"), vectors.where("gap_idx >= _train")
     if known.isEmpty():

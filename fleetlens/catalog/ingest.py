@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,12 +89,13 @@ SELECT event_id, length(regexp_replace(value, '^\\[save_count \\d+\\] ', '')) >=
 
 def _link_lines(s, d):
     t = X.link_transfers(s, d)
-    line = F.format_string(
-        "%s:%s:%d: Group:%d, from rank %d to rank %d, channel_id:%d, func:%d,FuncTimes:%d,"
-        " %s->%s send %d Bytes used %d nsec", *t.columns)
+    names = iter(t.columns)
+    line = F.concat(*[F.coalesce(F.col(next(names)).cast("string"), F.lit("null")) if part == "%" else F.lit(part) for part in
+                      re.split("(%)", "%:%:%: Group:%, from rank % to rank %, channel_id:%, func:%,FuncTimes:%,"
+                                      " %->% send % Bytes used % nsec") if part])
     # lines of transfers above 200 000 bytes are damaged
-    return t.select(F.when(F.col("bytes_sent") > 200_000, F.concat(F.lit("?? "), line))
-                    .otherwise(line).alias("value"))
+    damage = F.when(F.col("bytes_sent") > 200_000, "?? ").otherwise("")
+    return t.select(F.concat(damage, line).alias("value"))
 
 
 add("s7_parse_links", lambda s, d: P.parse_links(_link_lines(s, d)).groupBy(

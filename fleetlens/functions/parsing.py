@@ -25,6 +25,15 @@ def _fields(line: Column, pattern: str, count: int) -> Column:
     return F.when((swapped != line) & (F.size(parts) == count), parts)
 
 
+def _matched(lines: DataFrame, line: Column, pattern: str, count: int, keep: list[str]) -> DataFrame:
+    """Lines that match, with the groups as array ``_p``; the pattern meets each line once."""
+    swap = _SEP.join(f"${i + 1}" for i in range(count))
+    both = F.transform(F.array(line), lambda x: F.struct(x.alias("line"), F.regexp_replace(x, pattern, swap).alias("swapped")))
+    parts = F.transform(both, lambda b: F.when(b["swapped"] != b["line"], F.split(b["swapped"], _SEP, -1)))
+    # a filter on the fields themselves would be computed beside them
+    return lines.select(*keep, F.explode_outer(parts).alias("_p")).where(F.size("_p") == count)
+
+
 def nanos(seconds_text: Column) -> Column:
     """``sec.nanos`` text to epoch nanoseconds, exactly."""
     exact = F.regexp_extract(seconds_text, r"^\d+(?:\.\d+)?", 0).try_cast("decimal(20,9)")
@@ -35,7 +44,7 @@ def parse_calls(lines: DataFrame, column: str = "value") -> DataFrame:
     """Typed call rows; other columns of ``lines`` are kept.  Unmatched lines are dropped."""
     keep = [c for c in lines.columns if c != column]
     p = F.col("_p")
-    hit = lines.withColumn("_p", _fields(F.col(column), CALL_LINE, 8)).where(p.isNotNull())
+    hit = _matched(lines, F.col(column), CALL_LINE, 8, keep)
     return hit.select(
         *keep,
         p[0].try_cast("int").alias("save_count"), nanos(p[1]).alias("ts_ns"),
@@ -53,7 +62,7 @@ def unparsed_calls(lines: DataFrame, column: str = "value") -> DataFrame:
 def parse_short_calls(lines: DataFrame, column: str = "value") -> DataFrame:
     keep = [c for c in lines.columns if c != column]
     p = F.col("_p")
-    hit = lines.withColumn("_p", _fields(F.col(column), SHORT_CALL_LINE, 4)).where(p.isNotNull())
+    hit = _matched(lines, F.col(column), SHORT_CALL_LINE, 4, keep)
     return hit.select(*keep, nanos(p[0]).alias("ts_ns"), p[1].try_cast("int").alias("rank"),
                       p[2].alias("function"), p[3].try_cast("bigint").alias("data_size"))
 
@@ -61,7 +70,7 @@ def parse_short_calls(lines: DataFrame, column: str = "value") -> DataFrame:
 def parse_links(lines: DataFrame, column: str = "value") -> DataFrame:
     keep = [c for c in lines.columns if c != column]
     p = F.col("_p")
-    hit = lines.withColumn("_p", _fields(F.trim(column), LINK_LINE, 13)).where(p.isNotNull())
+    hit = _matched(lines, F.trim(column), LINK_LINE, 13, keep)
     names = ["node", "card", "ts", "grp", "from_rank", "to_rank", "channel", "func", "func_times",
              "src_ip", "dst_ip", "bytes_sent", "nsec"]
     kinds = ["string", "string", "bigint", "bigint", "int", "int", "int", "int", "bigint",

@@ -51,13 +51,21 @@ def _labels(metric):
     return {"instance": "concat('i', user_id % 8)", **METRICS[metric][1]}
 
 
+def _planted_text(text):
+    """The same text over the columns that ``planted_samples`` computes once per event."""
+    return text.replace(_NBAD, "_nbad").replace(_BAD, "_bad").replace(_TICK, "_tick")
+
+
 def planted_samples(s, d, *metrics):
     """(metric, labels, us, value): every event is a sample of every metric, or of those named."""
     def sample(metric):
         pairs = [c for k, v in _labels(metric).items() for c in (F.lit(k), F.expr(v))]
         return F.struct(F.lit(metric).alias("metric"), F.create_map(*pairs).alias("labels"),
-                        F.expr(VALUES[metric]).cast("double").alias("value"))
-    rows = _events(s, d).select(F.expr(_US).alias("us"), F.explode(F.array(*[sample(m) for m in metrics or VALUES])).alias("m"))
+                        F.expr(_planted_text(VALUES[metric])).cast("double").alias("value"))
+    # a file of few row groups would leave most tasks without samples
+    events = _events(s, d).select("event_id", "user_id", "k").repartition("event_id").select(
+        "*", *[F.expr(text).alias(name) for name, text in (("_tick", _TICK), ("_bad", _BAD), ("_nbad", _NBAD))])
+    rows = events.select(F.expr(_planted_text(_US)).alias("us"), F.explode(F.array(*[sample(m) for m in metrics or VALUES])).alias("m"))
     return rows.select("m.metric", "m.labels", "us", "m.value")
 
 

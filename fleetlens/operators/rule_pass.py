@@ -1,7 +1,7 @@
 """All metric rules in one pass over the samples.
 
 The rules are a small table that every sample meets by a broadcast join on its metric, so the samples are
-shuffled once whatever the number of rules (two lighter passes before count the rows per key).  Samples become one bucket per (rule, side, series,
+shuffled once whatever the number of rules (one lighter pass before counts the rows per key).  Samples become one bucket per (rule, side, series,
 tick); buckets carry running sums, so the increase over a range is a difference of two of them, and the range's
 first bucket comes from a window that holds a minimum, not a list.  Values then meet per (rule, series): both
 sides of a ratio or sum, or all series of an instance; breaches that last longer than the rule's hold fire.
@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import div
 from fleetlens.operators.rules import RULES, Clock, Rule, _instance_series, series_key
-from fleetlens.plans.ordered import ROW_FLOOR, OrderedGroups
+from fleetlens.plans.ordered import OrderedGroups
 
 RATES = ("rate", "rate_sum", "cpu_pct")
 SIDES = ("a", "b")
@@ -58,8 +58,9 @@ def _rate_value(clock: Clock) -> Column:
 def met_samples(samples: DataFrame, rules: Iterable[Rule], clock: Clock) -> DataFrame:
     """Samples with the rules and sides that they count for."""
     sides = rule_sides(samples.sparkSession, rules, clock)
-    equal = F.forall(F.map_entries("equal"), lambda e: _label(e["key"]) == e["value"])
-    differ = F.forall("differ", lambda d: _label(d[0]) != d[1])
+    # most rules have no matcher, and a lambda is slow
+    equal = (F.size("equal") == 0) | F.forall(F.map_entries("equal"), lambda e: _label(e["key"]) == e["value"])
+    differ = (F.size("differ") == 0) | F.forall("differ", lambda d: _label(d[0]) != d[1])
     # a row per rule and side
     return samples.join(F.broadcast(sides), "metric").where(equal & differ).select(
         "rule_id", "side", series_key(F.col("labels")).alias("series"), F.col("labels")["instance"].alias("instance"), "kind",
@@ -70,15 +71,27 @@ def _output_series() -> Column:
     return F.when(F.col("kind") == "cpu_pct", _instance_series(F.col("instance"))).otherwise(F.col("series"))
 
 
-def side_values(met: DataFrame, clock: Clock, row_floor: int | None = None) -> DataFrame:
+def most_rows(met: DataFrame, clock: Clock) -> Row:
+    """What no key has more of, from one pass: ``samples`` and ``grid`` rows of a side's series, and ``output`` rows of a
+    rule's series.  A sample answers ``reach`` ticks at most, and a series' ticks lie between its first and its last."""
+    reach = max(clock.ticks(clock.range_s), clock.ticks(clock.lookback_s))
+
+    def ticks(n, first, last):
+        return F.least(n * reach, last - first + reach)  # least leaves nulls out
+    n, lo, hi = F.col("n"), F.col("lo"), F.col("hi")
+    sizes = met.groupBy(*SERIES, _output_series().alias("_out")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("tick").alias("lo"), F.max("tick").alias("hi"))
+    per = sizes.groupBy("rule_id", "_out").agg(
+        F.max("n").alias("samples"), F.max(ticks(n, lo, hi)).alias("grid"),
+        ticks(F.sum("n"), F.min("lo"), F.max("hi")).alias("output"))
+    return per.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("samples", "grid", "output")]).first()
+
+
+def side_values(met: DataFrame, clock: Clock, row_floor: int | None = None, most: Row | None = None) -> DataFrame:
     """``rule_id, side, series, instance, kind, tick, value`` of every side of every rule on the tick grid."""
     ticks = clock.ticks(clock.range_s)
-    # a sample answers ``ticks`` ticks or ``lookback`` at most, so series this short stay below the limit throughout
-    most = max(ticks, clock.ticks(clock.lookback_s))
-    short = OrderedGroups(met, SERIES, ["us"], halo=1,
-                          row_floor=max(1, (ROW_FLOOR if row_floor is None else row_floor) // most))
-    like = None if short.split else short
-    groups = OrderedGroups(met, SERIES, ["us"], halo=1, row_floor=row_floor, like=like)
+    most = most_rows(met, clock) if most is None else most
+    groups = OrderedGroups(met, SERIES, ["us"], halo=1, row_floor=row_floor, most=most["samples"])
     w = groups.window()
     before, from_tick = F.lag("value").over(w), F.lag("tick").over(w)
     rise = F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
@@ -100,7 +113,7 @@ def side_values(met: DataFrame, clock: Clock, row_floor: int | None = None) -> D
     last = F.least(F.col("tick") + reach - 1, F.col("_next") - 1)  # least leaves nulls out
     dense = (rows.withColumn("_at", F.explode(F.sequence("tick", last))).withColumn("_own", F.col("_at") == F.col("tick"))
              .withColumnRenamed("tick", "_bucket").withColumnRenamed("_at", "tick").drop("_back", "_next"))
-    grid = OrderedGroups(dense, SERIES, ["tick"], halo=ticks, row_floor=row_floor, like=like)
+    grid = OrderedGroups(dense, SERIES, ["tick"], halo=ticks, row_floor=row_floor, most=most["grid"])
     first = F.min(F.when(F.col("_own") & is_rate, F.struct("tick", "t0", "v0", "n", "own", "cn", "cr"))).over(
         grid.window().rangeBetween(-(ticks - 1), 0))
     dense = grid.trim(grid.rows().withColumn("f", first)).withColumns({
@@ -115,12 +128,14 @@ def evaluate_all(samples: DataFrame, clock: Clock = Clock(), rules: Iterable[Rul
     rules = list(RULES.values() if rules is None else rules)
     spark = samples.sparkSession
     met = met_samples(samples, rules, clock)
-    values, key = side_values(met, clock, row_floor), _output_series()
+    most = most_rows(met, clock)
+    values, key = side_values(met, clock, row_floor, most), _output_series()
 
     def side(name):
         return F.avg(F.when(F.col("side") == name, F.col("value"))).alias(name)
+    # a rule has one kind, and a series one instance
     both = values.select("rule_id", key.alias("series"), "instance", "kind", "tick", "side", "value").groupBy(
-        "rule_id", "series", "tick").agg(F.first("kind").alias("kind"), F.max("instance").alias("instance"), side("a"), side("b"))
+        "rule_id", "series", "tick", "kind", "instance").agg(side("a"), side("b"))
     kind, a, b = F.col("kind"), F.col("a"), F.col("b")
     value = (F.when(kind == "used_pct", F.when(b != 0, (1 - a / F.nullif(b, F.lit(0.0))) * 100)).when(kind == "rate_sum", a + b)
              .when(kind == "cpu_pct", 100 - a * 100).otherwise(a))
@@ -132,7 +147,7 @@ def evaluate_all(samples: DataFrame, clock: Clock = Clock(), rules: Iterable[Rul
     hot = both.withColumn("value", value).where("value IS NOT NULL").join(F.broadcast(tests), "rule_id").where(breach).select(
         "rule_id", "series", "instance", "tick", "value", "hold")
     groups = OrderedGroups(hot, ["rule_id", "series"], ["tick"], halo=1, row_floor=row_floor,
-                           sizes_from=met.select("rule_id", key.alias("series")))
+                           sizes_from=met.select("rule_id", key.alias("series")), most=most["output"])
     before = F.lag("tick").over(groups.window())
     rows = groups.trim(groups.rows().withColumn("_new", before.isNull() | (before != F.col("tick") - 1)), keep_piece=True)
     rows = groups.finish(groups.running(rows, F.when(F.col("_new"), F.col("tick")), "start_tick"))

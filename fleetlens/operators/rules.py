@@ -32,7 +32,7 @@ class Clock:
 
 def series_key(labels: Column) -> Column:
     """Canonical text of a label set."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(labels))))
 
 
 def select_samples(samples: DataFrame, clock: Clock, metric: str, equal: dict | None = None,

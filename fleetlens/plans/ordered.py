@@ -40,16 +40,16 @@ class OrderedGroups:
     ``halo`` is how many preceding rows of the same key a later frame looks at.  ``sizes_from`` is
     a cheaper table to count keys in (its counts only decide what is cut, never the result);
     ``like`` is an earlier grouping of at least these rows by the same keys, whose finding that
-    no key is hot is taken over.
+    no key is hot is taken over.  ``most`` is a number of rows that no key exceeds, where that is known.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], halo: int = 0,
                  row_floor: int | None = None, sizes_from: DataFrame | None = None,
-                 like: OrderedGroups | None = None):
+                 like: OrderedGroups | None = None, most: int | None = None):
         self.keys, self.order, self.halo = list(keys), list(order), halo
         self._df = df
         self._limit = max(ROW_FLOOR if row_floor is None else row_floor, 1)
-        if like is not None and not like.split and like.keys == self.keys:
+        if (like is not None and not like.split and like.keys == self.keys) or (most is not None and most <= self._limit):
             self._hot = []
         else:
             self._hot = self._find_hot(sizes_from if sizes_from is not None else df)

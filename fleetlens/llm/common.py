@@ -16,6 +16,10 @@ ARROW_ROWS, ARROW_BYTES = 1024, 4 << 20
 BROADCAST_BYTES = 1 << 20
 
 
+#: bits of the broadcast bitmap that spares rows a shuffle, as a power of two: 4 MB
+BITMAP_BITS = 25
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches and automatic broadcasts of bounded size for this session; a batch ends at the first
     limit it meets."""
@@ -46,6 +50,25 @@ def written(df: DataFrame, name: str, parts: list[str] | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def maybe_among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is in the only column of ``ids``, and few others: an exact join after it moves less.
+
+    Each id sets one of ``2**BITMAP_BITS`` bits, which are broadcast, 4 KB a row; of many more ids than bits
+    nothing but time is lost.
+    """
+    def spot(column: str) -> list[Column]:
+        bit = F.xxhash64(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+        return [F.shiftright(bit, 15).alias("_block"), F.shiftright(bit, 6).bitwiseAND(F.lit(511)).cast("int").alias("_word"),
+                bit.bitwiseAND(F.lit(63)).cast("int").alias("_bit")]
+
+    bits = (ids.select(*spot(ids.columns[0])).groupBy("_block", "_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("set"))
+            .groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct("_word", "set"))).alias("set"))
+            .select("_block", F.transform(F.sequence(F.lit(0), F.lit(511)),
+                                          lambda i: F.coalesce(F.col("set")[i], F.lit(0).cast("long"))).alias("_words")))
+    return (rows.select("*", *spot(key)).join(F.broadcast(bits), "_block")
+            .where(F.getbit(F.col("_words")[F.col("_word")], F.col("_bit")) == 1).select(*rows.columns))
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0

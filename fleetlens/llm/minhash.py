@@ -12,11 +12,14 @@ No step emits all pairs of a bucket:
 * in a round of stars each class is compared with one member of its buckets, chosen by a hash that
   changes with the round (the smallest, in the first round), and links found are contracted, so a
   large group of near copies collapses within a few rounds;
-* what is left, classes with bucket mates in other components, is compared by an exact prefix join:
-  a set at similarity 0.8 to another shares one of any fifth of its shingles with it, so the rarest
-  fifth is looked up.  Common passages are not rare, so they pair nothing.
-
-Every link is confirmed on the full sets.  Sets are 64-bit hashes of lower-cased words.
+* what is left, classes with bucket mates in other components that they have not been compared with,
+  is compared by an exact prefix join: a set at similarity 0.8 to another shares one of any fifth of
+  its shingles with it, so the rarest fifth is looked up.  Common passages are not rare, so they pair
+  nothing.
+
+Every link is confirmed on the full sets.  Sets are 64-bit hashes of lower-cased words.  No pair is
+compared twice, and texts, sets and band keys move only if a bitmap of fixed size says that they may
+be needed; exact joins follow.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import whole_text, written
+from fleetlens.llm.common import maybe_among, whole_text, written
 from fleetlens.llm.components import as_links, components
 from fleetlens.llm.text import mix, pieces, windows, word_hashes
 
@@ -126,6 +129,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     A class that very many pairs name has one set, so Spark can split its pairs over tasks.
     """
+    named = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
+    sets = maybe_among(sets, "rep", named)
     one = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
     two = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"))
     both = F.size(F.array_intersect("items_a", "items_b"))
@@ -134,32 +139,52 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b").distinct())
 
 
-def _star_pairs(buckets: DataFrame, place: DataFrame | None, turn: int) -> DataFrame:
-    """Each class with at most one bucket mate of another component.
+def _with_parts(buckets: DataFrame, place: DataFrame) -> DataFrame:
+    return buckets.join(place, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+
+
+def _pair(one: str, two: str) -> list[Column]:
+    return [F.greatest(one, two).alias("a"), F.least(one, two).alias("b")]
+
+
+def _star_pairs(buckets: DataFrame, place: DataFrame | None, turn: int, tried: DataFrame | None = None) -> DataFrame:
+    """Each class with at most one bucket mate of another component, in no pair of ``tried``.
 
     Every bucket offers its first two components in the order of this turn, so that a member of the
     first is offered the second.  A class takes the first of all its offers.
     """
     rank = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-    if place is None:
-        now = buckets.withColumn("part", F.col("rep"))
-    else:
-        now = buckets.join(place, "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    now = buckets.withColumn("part", F.col("rep")) if place is None else _with_parts(buckets, place)
     now = now.select("key", "rep", "part", rank.alias("rank"))
     lead = now.groupBy("key").agg(F.min(F.struct("rank", "part", "rep")).alias("lead"))
-    offers = now.join(lead, "key").where("part <> lead.part")
-    best = offers.groupBy("rep").agg(F.min("lead").alias("lead"))
-    return best.select(F.greatest("rep", "lead.rep").alias("a"), F.least("rep", "lead.rep").alias("b")).distinct()
+    offers = now.join(lead, "key").where("part <> lead.part").select("rep", "lead.rank", F.col("lead.rep").alias("other"))
+    if tried is not None:
+        offers = offers.distinct().select("rep", "rank", "other", *_pair("rep", "other")).join(
+            tried, ["a", "b"], "left_anti")
+    best = offers.groupBy("rep").agg(F.min(F.struct("rank", "other")).alias("best"))
+    return best.select(*_pair("rep", "best.other")).distinct()
 
 
-def _open_classes(buckets: DataFrame, place: DataFrame) -> DataFrame:
+def _open_classes(buckets: DataFrame, place: DataFrame, tried: DataFrame) -> DataFrame:
     """Classes that share a bucket with another component, with their component; ``light`` says that
-    in one of these buckets theirs is not the most frequent component."""
-    now = buckets.join(place, "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    in one of these buckets theirs is not the most frequent component.
+
+    Buckets whose pairs of different components are all among the distinct pairs ``tried (a, b)`` don't count.
+    """
+    now = _with_parts(buckets, place)
     most = (now.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("key").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts"))
-            .where("parts > 1").select("key", F.col("most.part").alias("top")))
-    return (now.join(most, "key").groupBy("rep", "part")
+            .groupBy("key").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts"),
+                                F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("within"))
+            .where("parts > 1").select("key", F.col("most.part").alias("top"), "size",
+                                       F.expr("(size * size - within) div 2").alias("across")))
+    # a round tries at most one pair a class, so larger buckets can't be done
+    small = now.join(most.where(F.col("across") <= STAR_ROUNDS * F.col("size")).select("key"), "key", "left_semi")
+    one = small.select("key", F.col("rep").alias("a"), F.col("part").alias("part_a"))
+    two = small.select("key", F.col("rep").alias("b"), F.col("part").alias("part_b"))
+    met = (tried.join(one, "a").join(two, ["key", "b"]).where("part_a <> part_b")
+           .groupBy("key").agg(F.count(F.lit(1)).alias("met")))
+    undone = most.join(met, "key", "left").where("met IS NULL OR met < across").select("key", "top")
+    return (now.join(undone, "key").groupBy("rep", "part")
             .agg(F.max(F.col("part") != F.col("top")).alias("light")))
 
 
@@ -179,7 +204,7 @@ def _prefix_pairs(open_sets: DataFrame) -> DataFrame:
                                       F.max("part").alias("hi")).where("lo <> hi").select("item", "df"))
     floor = F.floor((PERCENT * F.col("n") + 99) / 100).cast("int")
     alone = F.col("n") - F.size("order")
-    prefix = (items.join(seen, "item").groupBy("rep", "part", "light", "which", "n")
+    prefix = written(items.join(seen, "item").groupBy("rep", "part", "light", "which", "n")
               .agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("order"))  # the set of one text
               .where(F.size("order") >= floor)
               .select("rep", "part", "light", "n", F.size("order").alias("m"), F.explode(F.transform(
@@ -187,7 +212,7 @@ def _prefix_pairs(open_sets: DataFrame) -> DataFrame:
                   lambda x, i: F.struct(x["item"].alias("item"), (i + 1).alias("at"), F.transform(
                       F.slice("order", F.greatest(i - (LOOK_BACK - 1), F.lit(1)), F.least(i, F.lit(LOOK_BACK))),
                       lambda y: y["item"]).alias("before")))).alias("x"))
-              .select("rep", "part", "light", "n", "m", "x.*"))
+              .select("rep", "part", "light", "n", "m", "x.*"), "prefixes")
     left, right = prefix.where("light").alias("l"), prefix.alias("r")
     most = F.least("l.at", "r.at") + F.least(F.col("l.m") - F.col("l.at"), F.col("r.m") - F.col("r.at"))
     return (left.join(right, (F.col("l.item") == F.col("r.item")) & (F.col("l.part") != F.col("r.part"))
@@ -207,30 +232,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = SHINGLE) -
     described = docs.select("doc_id", describe(whole_text(text), words).alias("d")).select("doc_id", "d.*")
     table = written(described, "signatures")
     named = table.where("doc_id IS NOT NULL AND n > 0")
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # equal sets have equal bands, so any one will do
-    reps = written(named.select("digest", "doc_id", "bands").join(
-        classes, "digest").where("doc_id = rep").groupBy("digest").agg(
-        F.first("rep").alias("rep"), F.first("bands").alias("bands")), "classes")
+    reps = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     exploded = reps.select("rep", F.explode("bands").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
-    buckets = written(exploded.join(shared.select("key"), "key", "left_semi").distinct(), "buckets")
+    shared = written(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+    # inner joins, as Spark would put a semi join below the bitmap's
+    buckets = written(maybe_among(exploded, "key", shared).join(shared, "key").select("key", "rep").distinct(), "buckets")
     involved = buckets.select("rep").distinct()
-    sets = written(docs.select(F.col("doc_id").alias("rep"), whole_text(text).alias("_text"))
-                   .join(involved, "rep", "left_semi")
+    sets = written(maybe_among(docs.select(F.col("doc_id").alias("rep"), whole_text(text).alias("_text")), "rep", involved)
+                   .join(involved, "rep")
                    # an id with several texts has a set for each
                    .groupBy("rep", F.xxhash64("_text").alias("which")).agg(F.first("_text").alias("_text"))
                    .select("rep", "which", shingle_set(F.col("_text"), words).alias("items")), "sets")
-    links = written(confirmed(_star_pairs(buckets, None, 0), sets), "found")
+    tried = written(_star_pairs(buckets, None, 0), "pairs")
+    links = written(confirmed(tried, sets), "found")
     place = components(links).withColumnRenamed("node", "rep")
     for turn in range(1, STAR_ROUNDS):
-        found = written(confirmed(_star_pairs(buckets, place, turn), sets), "found")
+        pairs = written(_star_pairs(buckets, place, turn, tried), "pairs")
+        tried = tried.unionByName(pairs)
+        found = written(confirmed(pairs, sets), "found")
         if found.isEmpty():
             break
         place = components(as_links(place, "rep").unionByName(found)).withColumnRenamed("node", "rep")
-    rest = _open_classes(buckets, place)
-    left = written(sets.join(rest, "rep"), "open")
-    links = as_links(place, "rep").unionByName(written(confirmed(_prefix_pairs(left), sets), "found"))
+    rest = written(_open_classes(buckets, place, tried), "rest")
+    left = written(maybe_among(sets, "rep", rest.select("rep")).join(rest, "rep"), "open")
+    pairs = written(_prefix_pairs(left).join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = as_links(place, "rep").unionByName(written(confirmed(pairs, sets), "found"))
     # a document with several texts holds their classes together
     member = named.select("doc_id", "digest").distinct().join(reps.select("digest", "rep"), "digest")
     split = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from fleetlens.llm import (ann, bpe, html_text, importance, minhash, mixing, ngram_lm, quality_rules,
                            token_counts, toxicity)
-from fleetlens.llm.common import fold, whole_text, written
+from fleetlens.llm.common import fold, maybe_among, whole_text, written
 from fleetlens.llm.components import components
 from fleetlens.llm.queries import ORACLES, QUERIES
 from tests.check_oracles import compare, connect
@@ -114,6 +114,47 @@ def test_one_id_with_two_texts_is_one_document(spark):
     assert {r.component_id for r in minhash.near_duplicates(df).collect()} == {2}
 
 
+def test_no_pair_is_compared_twice_and_few_texts_move(spark, monkeypatch):
+    """Small groups on either side of the similarity; before, refuted pairs were compared in each round."""
+    rng = np.random.default_rng(5)
+    texts = {}
+    for i in range(60):
+        words = [f"g{i // 4}x{k}" for k in range(120)]
+        for at in rng.choice(len(words), i % 4 + 1, replace=False):
+            words[at] = f"new{i}x{at}"
+        texts[i] = " ".join(words)
+    texts |= {i: " ".join(f"alone{i}x{k}" for k in range(120)) for i in range(60, 90)}
+    compared, plans = [], {}
+
+    def confirmed(pairs, sets, real=minhash.confirmed):
+        compared.extend((r.a, r.b) for r in pairs.collect())
+        return real(pairs, sets)
+
+    def kept(df, name, real=written):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(minhash, "confirmed", confirmed)
+    monkeypatch.setattr(minhash, "written", kept)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert got == groups_of(texts)
+    assert compared and len(compared) == len(set(compared))
+    for name in ("buckets", "sets"):  # from above: the exact join, then the bitmap's, below every shuffle
+        exact, bitmap = [x for x in plans[name].splitlines() if "Join " in x][:2]
+        assert "_block" in bitmap and "_block" not in exact, plans[name]
+
+
+def test_a_bitmap_loses_no_row(spark):
+    rows = spark.range(-500, 1500).withColumn("x", F.col("id") * 2)
+    ids = spark.range(0, 1000, 7).select(F.col("id").alias("other"))
+    got = maybe_among(rows, "id", ids)
+    assert got.columns == ["id", "x"]
+    found = [r.id for r in got.collect()]
+    assert len(found) == len(set(found)) < 160 and set(range(0, 1000, 7)) <= set(found)
+    assert maybe_among(rows, "id", ids.limit(0)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(1, 65).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r.component for r in components(links).collect()} == {0}

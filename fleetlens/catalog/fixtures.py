@@ -149,12 +149,8 @@ fn AS (SELECT *, CASE func WHEN 0 THEN 'ncclFuncBroadcast' WHEN 1 THEN 'ncclFunc
   FROM link_transfers)"""
 
 
-def link_telemetry(spark: SparkSession, sf: str) -> DataFrame:
-    """Per device: sends numbered by ship date, order and line (one row_number per device).
-
-    Where a device had to be cut the numbered sends are written once, as their readers go over them several times.
-    """
-    from fleetlens.plans.durable import cut_lineage
+def _numbered_sends(spark: SparkSession, sf: str) -> tuple[DataFrame, bool]:
+    """Per device: sends numbered by ship date, order and line (one row_number per device), and whether one was cut."""
     from fleetlens.plans.ordered import OrderedGroups
     s = F.col("l_suppkey")
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(
@@ -167,7 +163,20 @@ def link_telemetry(spark: SparkSession, sf: str) -> DataFrame:
     sends = groups.numbered("_pos", None).select(
         "nic", "dev", "size", div(rn, 200).alias("func_times"),
         (rn * 5000 + F.col("size")).alias("t_ns"), rn.alias("rn"))
-    return cut_lineage(sends) if groups.split else sends
+    return sends, groups.split
+
+
+def link_telemetry(spark: SparkSession, sf: str) -> DataFrame:
+    """The numbered sends; where a device had to be cut they are written once, as their readers go over them several times."""
+    from fleetlens.plans.durable import cut_lineage
+    sends, split = _numbered_sends(spark, sf)
+    return cut_lineage(sends) if split else sends
+
+
+def telemetry_table(spark: SparkSession, sf: str, path: str) -> str:
+    """The numbered sends as a table at ``path``, written once in any case."""
+    _numbered_sends(spark, sf)[0].write.parquet(path)
+    return path
 
 
 TELE_SQL = """r AS (SELECT concat('n', l_suppkey % 4) AS nic, CAST(l_suppkey % 2 AS INT) AS dev,

@@ -79,9 +79,7 @@ WHERE (b.tick + 1) * 300000000 <= (SELECT max(us) FROM s0)""")
 
 
 def _sends(s, d):
-    path = scratch_path(s, "sends")
-    X.link_telemetry(s, d).write.parquet(path)
-    return parquet_stream(s, path)
+    return parquet_stream(s, X.telemetry_table(s, d, scratch_path(s, "sends")))
 
 
 add("x5_live_bandwidth", lambda s, d: drain(bandwidth.live_bandwidth(_sends(s, d)), "bandwidth"), BAND_SQL)

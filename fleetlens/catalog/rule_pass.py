@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.fixtures import EVENTS_SQL, METRICS, _events
 from fleetlens.catalog.registry import add
 from fleetlens.operators import rules as R
 from fleetlens.operators.rule_pass import evaluate_all
-from fleetlens.plans.durable import scratch_path
+from fleetlens.plans.durable import cut_lineage, scratch_path
 from fleetlens.streaming.rule_state import firing
 from fleetlens.streaming.run import drain, parquet_stream
 
@@ -58,15 +61,15 @@ def _planted_text(text):
 
 def planted_samples(s, d, *metrics):
     """(metric, labels, us, value): every event is a sample of every metric, or of those named."""
-    def sample(metric):
+    # written once, as each metric reads them; one expression for all metrics is too large to be compiled
+    events = cut_lineage(_events(s, d).select("event_id", "user_id", "k"))
+    marked = events.select("*", *[F.expr(text).alias(name) for name, text in (("_tick", _TICK), ("_bad", _BAD), ("_nbad", _NBAD))])
+
+    def samples(metric):
         pairs = [c for k, v in _labels(metric).items() for c in (F.lit(k), F.expr(v))]
-        return F.struct(F.lit(metric).alias("metric"), F.create_map(*pairs).alias("labels"),
-                        F.expr(_planted_text(VALUES[metric])).cast("double").alias("value"))
-    # a file of few row groups would leave most tasks without samples
-    events = _events(s, d).select("event_id", "user_id", "k").repartition("event_id").select(
-        "*", *[F.expr(text).alias(name) for name, text in (("_tick", _TICK), ("_bad", _BAD), ("_nbad", _NBAD))])
-    rows = events.select(F.expr(_planted_text(_US)).alias("us"), F.explode(F.array(*[sample(m) for m in metrics or VALUES])).alias("m"))
-    return rows.select("m.metric", "m.labels", "us", "m.value")
+        return marked.select(F.lit(metric).alias("metric"), F.create_map(*pairs).alias("labels"),
+                             F.expr(_planted_text(_US)).alias("us"), F.expr(_planted_text(VALUES[metric])).cast("double").alias("value"))
+    return reduce(DataFrame.unionByName, [samples(metric) for metric in metrics or VALUES])
 
 
 def _source_sql(name, metric, equal, differ):
